@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +86,11 @@ def joined_parts(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 # --- markdown -------------------------------------------------------------------------------
 
 
@@ -97,45 +102,47 @@ def strip_images(md: Column) -> Column:
     return strip(lines)
 
 
+def _text_of(item: Column) -> Column:
+    """A variant's text when it is a non-blank string."""
+    value = F.try_variant_get(item, "$", "string")
+    return F.when((F.schema_of_variant(item) == "STRING") & ~is_blank(value), value)
+
+
 def _first_text(doc: Column, keys: Iterable[str]) -> Column:
-    found = []
-    for key in keys:
-        path = f"$.{key}"
-        is_text = F.schema_of_variant(F.try_variant_get(doc, path, "variant")) == "STRING"
-        value = F.try_variant_get(doc, path, "string")
-        found.append(F.when(is_text & ~is_blank(value), value))
-    return F.coalesce(*found)
+    return F.coalesce(*[_text_of(F.try_variant_get(doc, f"$.{key}", "variant")) for key in keys])
+
+
+def _first_of(items: Column, pick: Callable[[Column], Column]) -> Column:
+    texts = F.filter(F.transform(items, lambda item: pick(item)), lambda t: t.isNotNull())
+    return F.try_element_at(texts, F.lit(1))
 
 
 def markdown_of(raw: Column) -> Column:
     """Markdown text out of an OCR reply in any of its three shapes."""
-    doc = F.try_parse_json(raw)
-    top = _first_text(doc, ("md", "markdown", "md_content"))
     keys = ("md_content", "md", "markdown")
-    as_map = F.try_variant_get(doc, "$.results", "map<string,variant>")
-    as_list = F.try_variant_get(doc, "$.results", "array<variant>")
 
-    def item_text(item: Column) -> Column:
-        own = F.when(F.schema_of_variant(item) == "STRING", F.try_variant_get(item, "$", "string"))
-        return F.coalesce(_first_text(item, keys), F.when(~is_blank(own), own))
+    def read(doc: Column) -> Column:
+        top = _first_text(doc, ("md", "markdown", "md_content"))
+        as_map = F.try_variant_get(doc, "$.results", "map<string,variant>")
+        as_list = F.try_variant_get(doc, "$.results", "array<variant>")
+        from_map = _first_of(F.map_values(as_map), lambda item: _first_text(item, keys))
+        from_list = _first_of(as_list, lambda item: F.coalesce(_first_text(item, keys), _text_of(item)))
+        return F.coalesce(top, from_map, from_list, F.lit(""))
 
-    def first_of(items: Column, pick) -> Column:
-        texts = F.filter(F.transform(items, pick), lambda t: t.isNotNull())
-        return F.when(F.size(texts) > 0, F.element_at(texts, 1))
-
-    from_map = first_of(F.map_values(as_map), lambda item: _first_text(item, keys))
-    from_list = first_of(as_list, item_text)
-    return strip_images(F.coalesce(top, from_map, from_list, F.lit("")))
+    return strip_images(bound(F.try_parse_json(raw), read))
 
 
 def content_list_of(raw: Column) -> Column:
     """Content list of an OCR reply as array<variant>; empty when there is none."""
-    doc = F.try_parse_json(raw)
-    found = []
-    for key in ("content_list", "content_list_v2", "middle_json"):
-        found.append(F.try_variant_get(doc, f"$.{key}", "array<variant>"))
-        found.append(F.try_variant_get(doc, f"$.{key}.content_list", "array<variant>"))
-    return F.coalesce(*found, F.array().cast("array<variant>"))
+
+    def read(doc: Column) -> Column:
+        found = []
+        for key in ("content_list", "content_list_v2", "middle_json"):
+            found.append(F.try_variant_get(doc, f"$.{key}", "array<variant>"))
+            found.append(F.try_variant_get(doc, f"$.{key}.content_list", "array<variant>"))
+        return F.coalesce(*found, F.array().cast("array<variant>"))
+
+    return bound(F.try_parse_json(raw), read)
 
 
 # --- model analyses -------------------------------------------------------------------------
@@ -143,49 +150,53 @@ def content_list_of(raw: Column) -> Column:
 
 def unfenced(raw: Column) -> Column:
     """Drop a surrounding code fence."""
-    text = strip(raw)
-    opened = F.when(
-        text.startswith("```"),
-        F.when(F.instr(text, "\n") > 0, F.regexp_replace(text, r"^[^\n]*\n", "")).otherwise(F.substring(text, 4, 1 << 30)),
-    ).otherwise(text)
-    closed = F.when(text.startswith("```"), F.regexp_replace(opened, r"```$", "")).otherwise(opened)
-    return strip(closed)
+
+    def inner(text: Column) -> Column:
+        after_line = F.regexp_replace(text, r"^[^\n]*\n", "")
+        opened = F.when(F.instr(text, "\n") > 0, after_line).otherwise(F.substring(text, 4, 1 << 30))
+        return F.when(text.startswith("```"), F.regexp_replace(opened, r"```$", "")).otherwise(text)
+
+    return strip(bound(strip(raw), inner))
 
 
 def tolerant_object(raw: Column) -> Column:
     """JSON object as variant: the whole text, else its outermost braces, else null."""
-    text = unfenced(raw)
-    whole = F.try_parse_json(text)
-    block = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(\{[\s\S]*\})", 1), F.lit("")))
-    chosen = F.coalesce(whole, block)
-    return F.when(F.schema_of_variant(chosen).startswith("OBJECT"), chosen)
-
-
-def _listed(doc: Column, key: str) -> Column:
-    path = f"$.{key}"
-    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-    single = F.array(F.try_variant_get(doc, path, "string"))
-    many = F.try_variant_get(doc, path, "array<string>")
-    empty = F.array().cast("array<string>")
-    return F.when(kind == "STRING", single).when(kind.startswith("ARRAY"), F.coalesce(many, empty)).otherwise(empty)
 
+    def parse(text: Column) -> Column:
+        block = F.nullif(F.regexp_extract(text, r"(\{[\s\S]*\})", 1), F.lit(""))
+        return F.coalesce(F.try_parse_json(text), F.try_parse_json(block))
 
-def _has_key(doc: Column, key: str) -> Column:
-    keys = F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>"))
-    return F.coalesce(F.array_contains(keys, key), F.lit(False))
+    is_object = lambda doc: F.schema_of_variant(doc).startswith("OBJECT")
+    return bound(bound(unfenced(raw), parse), lambda doc: F.when(is_object(doc), doc))
+
+
+def _listed(item: Column) -> Column:
+    """A string as a one-element list, a list as it is, anything else as an empty list."""
+    kind = F.schema_of_variant(item)
+    empty = F.array().cast("array<string>")
+    single = F.array(F.try_variant_get(item, "$", "string"))
+    many = F.coalesce(F.try_variant_get(item, "$", "array<string>"), empty)
+    return F.when(kind == "STRING", single).when(kind.startswith("ARRAY"), many).otherwise(empty)
 
 
 def analysis_of(raw: Column) -> Column:
     """Validated analysis as a struct; null when the reply is no object or lacks a required field."""
-    doc = tolerant_object(raw)
-    complete = F.lit(True)
-    for key in ANALYSIS_REQUIRED:
-        complete = complete & _has_key(doc, key)
-    confidence = F.when(
-        _has_key(doc, "confidence"),
-        F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(DEFAULT_CONFIDENCE)),
-    )
-    fields = [F.try_variant_get(doc, "$.summary", "string").alias("summary")]
-    fields += [_listed(doc, key).alias(key) for key in ANALYSIS_LISTS]
-    fields.append(confidence.alias("confidence"))
-    return F.when(doc.isNotNull() & complete, F.struct(*fields))
+
+    def read(doc: Column) -> Column:
+        field = lambda key: F.try_variant_get(doc, f"$.{key}", "variant")
+        keys = F.map_keys(F.try_variant_get(doc, "$", "map<string,variant>"))
+        complete = F.size(F.array_intersect(keys, F.array(*map(F.lit, ANALYSIS_REQUIRED)))) == len(ANALYSIS_REQUIRED)
+        confidence = F.when(
+            F.array_contains(keys, "confidence"),
+            F.coalesce(F.try_variant_get(doc, "$.confidence", "double"), F.lit(DEFAULT_CONFIDENCE)),
+        )
+        return F.when(
+            complete,
+            F.struct(
+                F.try_variant_get(doc, "$.summary", "string").alias("summary"),
+                *[bound(field(key), _listed).alias(key) for key in ANALYSIS_LISTS],
+                confidence.alias("confidence"),
+            ),
+        )
+
+    return bound(tolerant_object(raw), read)

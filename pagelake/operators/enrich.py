@@ -40,15 +40,11 @@ def apply_summaries(slides: DataFrame, analyses: DataFrame) -> DataFrame:
 
 def analysis_tags(analyses: DataFrame) -> DataFrame:
     """(slide_id, position, category, name, confidence): tags named by successful analyses."""
-    entries = F.concat(
-        *[
-            F.transform(
-                F.col(f"analysis.{field}"),
-                lambda v, p=position, cat=category: F.struct(F.lit(p).alias("position"), F.lit(cat).alias("category"), v.alias("name")),
-            )
-            for position, (category, field) in enumerate(TAG_CATEGORIES)
-        ]
-    )
+    def named(position: int, category: str, field: str):
+        entry = lambda v: F.struct(F.lit(position).alias("position"), F.lit(category).alias("category"), v.alias("name"))
+        return F.transform(F.col(f"analysis.{field}"), entry)
+
+    entries = F.concat(*[named(n, category, field) for n, (category, field) in enumerate(TAG_CATEGORIES)])
     return (
         analyses.filter(F.col("status") == "success")
         .select("slide_id", F.col("analysis.confidence").alias("confidence"), F.explode(entries).alias("e"))

@@ -124,7 +124,7 @@ def _unit(rows) -> np.ndarray:
 
 def _nearest_in_batch(pdf: pd.DataFrame, ids: np.ndarray, unit: np.ndarray, k: int) -> pd.DataFrame:
     """Each query's k nearest pages among one batch of rows, a page at its nearest row."""
-    distance = np.round(1.0 - _unit(list(pdf["embedding"])) @ unit.T, 6)
+    distance = np.round(1.0 - _unit(list(pdf["embedding"])) @ unit.T, 6) + 0.0
     slides = pdf["slide_id"].to_numpy()
     pages, member = np.unique(slides, return_inverse=True)
     best = np.full((len(pages), len(ids)), np.inf)

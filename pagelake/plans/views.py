@@ -20,6 +20,7 @@ from pagelake.operators.dedup import signature64
 from pagelake.operators.fusion import Corpus
 from pagelake.operators.indexing import ai_tag_text, extract_elements, index_text, token_index
 from pagelake.operators.scope import scoped_slides
+from pagelake.sources.tables import spread
 
 MOVED = 1_000_000_000_000
 LINES_PER_PAGE = 8
@@ -43,7 +44,7 @@ class Views:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.table("documents").withColumn("pid", F.expr("cast(substring(source, 4) as int)"))
+        return spread(self.table("documents"), "doc_id").withColumn("pid", F.expr("cast(substring(source, 4) as int)"))
 
     # --- pages ------------------------------------------------------------------------------
 

@@ -45,6 +45,14 @@ def latest_batch(table: DataFrame, key: str) -> DataFrame:
     return table.join(last, [key, "batch_id"], "left_semi").drop("batch_id")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffles an input whose few files would leave most cores idle; larger inputs stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def read_query_set(spark: SparkSession, path: str) -> DataFrame:
     """Labelled queries: a JSON array of {id, query, relevant_titles, type}."""
     schema = "id bigint, query string, relevant_titles array<string>, type string"
