@@ -114,7 +114,7 @@ def vector_distances(v):
     return vectors.join(first, "label").select(
         "slide_id",
         F.round(scalar.cosine_distance(F.col("embedding"), F.col("head")), 6).alias("distance"),
-        F.round(F.element_at(quantised, 1), 6).alias("first_value"),
+        F.element_at(quantised, 1).alias("first_value"),
     )
 
 

@@ -411,7 +411,7 @@ def oracle() -> dict[str, str]:
     out["vector_distances"] = """
 WITH head AS (SELECT label, arg_min(embedding, vec_id) AS head FROM embeddings GROUP BY label)
 SELECT vec_id AS slide_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(head AS DOUBLE[])), 6) AS distance,
-       round(round(CAST(embedding[1] AS DOUBLE), 7), 6) AS first_value
+       round(CAST(embedding[1] AS DOUBLE), 7) AS first_value
 FROM embeddings JOIN head USING (label)"""
     out["library_list"] = sql(
         """SELECT p.presentation_id, p.title, CASE WHEN owner_id < 2 THEN 'User ' || owner_id ELSE 'user' || owner_id END AS owner_name,
