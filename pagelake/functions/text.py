@@ -40,6 +40,11 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(squeeze(text), 256)
 
 
+# One token of text without ideographs, and the characters that call for the full pattern.
+WORD = r"[\p{L}\p{N}]+"
+IDEOGRAPHIC = r"[\x{2E80}-\x{3FFFF}]"
+
+
 def token_pattern(words: Iterable[str] = DOMAIN_WORDS) -> str:
     """Regular expression for one token: a dictionary word, one ideograph, or a letter/digit run."""
     longest_first = sorted({w.lower() for w in words if re.search(r"[一-鿿]", w)}, key=lambda w: (-len(w), w))
@@ -53,7 +58,9 @@ _DEFAULT_PATTERN = token_pattern()
 def tokens(text: Column, words: Iterable[str] | None = None) -> Column:
     """Lower-cased tokens in text order; the same rule serves pages and queries."""
     pattern = _DEFAULT_PATTERN if words is None else token_pattern(words)
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    found = lambda p: F.regexp_extract_all(lowered, F.lit(p), F.lit(0))
+    return F.when(text.rlike(IDEOGRAPHIC), found(pattern)).otherwise(found(WORD))
 
 
 def segmented(text: Column, words: Iterable[str] | None = None) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.constants import NEAR_DISTANCE, SIMILAR_DEPTH
 from pagelake.functions.scalar import bit_distance, bits_to_hex
-from pagelake.functions.text import tokens
+from pagelake.functions.text import bound, tokens
 from pagelake.operators.components import components
 from pagelake.operators.hamming import near_pairs
 from pagelake.operators.ranks import top_k
@@ -15,40 +19,39 @@ from pagelake.operators.scope import text_bearing
 from pagelake.session import cut
 
 SHINGLE = 3
+VOTE_ROWS = 65536
+
+
+def _majority(packed: bytes) -> int:
+    """Bitwise majority over packed 8-byte digests, as a signed number."""
+    rows = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 8)
+    votes = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(rows), VOTE_ROWS):
+        votes += np.unpackbits(rows[start : start + VOTE_ROWS], axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(rows)).view(">i8")[0])
 
 
 def signature64(df: DataFrame, key: str = "slide_id", text: str = "native_text") -> DataFrame:
     """(key, sig, signature): 64-bit similarity hash of the page's token shingles (Charikar 2002).
 
-    Every shingle votes on 64 bits with the leading half of its MD5; votes are summed map-side,
-    so one row of 64 counters per page is shuffled. Pages without tokens have no signature.
+    Every shingle votes on 64 bits with the leading half of its MD5. A page is signed where it
+    lies: shingles and digests in the JVM, the vote over the packed digests in numpy; nothing is
+    shuffled. Pages without tokens have no row.
     """
-    toks = tokens(F.col(text))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("t") - (SHINGLE - 1), F.lit(1)))
-    shingles = F.transform(starts, lambda i: F.array_join(F.slice(F.col("t"), i, SHINGLE), " "))
-    digests = (
-        df.select(key, toks.alias("t"))
-        .filter(F.size("t") > 0)
-        .select(key, F.explode(shingles).alias("s"))
-        .select(key, F.md5(F.col("s").cast("binary")).alias("h"))
-        .select(
-            key,
-            F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint").alias("hi"),
-            F.conv(F.substring("h", 9, 8), 16, 10).cast("bigint").alias("lo"),
-        )
-    )
-    halves = [("hi", 32), ("lo", 0)]
-    votes, bits = [], F.lit(0).cast("bigint")
-    for half, shift in halves:
-        for i in range(32):
-            name = f"b{shift + i}"
-            votes.append(F.sum(F.shiftright(F.col(half), i).bitwiseAND(F.lit(1).cast("bigint"))).alias(name))
-            weight = 1 << (shift + i)
-            signed = weight - (1 << 64) if weight >= 1 << 63 else weight
-            on = F.col(name) * 2 > F.col("n")
-            bits = bits.bitwiseOR(F.when(on, F.lit(signed).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    counted = digests.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *votes)
-    return counted.select(key, bits.alias("sig")).withColumn("signature", bits_to_hex(F.col("sig")))
+
+    def packed(t):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - (SHINGLE - 1), F.lit(1)))
+        digest = lambda i: F.substring(F.md5(F.array_join(F.slice(t, i, SHINGLE), " ").cast("binary")), 1, 16)
+        return F.when(F.size(t) > 0, F.unhex(F.array_join(F.transform(starts, digest), "")))
+
+    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            some = pdf[pdf["packed"].notna()]
+            yield pd.DataFrame({key: some[key], "sig": [_majority(p) for p in some["packed"]]})
+
+    digests = df.select(F.col(key).cast("bigint").alias(key), bound(tokens(F.col(text)), packed).alias("packed"))
+    signed = digests.mapInPandas(vote, f"{key} bigint, sig bigint")
+    return signed.withColumn("signature", bits_to_hex(F.col("sig")))
 
 
 def collapsed(signed: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def analysis_tags(analyses: DataFrame) -> DataFrame:
     entries = F.concat(*[named(n, category, field) for n, (category, field) in enumerate(TAG_CATEGORIES)])
     return (
         analyses.filter(F.col("status") == "success")
-        .select("slide_id", F.col("analysis.confidence").alias("confidence"), F.explode(entries).alias("e"))
+        .select("slide_id", F.col("analysis.confidence").alias("confidence"), F.explode_outer(entries).alias("e"))
         .select("slide_id", "e.*", "confidence")
         .filter(F.coalesce("name", F.lit("")) != "")
     )

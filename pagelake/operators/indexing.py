@@ -42,9 +42,8 @@ def extract_elements(slides: DataFrame) -> DataFrame:
         F.coalesce(F.filter(tables, with_text), blank),
         F.coalesce(F.filter(pictures, with_target), blank),
     )
-    return slides.select("slide_id", "version_id", F.posexplode(every).alias("element_index", "e")).select(
-        "slide_id", "version_id", "element_index", "e.*"
-    )
+    unrolled = slides.select("slide_id", "version_id", F.posexplode_outer(every).alias("element_index", "e"))
+    return unrolled.filter(F.col("element_index").isNotNull()).select("slide_id", "version_id", "element_index", "e.*")
 
 
 def ai_tag_text(slide_tags: DataFrame, tags: DataFrame) -> DataFrame:
@@ -87,7 +86,8 @@ def token_index(df: DataFrame, text: str = "index_text") -> DataFrame:
 def postings(index: DataFrame, doc: str = "slide_id") -> DataFrame:
     """(token, doc, tf): one row per distinct token of a page."""
     return (
-        index.select(doc, F.explode("tokens").alias("token"))
+        index.select(doc, F.explode_outer("tokens").alias("token"))
+        .filter(F.col("token").isNotNull())
         .groupBy("token", doc)
         .agg(F.count(F.lit(1)).cast("int").alias("tf"))
     )

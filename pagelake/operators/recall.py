@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.constants import LIST_DEPTH
-from pagelake.functions.text import tokens
+from pagelake.functions.text import bound, tokens
 from pagelake.operators.indexing import index_totals
 from pagelake.operators.ranks import top_k
+from pagelake.session import cut
 
 # BM25 parameters
 K1 = 1.2
@@ -22,6 +23,9 @@ B = 0.75
 # Query vectors above this many bytes are joined block by block instead of being shipped to every task.
 MAX_SHIPPED_BYTES = 64 << 20
 QUERY_BLOCK = 1024
+
+# Query tokens that may travel with one scan of the index.
+MAX_BATCH_TOKENS = 20000
 ITEM_BLOCK = 20000
 
 
@@ -31,64 +35,67 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0)
 
 
-def _scores(queries: DataFrame, index: DataFrame, doc: str, totals: DataFrame, keep: list[str]) -> DataFrame:
-    """BM25 of every (query, doc) where the doc holds all of the query's tokens.
+def _slices(queries: DataFrame) -> list[DataFrame]:
+    """The batch itself while its vocabulary is small enough to travel with the plan, else parts of it."""
+    n_tokens = query_terms(queries).agg(F.sum(F.size("terms"))).first()[0] or 0
+    parts = -(-n_tokens // MAX_BATCH_TOKENS)
+    if parts <= 1:
+        return [queries]
+    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
-    The token table is cut to the batch's vocabulary while it streams out of the scan, so the one
-    shuffle by doc carries only those tokens. A query meets a doc through its rarest token, so a
-    common word never multiplies rows.
-    """
+
+def _slice_scores(queries: DataFrame, index: DataFrame, doc: str, totals: DataFrame, keep: list[str]) -> DataFrame:
     terms = query_terms(queries)
     exploded = terms.select("query_id", F.explode("terms").alias("token"))
-    vocabulary = exploded.select("token").distinct()
-    held = (
-        index.select(doc, *keep, "n_tokens", F.explode("tokens").alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy(doc, *keep, "n_tokens")
-        .agg(F.collect_list("token").alias("held"))
-    )
-    seen = held.select(F.explode(F.array_distinct("held")).alias("token"))
-    df = seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = exploded.agg(F.collect_set("token")).scalar()
+    mine = index.select(doc, *keep, "n_tokens", "tokens", F.array_intersect("tokens", vocabulary).alias("mine"))
+    tf = F.transform("mine", lambda t: F.col("n_tokens") - F.size(F.array_remove("tokens", t)))
+    held = cut(mine.filter(F.size("mine") > 0).select(doc, *keep, "n_tokens", "mine", tf.alias("tf")))
+
+    df = held.select(F.explode_outer("mine").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n_docs = totals.select(F.col("n_docs").cast("double")).scalar()
     avg = totals.select("avg_tokens").scalar()
-    weighted = exploded.join(df, "token").withColumn(
-        "idf", F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    )
-    plan = (
-        weighted.groupBy("query_id")
+    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    plan = cut(
+        exploded.join(df, "token")
+        .groupBy("query_id")
         .agg(
             F.min_by("token", F.struct("df", "token")).alias("token"),
-            F.sort_array(F.collect_list(F.struct("token", "idf"))).alias("weights"),
+            F.sort_array(F.collect_list(F.struct("token", idf.alias("idf")))).alias("weights"),
         )
         .join(terms, "query_id")
         .filter(F.size("weights") == F.size("terms"))
-        .select("query_id", "token", "weights")
-    )
-    met = held.withColumn("token", F.explode(F.array_distinct("held"))).join(plan, "token")
-    counted = F.transform(
-        F.col("weights"),
-        lambda w: F.struct(w["idf"].alias("idf"), F.size(F.filter("held", lambda t: t == w["token"])).alias("tf")),
     )
-    length = K1 * (1.0 - B + B * F.col("n_tokens") / avg)
-    return (
-        met.withColumn("counted", counted)
-        .filter(F.forall("counted", lambda c: c["tf"] > 0))
-        .withColumn("length", length)
-        .select(
-            "query_id",
-            doc,
-            *keep,
-            F.round(
-                F.aggregate(
-                    "counted",
-                    F.lit(0.0),
-                    lambda s, c: s + c["idf"] * c["tf"] * (K1 + 1.0) / (c["tf"] + F.col("length")),
-                ),
-                6,
-            ).alias("score"),
-        )
+    rarest = plan.agg(F.collect_set("token")).scalar()
+    met = (
+        held.select("*", F.explode_outer(F.array_intersect("mine", rarest)).alias("token"))
+        .join(plan, "token")
+        .filter(F.size(F.array_except("terms", "mine")) == 0)
+        .withColumn("length", K1 * (1.0 - B + B * F.col("n_tokens") / avg))
     )
 
+    def part(w):
+        n = F.get("tf", F.array_position("mine", w["token"]).cast("int") - 1)
+        return bound(n, lambda n: w["idf"] * n * (K1 + 1.0) / (n + F.col("length")))
+
+    total = F.aggregate(F.transform("weights", part), F.lit(0.0), lambda s, x: s + x)
+    return met.select("query_id", doc, *keep, F.round(total, 6).alias("score"))
+
+
+def _scores(queries: DataFrame, index: DataFrame, doc: str, totals: DataFrame, keep: list[str]) -> DataFrame:
+    """BM25 of every (query, doc) where the doc holds all of the query's tokens.
+
+    One scan of the token column and no shuffle of the corpus: each doc is cut where it lies to
+    its counts of the batch's words, and that small table is kept. In it a doc meets a query only
+    through the query's rarest token, so a common word multiplies nothing. The batch's vocabulary
+    travels with the scan; its size is checked, larger batches run in slices.
+    """
+    parts = [_slice_scores(part, index, doc, totals, keep) for part in _slices(queries)]
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    return scored
+
 
 def text_recall(
     queries: DataFrame, index: DataFrame, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH

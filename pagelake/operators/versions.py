@@ -122,7 +122,7 @@ _PAIR = ["from_version_id", "to_version_id"]
 
 
 def _sides(pairs: DataFrame, slides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cols = ["slide_id", "page_no", "fingerprint", "sig"]
+    cols = [c for c in ("slide_id", "page_no", "fingerprint", "sig") if c in slides.columns]
     pick = slides.select("version_id", *cols)
     old = pick.join(pairs.select(*_PAIR), F.col("version_id") == F.col("from_version_id")).select(*_PAIR, *cols)
     new = pick.join(pairs.select(*_PAIR), F.col("version_id") == F.col("to_version_id")).select(*_PAIR, *cols)

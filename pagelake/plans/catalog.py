@@ -13,7 +13,7 @@ from pagelake.functions import scalar, text
 from pagelake.operators import dedup, enrich, fusion, indexing, jobs, library, packages, quality, recall, versions
 from pagelake.operators.scope import any_tag, favorites_of, scoped_slides, text_bearing
 from pagelake.plans.views import MOVED, Views
-from pagelake.session import scratch_path
+from pagelake.session import scratch_path, stored
 from pagelake.sources import bulk, files
 from pagelake.sources import packages as source_packages
 from pagelake.sources.tables import replace_by_key
@@ -177,14 +177,12 @@ def favorites_list(v):
 
 @query
 def text_recall(v):
-    corpus = v.corpus(USER)
-    return recall.text_recall(v.queries, corpus.index, corpus.scope(USER))
+    return recall.text_recall(v.queries, v.stored_index(USER), v.scope(USER))
 
 
 @query
 def element_text_recall(v):
-    corpus = v.corpus(USER)
-    return recall.element_text_recall(v.queries, corpus.elements, corpus.scope(USER))
+    return recall.element_text_recall(v.queries, v.stored_elements(USER), v.scope(USER))
 
 
 def _scope_pages(v):
@@ -277,8 +275,11 @@ def compose_match(v):
 
 
 def _signed_scope(v):
+    """Key columns and signatures of the scope, each computed once."""
     pages = v.scoped(USER)
-    return pages, dedup.signature64(pages)
+    columns = ("slide_id", "version_id", "page_no", "title", "native_text", "fingerprint", "presentation_id", "presentation_title")
+    signed = stored(dedup.signature64(pages).select("slide_id", "sig"), "signatures")
+    return pages.select(*columns), signed
 
 
 @query
@@ -330,19 +331,19 @@ def similar_slides(v):
 
 
 def _old_pages(v):
-    return v.slides.filter(F.col("version_id") % 2 == 1)
+    return v.page_keys.filter(F.col("version_id") % 2 == 1)
 
 
 @query
 def suggest_versions(v):
-    found = versions.suggest_versions(_old_pages(v), v.slides, v.presentations)
+    found = versions.suggest_versions(_old_pages(v), v.page_keys, v.presentations)
     return found.select("version_id", "presentation_id", "title", "similarity", "page_count")
 
 
 @query
 def version_jaccard(v):
     pairs = versions.previous_versions(v.versions).select(F.col("from_version_id").alias("left_id"), F.col("to_version_id").alias("right_id"))
-    sets = versions.version_fingerprints(v.slides)
+    sets = versions.version_fingerprints(v.page_keys)
     return versions.jaccard(sets, sets, pairs).select("left_id", "right_id", "n_common", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -353,7 +354,7 @@ def previous_version(v):
 
 @query
 def match_versions_exact(v):
-    return versions.match_exact(versions.previous_versions(v.versions), v.signed_slides)
+    return versions.match_exact(versions.previous_versions(v.versions), v.page_keys)
 
 
 def _matches(v):
@@ -435,8 +436,8 @@ def parse_packages(v):
 
 
 def _package_tables(v):
-    parts = source_packages.package_parts(v.packages)
-    facts = source_packages.part_facts(parts)
+    parts = stored(source_packages.package_parts(v.packages), "package-parts")
+    facts = stored(source_packages.part_facts(parts), "part-facts")
     rels = source_packages.part_relationships(facts)
     return parts, facts, rels, source_packages.slide_order(facts, rels)
 
@@ -452,7 +453,7 @@ def part_closure(v):
 def structure_check(v):
     parts, facts, _, order = _package_tables(v)
     present = parts.select("file_id", "part").join(facts.select("file_id", "part", "xml_ok"), ["file_id", "part"], "left")
-    checked = packages.structure_check(v.packages, order, source_packages.declared_parts(facts), present)
+    checked = packages.structure_check(v.documents.select(F.col("doc_id").alias("file_id")), order, source_packages.declared_parts(facts), present)
     return checked.select("file_id", "n_slides", "dangling", "bad_xml", "passed")
 
 
@@ -501,6 +502,10 @@ def _replies(v):
     return v.documents.select(doc.alias("slide_id"), raw.alias("raw"))
 
 
+def _analyses(v):
+    return stored(enrich.normalize_analyses(_replies(v)), "analyses")
+
+
 @query
 def normalize_analyses(v):
     done = enrich.normalize_analyses(_replies(v))
@@ -513,13 +518,13 @@ def normalize_analyses(v):
 
 @query
 def merge_ai_tags(v):
-    _, merged = enrich.merge_ai_tags(enrich.normalize_analyses(_replies(v)), v.tags, v.slide_tags)
+    _, merged = enrich.merge_ai_tags(_analyses(v), v.tags, v.slide_tags)
     return merged.select("slide_id", "tag_id", "origin", "confidence", "is_confirmed")
 
 
 @query
 def created_ai_tags(v):
-    named = enrich.analysis_tags(enrich.normalize_analyses(_replies(v)))
+    named = enrich.analysis_tags(_analyses(v))
     return enrich.new_tags(named, v.tags).select("tag_id", "name", "category")
 
 
@@ -573,7 +578,7 @@ def element_embed(v):
 
 @query
 def readiness(v):
-    return enrich.readiness(v.slides, v.slide_embeddings, enrich.normalize_analyses(_replies(v)))
+    return enrich.readiness(v.slides, v.slide_embeddings, _analyses(v))
 
 
 @query
@@ -692,7 +697,7 @@ def hard_delete_cascade(v):
     """Rows left per table after the private files are gone for good."""
     tables = {
         "presentations": v.presentations, "versions": v.versions, "slides": v.slides, "slide_tags": v.slide_tags, "favorites": v.favorites,
-        "jobs": v.jobs, "matches": versions.match_exact(versions.previous_versions(v.versions), v.signed_slides),
+        "jobs": v.jobs, "matches": versions.match_exact(versions.previous_versions(v.versions), v.page_keys),
     }
     return _left(library.hard_delete(tables, v.presentations.filter(F.col("visibility") == "private")))
 

@@ -19,7 +19,8 @@ from pagelake.functions.text import first_line, fingerprint
 from pagelake.operators.dedup import signature64
 from pagelake.operators.fusion import Corpus
 from pagelake.operators.indexing import ai_tag_text, extract_elements, index_text, token_index
-from pagelake.operators.scope import scoped_slides
+from pagelake.operators.scope import scoped_slides, scoped_versions
+from pagelake.session import stored
 from pagelake.sources.tables import spread
 
 MOVED = 1_000_000_000_000
@@ -107,11 +108,16 @@ class Views:
             fingerprint(text).alias("fingerprint"),
         )
 
+    @cached_property
+    def page_keys(self) -> DataFrame:
+        """Stored key columns of all pages, as an ingest leaves them."""
+        return stored(self.slides.select("slide_id", "version_id", "page_no", "fingerprint"), "page-keys")
+
     @cached_property
     def signed_slides(self) -> DataFrame:
-        """slide_id, version_id, page_no, fingerprint, sig of all pages."""
+        """Stored key columns and signatures of all pages."""
         sigs = signature64(self.slides).select("slide_id", "sig")
-        return self.slides.select("slide_id", "version_id", "page_no", "fingerprint").join(sigs, "slide_id", "left")
+        return stored(self.page_keys.join(sigs, "slide_id", "left"), "page-signatures")
 
     @cached_property
     def elements(self) -> DataFrame:
@@ -270,14 +276,24 @@ class Views:
         pages = self.scoped(user_id, superuser, include_historical)
         return token_index(index_text(pages, ai_tag_text(self.slide_tags, self.tags)))
 
+    def scope(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
+        return scoped_versions(self.presentations, self.versions, user_id, superuser, include_historical)
+
+    def stored_index(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
+        """Page index of the scope, built and written once, as an index build leaves it."""
+        columns = ("slide_id", "version_id", "page_no", "title", "created_at", "tokens", "n_tokens")
+        return stored(self.page_index(user_id, superuser, include_historical).select(*columns), "page-index")
+
+    def stored_elements(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
+        columns = ("slide_id", "version_id", "element_index", "tokens", "n_tokens")
+        elements = extract_elements(self.scoped(user_id, superuser, include_historical))
+        return stored(token_index(elements, "text").select(*columns), "element-index")
+
     def corpus(self, user_id=None, superuser=False, include_historical=False) -> Corpus:
-        index = self.page_index(user_id, superuser, include_historical).select(
-            "slide_id", "version_id", "page_no", "title", "created_at", "tokens", "n_tokens"
-        )
-        scope = self.scoped(user_id, superuser, include_historical)
-        elements = token_index(extract_elements(scope), "text").select("slide_id", "version_id", "element_index", "tokens", "n_tokens")
         return Corpus(
-            index, elements, self.slide_embeddings, self.element_embeddings, self.presentations, self.versions, self.slide_tags, self.favorites
+            self.stored_index(user_id, superuser, include_historical),
+            self.stored_elements(user_id, superuser, include_historical),
+            self.slide_embeddings, self.element_embeddings, self.presentations, self.versions, self.slide_tags, self.favorites,
         )
 
     # --- packages ---------------------------------------------------------------------------

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.scalar import relation_name
 from pagelake.functions.text import fingerprint
+from pagelake.session import cut
 
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -135,7 +136,7 @@ def _source_part(rels):
 def part_relationships(facts: DataFrame) -> DataFrame:
     """(file_id, part, n, rel_id, rel_type, target, target_mode) with ``part`` the relationship's source."""
     rels = facts.filter(F.col("part").endswith(".rels"))
-    return rels.select("file_id", _source_part(F.col("part")).alias("part"), F.explode(_of_kind("rel")).alias("r")).select(
+    return rels.select("file_id", _source_part(F.col("part")).alias("part"), F.explode_outer(_of_kind("rel")).alias("r")).filter(F.col("r").isNotNull()).select(
         "file_id", "part", F.col("r.n").alias("n"), F.col("r.name").alias("rel_id"),
         relation_name(F.col("r.text")).alias("rel_type"), F.col("r.target").alias("target"), F.col("r.mode").alias("target_mode"),
     )
@@ -143,7 +144,7 @@ def part_relationships(facts: DataFrame) -> DataFrame:
 
 def slide_order(facts: DataFrame, rels: DataFrame) -> DataFrame:
     """(file_id, page_no, part): pages in the order the presentation lists them."""
-    listed = facts.filter(F.col("part") == "ppt/presentation.xml").select("file_id", F.posexplode(_of_kind("slide")).alias("i", "s"))
+    listed = facts.filter(F.col("part") == "ppt/presentation.xml").select("file_id", F.posexplode_outer(_of_kind("slide")).alias("i", "s")).filter(F.col("i").isNotNull())
     deck = rels.filter(F.col("part") == "ppt/presentation.xml").select("file_id", F.col("rel_id"), "target")
     ids = listed.select("file_id", (F.col("i") + 1).alias("page_no"), F.col("s.name").alias("rel_id"))
     target = F.coalesce("target", F.lit(""))
@@ -153,7 +154,7 @@ def slide_order(facts: DataFrame, rels: DataFrame) -> DataFrame:
 
 def declared_parts(facts: DataFrame) -> DataFrame:
     types = facts.filter(F.col("part") == "[Content_Types].xml")
-    return types.select("file_id", F.explode(_of_kind("override")).alias("o")).select("file_id", F.col("o.target").alias("part")).filter("part <> ''")
+    return types.select("file_id", F.explode_outer(_of_kind("override")).alias("o")).select("file_id", F.col("o.target").alias("part")).filter("part <> ''")
 
 
 def _texts(kind: str):
@@ -177,9 +178,10 @@ def _tables():
 def parse_packages(files: DataFrame) -> DataFrame:
     """One row per page: file_id, page_no, title, native_text, notes_text, fingerprint, content, part.
 
-    ``files``: file_id, content. A listed page whose part is absent comes out empty.
+    ``files``: file_id, content. A listed page whose part is absent comes out empty. Archives are
+    opened once; what they state is kept in the shared folder for the joins that follow.
     """
-    facts = part_facts(package_parts(files))
+    facts = cut(part_facts(package_parts(files)))
     rels = part_relationships(facts)
     order = slide_order(facts, rels)
     own_rels = rels.groupBy("file_id", "part").agg(
