@@ -50,7 +50,7 @@ def _slice_scores(queries: DataFrame, index: DataFrame, doc: str, totals: DataFr
     vocabulary = exploded.agg(F.collect_set("token")).scalar()
     mine = index.select(doc, *keep, "n_tokens", "tokens", F.array_intersect("tokens", vocabulary).alias("mine"))
     tf = F.transform("mine", lambda t: F.col("n_tokens") - F.size(F.array_remove("tokens", t)))
-    held = cut(mine.filter(F.size("mine") > 0).select(doc, *keep, "n_tokens", "mine", tf.alias("tf")))
+    held = cut(mine.select(doc, *keep, "n_tokens", "mine", tf.alias("tf")))
 
     df = held.select(F.explode_outer("mine").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n_docs = totals.select(F.col("n_docs").cast("double")).scalar()
