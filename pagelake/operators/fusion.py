@@ -197,9 +197,14 @@ def hybrid_search(
     fused = rrf_fuse(asked)
 
     by_filter = bool(tag_ids) or favorite_only
-    blank = queries.filter(blank_query).select("query_id", F.lit(1).alias("_all"))
     start = first_slides(pages) if by_filter else recent_slides(pages, topn)
-    listed = blank.join(start.select("slide_id", F.lit(1).alias("_all")), "_all").drop("_all")
+    # at most ``topn`` or 100 ids, handed to every blank query as one value
+    starting_ids = start.agg(F.collect_list("slide_id")).scalar()
+    listed = (
+        queries.filter(blank_query)
+        .select("query_id", F.explode_outer(starting_ids).alias("slide_id"))
+        .filter(F.col("slide_id").isNotNull())
+    )
 
     hits = fused.unionByName(_no_ranks(listed))
     hits = hits.join(pages, "slide_id").join(queries.select("query_id", "query"), "query_id")
