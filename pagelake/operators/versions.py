@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.constants import NEAR_DISTANCE, SUGGEST_JACCARD
@@ -106,13 +106,12 @@ def suggest_versions(
 def previous_versions(versions: DataFrame) -> DataFrame:
     """(presentation_id, from_version_id, to_version_id): each version after the first and the one before it.
 
-    A presentation's history is its list of uploads, one row each, not its pages.
+    Versions are ranked in blocks and met by rank, so a file with very many uploads stays spread out.
     """
-    w = Window.partitionBy("presentation_id").orderBy("version_no")
-    return (
-        versions.select("presentation_id", F.col("version_id").alias("to_version_id"), F.lag("version_id").over(w).alias("from_version_id"))
-        .filter(F.col("from_version_id").isNotNull())
-        .select("presentation_id", "from_version_id", "to_version_id")
+    ranked = blocked_rank(versions.select("presentation_id", "version_id", "version_no"), ["presentation_id"], "version_no", "nth")
+    before = ranked.select("presentation_id", (F.col("nth") + 1).alias("nth"), F.col("version_id").alias("from_version_id"))
+    return ranked.join(before, ["presentation_id", "nth"]).select(
+        "presentation_id", "from_version_id", F.col("version_id").alias("to_version_id")
     )
 
 
