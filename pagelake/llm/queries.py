@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import best_fit_packing, sentencepiece_bpe, sharding, simhash
+from pagelake.llm import best_fit_packing, quality_crf, sentencepiece_bpe, sharding, simhash
 from pagelake.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+@_query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_crf.judge_documents(docs, quality_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
 @_query("op10_sentencepiece")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
