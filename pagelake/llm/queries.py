@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import best_fit_packing, quality_crf, sentencepiece_bpe, sharding, simhash, toxicity_knn
+from pagelake.llm import best_fit_packing, license_scan, quality_crf, sentencepiece_bpe, sharding, simhash, toxicity_knn
 from pagelake.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_knn.score_documents(docs, toxicity_knn.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_query("op5_licenses")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 @_query("op6_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
