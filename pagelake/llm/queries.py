@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import best_fit_packing, license_scan, quality_crf, sentencepiece_bpe, sharding, simhash, toxicity_knn
+from pagelake.llm import best_fit_packing, language_id, license_scan, quality_crf, sentencepiece_bpe, sharding, simhash, toxicity_knn
 from pagelake.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@_query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs, likelihoods = language_id.train(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "pages"), langs, likelihoods)
+
+
 @_query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
