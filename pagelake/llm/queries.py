@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import best_fit_packing, language_id, license_scan, quality_crf, sentencepiece_bpe, sharding, simhash, toxicity_knn
+from pagelake.llm import best_fit_packing, language_id, license_scan, quality_crf, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity_knn
 from pagelake.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
+@_query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest_documents(table(spark, sf_dir, "documents"))
+
+
 @_query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
