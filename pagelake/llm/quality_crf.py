@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelake.llm.words import BLANKS, Block, Spans, byte_set, hashes, mix, text_blocks, windows, words
 
@@ -264,8 +265,8 @@ def _figures(rows: DataFrame, chain: Chain, share: float, min_words: int, repeat
                 ["row", *names, "content_words", "base_failed", "kept"],
             )
 
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, {BASE}, content_words bigint, base_failed boolean, kept boolean"
-    return rows.mapInArrow(work, schema)
+    made = StructType.fromDDL(f"{BASE}, content_words bigint, base_failed boolean, kept boolean")
+    return rows.mapInArrow(work, StructType([rows.schema["row"], *made.fields]))
 
 
 def judge_documents(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

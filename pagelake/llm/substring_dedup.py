@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagelake.llm.words import hashes, text_blocks, windows, words
 from pagelake.session import cut, stored
@@ -263,7 +264,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.struct(*[docs[c] for c in names]).alias("row"), docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(docs[text_col].cast("string")).alias("k")
     )
     joined = _with_starts(outer, repeat_starts(docs, id_col, text_col, width)).select("row", F.col(f"row.`{text_col}`").cast("string").alias("text"), "starts")
-    schema = f"row {joined.schema['row'].dataType.simpleString()}, new string"
+    schema = StructType([joined.schema["row"], StructField("new", StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

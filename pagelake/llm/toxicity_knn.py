@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelake.llm.words import FOLDED, NOT_ALNUM, Block, Spans, hashes, text_blocks, words
 from pagelake.session import cut
@@ -217,7 +218,7 @@ def _scored(rows: DataFrame, index: Index, k: int) -> DataFrame:
                 ["row", "score", "predicted", "evidence"],
             )
 
-    return rows.mapInArrow(work, f"row {rows.schema['row'].dataType.simpleString()}, score double, predicted int, evidence string")
+    return rows.mapInArrow(work, StructType([rows.schema["row"], *StructType.fromDDL("score double, predicted int, evidence string").fields]))
 
 
 def score_documents(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
