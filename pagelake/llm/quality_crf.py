@@ -69,11 +69,12 @@ class Facts:
 
 
 def _lines(block: Block) -> Spans:
-    """\\n-split lines, empty ones included."""
+    """\\n-split lines; the empty one behind a last line break is left out."""
     breaks = np.flatnonzero(block.data == 10)
     full = np.flatnonzero(np.diff(block.offsets) > 0)
-    start = np.sort(np.concatenate([block.offsets[full], breaks + 1]))
-    end = np.sort(np.concatenate([block.offsets[full + 1], breaks]))
+    ends = block.offsets[full + 1]
+    start = np.sort(np.concatenate([block.offsets[full], np.setdiff1d(breaks + 1, ends)]))
+    end = np.sort(np.concatenate([ends[block.data[ends - 1] != 10], breaks]))
     return Spans(start, end, np.searchsorted(start, block.offsets))
 
 
