@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pagelake.session import cut
 
-MAX_ROUNDS = 60
-
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(
@@ -40,18 +38,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``edges`` (u, v); the component is its least node.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), each round checkpointed.
+    Alternating large-star and small-star steps (Kiveris et al. 2014), each round checkpointed, until
+    a round changes nothing.
     """
     current = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = _digest(current)
-    for _ in range(MAX_ROUNDS):
+    while True:
         current = cut(_star(_star(current, True), False))
         after = _digest(current)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

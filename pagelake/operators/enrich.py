@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pagelake.constants import TAG_CATEGORIES
 from pagelake.functions.scalar import percent
-from pagelake.functions.text import analysis_of, is_blank, markdown_of
+from pagelake.functions.text import analysis_of, is_blank, markdown_of, tokens
+from pagelake.operators.changes import one_per_key
 
 Embedder = Callable[[pd.Series], pd.Series]
 
@@ -28,8 +29,8 @@ def normalize_analyses(replies: DataFrame) -> DataFrame:
 
 
 def apply_summaries(slides: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Sets ai_summary and ai_status of analysed pages; a failed run keeps the old summary."""
-    runs = analyses.select("slide_id", F.col("summary").alias("_summary"), F.col("status").alias("_status"))
+    """Sets ai_summary and ai_status of analysed pages; a failed run keeps the old summary. A page's last run counts."""
+    runs = one_per_key(analyses, ["slide_id"]).select("slide_id", F.col("summary").alias("_summary"), F.col("status").alias("_status"))
     return (
         slides.join(runs, "slide_id", "left")
         .withColumn("ai_summary", F.when(F.col("_status") == "success", F.col("_summary")).otherwise(F.col("ai_summary")))
@@ -91,23 +92,23 @@ def ocr_markdown(results: DataFrame, key: str = "slide_id") -> DataFrame:
 
 
 def merge_ocr_text(slides: DataFrame, results: DataFrame) -> DataFrame:
-    """Fills mineru_markdown of pages whose reply holds text; others keep theirs. native_text stays."""
-    read = ocr_markdown(results).withColumnRenamed("markdown", "_md")
+    """Fills mineru_markdown of pages whose reply holds text; others keep theirs. native_text stays. A page's last reply counts."""
+    read = ocr_markdown(one_per_key(results, ["slide_id"])).withColumnRenamed("markdown", "_md")
     filled = F.coalesce(F.nullif(F.col("_md"), F.lit("")), F.col("mineru_markdown"))
     return slides.join(read, "slide_id", "left").withColumn("mineru_markdown", filled).drop("_md")
 
 
 def merge_element_ocr(elements: DataFrame, results: DataFrame) -> DataFrame:
-    """Text of picture elements without one; blank replies leave an empty text and no tokens."""
-    read = results.select("slide_id", "element_index", markdown_of(F.col("raw")).alias("_md"))
+    """Text and tokens of picture elements without a text; blank replies leave an empty text and no tokens. An element's last reply counts."""
+    read = one_per_key(results, ["slide_id", "element_index"]).select("slide_id", "element_index", markdown_of(F.col("raw")).alias("_md"))
     open_picture = (
         (F.col("element_type") == "picture") & (F.coalesce("text", F.lit("")) == "") & F.col("_md").isNotNull()
     )
-    return (
-        elements.join(read, ["slide_id", "element_index"], "left")
-        .withColumn("text", F.when(open_picture, F.col("_md")).otherwise(F.col("text")))
-        .drop("_md")
-    )
+    read_now = elements.join(read, ["slide_id", "element_index"], "left").withColumn("_open", open_picture)
+    filled = read_now.withColumn("text", F.when(F.col("_open"), F.col("_md")).otherwise(F.col("text")))
+    if "tokens" in elements.columns:
+        filled = filled.withColumn("tokens", F.when(F.col("_open"), tokens(F.col("text"))).otherwise(F.col("tokens")))
+    return filled.select(*elements.columns)
 
 
 def enrichment_progress(slides: DataFrame) -> DataFrame:

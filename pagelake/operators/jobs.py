@@ -67,25 +67,36 @@ def collapse_events(events: DataFrame) -> DataFrame:
     """One row per job from its start / success / failure events (idempotency_key, event, at, seq, error_code).
 
     The last event by (at, seq) decides; success clears the error and sets progress 100; a start
-    after a success does not reopen the job. started_at is the first start, finished_at the
-    deciding end.
+    after a success does not reopen the job. started_at is the start that opened the deciding run,
+    the first one after the failure before it; finished_at the deciding end.
     """
     order = F.struct("at", "seq")
+    is_start = F.col("event") == "start"
     state = events.groupBy("idempotency_key").agg(
         F.max_by("event", order).alias("last_event"),
         F.max_by("event", F.when(F.col("event") != "start", order)).alias("last_end"),
         F.max_by("error_code", F.when(F.col("event") != "start", order)).alias("end_error"),
-        F.min(F.when(F.col("event") == "start", F.col("at"))).alias("started_at"),
+        F.max(F.when(~is_start, order)).alias("end_order"),
+        F.max(F.when(is_start, F.col("at"))).alias("last_start"),
         F.max(F.when(F.col("event") != "start", F.col("at"))).alias("ended_at"),
     )
     done = F.col("last_end") == "success"
     reopened = (F.col("last_event") == "start") & ~F.coalesce(done, F.lit(False))
     failed = (F.col("last_end") == "failure") & ~reopened
-    return state.select(
+    ends = state.select("idempotency_key", "end_order", reopened.alias("reopened"))
+    before = (
+        events.filter(F.col("event") == "failure").join(ends, "idempotency_key").filter(F.col("reopened") | (order < F.col("end_order")))
+        .groupBy("idempotency_key").agg(F.max(order).alias("last_failure"))
+    )
+    opened = (
+        events.filter(is_start).join(before, "idempotency_key", "left").filter(F.col("last_failure").isNull() | (order > F.col("last_failure")))
+        .groupBy("idempotency_key").agg(F.min("at").alias("run_start"))
+    )
+    return state.join(opened, "idempotency_key", "left").select(
         "idempotency_key",
         F.when(done, "success").when(reopened, "running").when(failed, "failed").otherwise("pending").alias("status"),
         F.when(done, 100).otherwise(0).alias("progress"),
         F.when(~F.coalesce(done, F.lit(False)), F.col("end_error")).alias("error_code"),
-        "started_at",
+        F.coalesce("run_start", "last_start").alias("started_at"),
         F.when(done | failed, F.col("ended_at")).alias("finished_at"),
     )

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from pagelake.constants import IN_PROGRESS
 from pagelake.functions.scalar import owner_label, status_group
+from pagelake.operators.changes import one_per_key
 from pagelake.operators.scope import live, modifiable_by, scoped_slides, trashed, visible_to
 
 # --- lists ----------------------------------------------------------------------------------
 
 
 def latest_jobs(jobs: DataFrame) -> DataFrame:
-    """Newest job per target, as an aggregate: no target's history meets in one task."""
+    """Newest job per target (kind and id), as an aggregate: no target's history meets in one task."""
     newest = F.max_by(F.struct("job_id", "job_type", "status", "progress", "stage"), F.struct("created_at", "job_id"))
-    return jobs.groupBy("target_id").agg(newest.alias("j")).select("target_id", "j.*")
+    return jobs.groupBy("target_type", "target_id").agg(newest.alias("j")).select("target_type", "target_id", "j.*")
 
 
 def library_list(
@@ -120,12 +121,20 @@ def remove_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
 
 
 def patch(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Sets the allowed columns where the change row holds a value; other columns of it are ignored."""
+    """Sets the allowed columns where the change row holds a value; other columns of it are ignored.
+
+    A column named in the change's array ``set_null``, where there is one, becomes null. Of several changes of a
+    key the last by ``at`` counts, or by value where they have no time.
+    """
     named = [c for c in columns if c in changes.columns]
-    staged = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in named])
+    last = one_per_key(changes, [key])
+    cleared = F.coalesce(F.col("set_null"), F.array()) if "set_null" in changes.columns else F.array().cast("array<string>")
+    staged = last.select(key, cleared.alias("_null"), *[F.col(c).alias(f"_new_{c}") for c in named])
     df = table.join(staged, key, "left")
-    for c in named:
-        df = df.withColumn(c, F.coalesce(f"_new_{c}", c))
+    for c in columns:
+        value = F.coalesce(f"_new_{c}", c) if c in named else F.col(c)
+        if c in table.columns:
+            df = df.withColumn(c, F.when(F.coalesce(F.array_contains("_null", c), F.lit(False)), F.lit(None)).otherwise(value))
     return df.select(*table.columns)
 
 
@@ -209,7 +218,9 @@ def hard_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Data
         out["matches"] = kept.select(*tables["matches"].columns)
     out["slides"] = tables["slides"].join(dead_versions, "version_id", "left_anti")
     if "jobs" in tables:
-        out["jobs"] = tables["jobs"].join(dead_versions.select(F.col("version_id").alias("target_id")), "target_id", "left_anti")
+        out["jobs"] = tables["jobs"].join(
+            dead_versions.select(F.lit("version").alias("target_type"), F.col("version_id").alias("target_id")), ["target_type", "target_id"], "left_anti"
+        )
     out["versions"] = tables["versions"].join(doomed, "presentation_id", "left_anti")
     out["presentations"] = tables["presentations"].join(doomed, "presentation_id", "left_anti")
     return out
@@ -241,8 +252,13 @@ def set_current(presentations: DataFrame, versions: DataFrame, wanted: DataFrame
     )
 
 
-def patch_slides(slides: DataFrame, changes: DataFrame) -> DataFrame:
-    return patch(slides, changes, "slide_id", ["title", "manual_summary", "user_note"])
+def patch_slides(slides: DataFrame, changes: DataFrame, presentations: DataFrame, versions: DataFrame, *, user_id=None, superuser=False) -> DataFrame:
+    """Title and notes of pages whose file the caller may change."""
+    files = presentations.filter(modifiable_by(user_id, superuser)).select("presentation_id")
+    allowed = slides.select("slide_id", "version_id").join(
+        versions.select("version_id", "presentation_id").join(files, "presentation_id", "left_semi"), "version_id", "left_semi"
+    )
+    return patch(slides, changes.join(allowed, "slide_id", "left_semi"), "slide_id", ["title", "manual_summary", "user_note"])
 
 
 def patch_presentations(presentations: DataFrame, changes: DataFrame, *, user_id=None, superuser=False) -> DataFrame:

@@ -9,8 +9,6 @@ from pagelake.constants import STRUCTURAL_PREFIXES
 from pagelake.functions.scalar import rels_part, resolved_part
 from pagelake.session import cut
 
-MAX_DEPTH = 200
-
 
 def is_structural(part: Column) -> Column:
     hit = F.lit(False)
@@ -31,19 +29,18 @@ def part_edges(relationships: DataFrame, parts: DataFrame) -> DataFrame:
 def part_closure(roots: DataFrame, relationships: DataFrame, parts: DataFrame) -> DataFrame:
     """(file_id, root, part): parts each root page needs, itself included.
 
-    A frontier join per relationship step; parts already reached are left out, so cycles end.
-    Rounds follow the depth of the relationship graph, not its size.
+    A frontier join per relationship step; parts already reached are left out, so cycles end and
+    the last frontier is empty. Rounds follow the depth of the relationship graph, not its size.
     """
     edges = cut(part_edges(relationships, parts))
     reached = cut(roots.select("file_id", F.col("part").alias("root"), "part"))
     frontier = reached
-    for _ in range(MAX_DEPTH):
+    while True:
         step = frontier.join(edges, ["file_id", "part"]).select("file_id", "root", F.col("next").alias("part")).distinct()
         frontier = cut(step.join(reached, ["file_id", "root", "part"], "left_anti"))
         if frontier.isEmpty():
             return reached
         reached = cut(reached.unionByName(frontier))
-    raise RuntimeError("relationship graph deeper than expected")
 
 
 def kept_parts(roots: DataFrame, relationships: DataFrame, parts: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pagelake.operators.ranks import blocked_rank
 from pagelake.operators.scope import live
 from pagelake.session import cut
 
-MAX_ROUNDS = 1000
+#: Slack for products of a threshold and a size that land just above a whole number.
+EPSILON = 1e-9
 
 
 def version_fingerprints(slides: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def _rare_first(sets: DataFrame, weight: DataFrame, threshold: float) -> DataFra
     ordered = sets.join(weight, "fingerprint").withColumn("ord", F.struct("class", "fingerprint"))
     block = F.struct("class", F.substring("fingerprint", 1, 3).alias("p"))
     ranked = blocked_rank(ordered, ["version_id"], "ord", "rn", block)
-    keep = F.col("n") - F.ceil(F.col("n") * threshold) + 1
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - EPSILON) + 1
     return ranked.join(sizes, "version_id").filter(F.col("rn") <= keep).select("version_id", "fingerprint", "n")
 
 
@@ -86,13 +87,13 @@ def suggest_versions(
     )
     pairs = (
         a.join(b, "fingerprint")
-        .filter((F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
+        .filter((F.col("n_a") >= threshold * F.col("n_b") - EPSILON) & (F.col("n_b") >= threshold * F.col("n_a") - EPSILON))
         .select("left_id", "right_id").distinct()
     )
     pages = known_slides.groupBy("version_id").agg(F.count(F.lit(1)).alias("page_count"))
     found = (
         jaccard(incoming, known, pairs)
-        .filter(F.col("jaccard") >= threshold)
+        .filter(F.col("jaccard") >= threshold - EPSILON)
         .join(current, "right_id")
         .join(pages.withColumnRenamed("version_id", "right_id"), "right_id")
         .select(
@@ -175,7 +176,9 @@ def _match_near(old: DataFrame, new: DataFrame, distance: int) -> DataFrame:
     pages first among equals. That outcome is the only stable one when every old page prefers
     lower new pages, so it is reached without walking the pages: all new pages aim at their best
     open place at once; a place aimed at by more pages than it has room for closes to all pages
-    after its last seat; repeat until nothing closes. Copies share one place with many seats.
+    after its last seat; repeat until nothing closes. Old pages that are equally far from the same
+    new signatures are one line with many seats in page order, so ties and copies settle at once.
+    Every round closes a place, so the rounds end.
     """
     old = cut(old.filter(F.col("sig").isNotNull()))
     new = cut(new.filter(F.col("sig").isNotNull()))
@@ -185,6 +188,12 @@ def _match_near(old: DataFrame, new: DataFrame, distance: int) -> DataFrame:
         near_pairs(new_sigs, old_sigs, on=_PAIR, left_sig="new_sig", right_sig="old_sig", distance=distance)
         .select(*_PAIR, F.col("sig_a").alias("new_sig"), F.col("sig_b").alias("old_sig"), "distance")
     )
+    distances = F.xxhash64("new_sig", "distance")
+    lines = prefs.groupBy(*_PAIR, "old_sig").agg(
+        F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(distances).alias("a"), F.bit_xor(F.xxhash64("distance", "new_sig")).alias("b")).alias("line")
+    )
+    old = old.join(lines.withColumnRenamed("old_sig", "sig"), [*_PAIR, "sig"]).drop("sig").withColumnRenamed("line", "sig")
+    prefs = cut(prefs.join(lines, [*_PAIR, "old_sig"]).drop("old_sig").withColumnRenamed("line", "old_sig").distinct())
     seats = cut(_colleges(old.join(prefs.select(*_PAIR, F.col("old_sig").alias("sig")).distinct(), [*_PAIR, "sig"], "left_semi"), prefs))
     place = [*_PAIR, "sig", "run"]
     places = seats.groupBy(*place).agg(F.min("page_no").alias("first_page"), F.count(F.lit(1)).alias("capacity"))
@@ -194,7 +203,7 @@ def _match_near(old: DataFrame, new: DataFrame, distance: int) -> DataFrame:
     pages = new.select(*_PAIR, F.col("sig").alias("new_sig"), "page_no", "slide_id")
     choices = pages.join(options, [*_PAIR, "new_sig"])
     closed = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         open_choices = choices
         if closed is not None:
             open_choices = choices.join(closed, place, "left").filter(
@@ -214,8 +223,6 @@ def _match_near(old: DataFrame, new: DataFrame, distance: int) -> DataFrame:
         if over.isEmpty():
             break
         closed = over if closed is None else cut(closed.unionByName(over).groupBy(*place).agg(F.min("last_page").alias("last_page")))
-    else:
-        raise RuntimeError("page matching did not settle")
     takers = blocked_rank(aim, place, "page_no", "seat").select(*place, "seat", F.col("slide_id").alias("to_slide_id"), "distance")
     taken = blocked_rank(seats, place, "page_no", "seat").select(*place, "seat", F.col("slide_id").alias("from_slide_id"))
     return takers.join(taken, [*place, "seat"]).select(
@@ -262,8 +269,9 @@ def live_file_versions(versions: DataFrame, presentations: DataFrame) -> DataFra
 def file_dedup(files: DataFrame, versions: DataFrame, presentations: DataFrame) -> DataFrame:
     """Adds ``existing_version_id``, ``existing_presentation_id`` and ``is_duplicate`` to files with a sha256.
 
-    The newest live version with the same content wins. The known side is reduced to one row per
-    hash before the join, so repeated uploads do not multiply.
+    The newest live version with the same content wins. Among the files themselves the one of
+    least file_id holds the content (``first_file_id``) and later ones repeat it. Both sides are reduced
+    to one row per hash before the join, so repeated uploads do not multiply.
     """
     newest = (
         live_file_versions(versions, presentations)
@@ -271,7 +279,9 @@ def file_dedup(files: DataFrame, versions: DataFrame, presentations: DataFrame)
         .agg(F.max(F.struct("created_at", "version_id", "presentation_id")).alias("v"))
         .select("sha256", F.col("v.version_id").alias("existing_version_id"), F.col("v.presentation_id").alias("existing_presentation_id"))
     )
-    return files.join(newest, "sha256", "left").withColumn("is_duplicate", F.col("existing_version_id").isNotNull())
+    first = files.groupBy("sha256").agg(F.min("file_id").alias("first_file_id"))
+    repeats = F.col("existing_version_id").isNotNull() | (F.col("file_id") > F.col("first_file_id"))
+    return files.join(newest, "sha256", "left").join(first, "sha256", "left").withColumn("is_duplicate", F.coalesce(repeats, F.lit(False)))
 
 
 def sha_precheck(hashes: DataFrame, versions: DataFrame, presentations: DataFrame) -> DataFrame:

@@ -373,12 +373,15 @@ def version_diff_summary(v):
 
 @query
 def file_dedup(v):
-    """All uploads, and the benchmark passages as further ones, against the uploads kept so far."""
-    known = v.files.select(F.col("file_id").alias("version_id"), "presentation_id", "sha256", F.col("arrived_at").alias("created_at"))
+    """All uploads, and the benchmark passages as further ones, against the English uploads kept so far; copies among the new ones meet their first."""
+    english = v.documents.filter(F.col("lang") == "en").select(F.col("doc_id").alias("file_id"))
+    known = v.files.join(english, "file_id", "left_semi").select(
+        F.col("file_id").alias("version_id"), "presentation_id", "sha256", F.col("arrived_at").alias("created_at")
+    )
     more = v.table("benchmark").select((-F.col("item_id") - 1).alias("file_id"), F.sha2("text", 256).alias("sha256"))
     incoming = v.files.select("file_id", "sha256").unionByName(more)
     return versions.file_dedup(incoming, known, v.presentations).select(
-        "file_id", "is_duplicate", "existing_version_id", "existing_presentation_id"
+        "file_id", "is_duplicate", "first_file_id", "existing_version_id", "existing_presentation_id"
     )
 
 
@@ -596,8 +599,7 @@ def promote_status(v):
 
 @query
 def job_latest(v):
-    found = library.latest_jobs(v.jobs.filter(F.col("target_type") == "version"))
-    return found.select("target_id", "job_id", "status", "progress")
+    return library.latest_jobs(v.jobs).select("target_type", "target_id", "job_id", "status", "progress")
 
 
 @query
@@ -635,7 +637,9 @@ def job_collapse(v):
         F.col("user_id").cast("string").alias("idempotency_key"), kind.alias("event"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
         F.when(kind == "failure", "E").alias("error_code"),
     )
-    return jobs.collapse_events(log).select("idempotency_key", "status", "progress", "error_code", F.unix_micros("finished_at").alias("finished_us"))
+    return jobs.collapse_events(log).select(
+        "idempotency_key", "status", "progress", "error_code", F.unix_micros("started_at").alias("started_us"), F.unix_micros("finished_at").alias("finished_us")
+    )
 
 
 # --- table maintenance ----------------------------------------------------------------------
@@ -735,7 +739,15 @@ def patch_slides(v):
     changes = v.table("labels").filter("quality = 1").select(
         F.col("doc_id").alias("slide_id"), F.concat(F.lit("good page "), F.col("doc_id").cast("string")).alias("title"), F.lit(0).alias("page_no")
     )
-    return library.patch_slides(v.slides.select("slide_id", "title", "page_no"), changes).select("slide_id", "title", "page_no")
+    earlier = changes.select("slide_id", F.lit("draft").alias("title"), "page_no", F.lit(0).alias("at"))
+    cleared = v.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("slide_id"), F.lit("x").alias("title"), F.lit(0).alias("page_no"))
+    last = changes.withColumn("at", F.lit(1)).withColumn("set_null", F.array().cast("array<string>"))
+    every = (
+        earlier.withColumn("set_null", F.array().cast("array<string>")).unionByName(last)
+        .unionByName(cleared.withColumn("at", F.lit(2)).withColumn("set_null", F.array(F.lit("title"))))
+    )
+    pages = v.slides.select("slide_id", "version_id", "title", "page_no")
+    return library.patch_slides(pages, every, v.presentations, v.versions, user_id=USER).select("slide_id", "title", "page_no")
 
 
 @query
@@ -810,17 +822,18 @@ def stream_dedup(v):
     arriving = docs.select(F.sha2("text", 256).alias("sha256"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("arrived_at"))
     known = v.table("benchmark").select(F.sha2("text", 256).alias("sha256"))
     base = scratch_path(v.spark, "stream-files")
-    ingest.land_files(ingest.stream_new_files(arriving, known, "3650 days"), f"{base}/files", f"{base}/state")
-    return v.spark.read.schema("sha256 string, arrived_at timestamp").parquet(f"{base}/files").select("sha256")
+    for run in ("first", "again"):  # the second stream repeats all files, long after
+        ingest.land_new_files(arriving, known, f"{base}/files", f"{base}/state-{run}")
+    return v.spark.read.parquet(f"{base}/files").select("sha256")
 
 
 @query
 def stream_job_state(v):
     arriving = v.as_jobs(_stream(v, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    events = arriving.select("target_id", F.col("created_at").alias("at"), F.col("job_id").alias("seq"), "status", "progress")
+    events = arriving.select("target_type", "target_id", F.col("created_at").alias("at"), F.col("job_id").alias("seq"), "status", "progress")
     base = scratch_path(v.spark, "stream-jobs")
     job_stream.stream_job_state(events, f"{base}/jobs", f"{base}/state")
-    return job_stream.read_job_state(v.spark, f"{base}/jobs").select("target_id", "seq", "status", "progress")
+    return job_stream.read_job_state(v.spark, f"{base}/jobs").select("target_type", "target_id", "seq", "status", "progress")
 
 
 __all__ = ["MOVED", "all_queries", "scoped_slides"]

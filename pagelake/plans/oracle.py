@@ -340,7 +340,7 @@ def counts(gone: str, *names: str) -> str:
         "slides": f"version_id NOT IN ({dead_v})",
         "slide_tags": f"slide_id NOT IN ({dead_s})",
         "favorites": f"slide_id NOT IN ({dead_s})",
-        "jobs": f"target_id NOT IN ({dead_v})",
+        "jobs": f"NOT (target_type = 'version' AND target_id IN ({dead_v}))",
         "exact": f"from_slide_id NOT IN ({dead_s}) AND to_slide_id NOT IN ({dead_s})",
     }
     label = lambda n: "matches" if n == "exact" else n
@@ -509,9 +509,10 @@ WHERE left_id % 2 = 1 AND NOT p.deleted AND jaccard >= 0.5""",
     out["previous_version"] = sql("SELECT presentation_id, version_id - 1 AS from_version_id, version_id AS to_version_id FROM versions WHERE version_id % 2 = 0")
     out["match_versions_exact"] = sql("SELECT * FROM exact", FIRSTS)
     out["file_dedup"] = sql(
-        """SELECT i.file_id, v.file_id IS NOT NULL AS is_duplicate, v.file_id AS existing_version_id, v.presentation_id AS existing_presentation_id
-FROM (SELECT file_id, sha FROM files UNION ALL SELECT file_id, sha FROM bench_files) i
-LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY file_id DESC) AS rn FROM live_files) WHERE rn = 1) v USING (sha)""",
+        """SELECT i.file_id, v.file_id IS NOT NULL OR i.nth > 1 AS is_duplicate, i.first_id AS first_file_id, v.file_id AS existing_version_id, v.presentation_id AS existing_presentation_id
+FROM (SELECT file_id, sha, row_number() OVER (PARTITION BY sha ORDER BY file_id) AS nth, min(file_id) OVER (PARTITION BY sha) AS first_id
+      FROM (SELECT file_id, sha FROM files UNION ALL SELECT file_id, sha FROM bench_files)) i
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY file_id DESC) AS rn FROM live_files WHERE file_id IN (SELECT doc_id FROM docs WHERE lang = 'en')) WHERE rn = 1) v USING (sha)""",
         LIVE_FILES, BENCH_FILES,
     )
     out["sha_precheck"] = sql(
@@ -598,8 +599,8 @@ FROM slides s LEFT JOIN embeddings e ON e.vec_id = s.slide_id LEFT JOIN (SELECT
         """SELECT version_id, CASE WHEN version_id % 2 = 0 THEN 'READY' WHEN status IN ('RENDERING','PARSED','UPLOADING') THEN 'BASIC_READY' ELSE status END AS status FROM versions"""
     )
     out["job_latest"] = sql(
-        """SELECT target_id, job_id, status, progress FROM (
-  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, job_id DESC) AS rn FROM jobs WHERE target_type = 'version') WHERE rn = 1"""
+        """SELECT target_type, target_id, job_id, status, progress FROM (
+  SELECT *, row_number() OVER (PARTITION BY target_type, target_id ORDER BY created_at DESC, job_id DESC) AS rn FROM jobs) WHERE rn = 1"""
     )
     out["job_list"] = sql("SELECT job_id, target_id, error_code FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, job_id LIMIT 100")
     out["job_targets"] = sql(
@@ -629,12 +630,20 @@ SELECT idempotency_key, job_type, target_type, target_id, 'pending', 0 FROM keye
     out["job_collapse"] = """
 WITH log AS (SELECT CAST(user_id AS VARCHAR) AS k, CASE event_type WHEN 'error' THEN 'failure' WHEN 'purchase' THEN 'success' ELSE 'start' END AS e, ts, event_id FROM events),
 last_any AS (SELECT k, e FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS rn FROM log) WHERE rn = 1),
-last_end AS (SELECT k, e, ts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE e <> 'start') WHERE rn = 1)
+last_end AS (SELECT k, e, ts FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE e <> 'start') WHERE rn = 1),
+tries AS (SELECT *, coalesce(sum(CASE WHEN e = 'failure' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS try FROM log),
+deciding AS (
+  SELECT k, try FROM (
+    SELECT t.k, t.try, row_number() OVER (PARTITION BY t.k ORDER BY (t.e <> 'start') DESC, t.ts DESC, t.event_id DESC) AS rn_end,
+           row_number() OVER (PARTITION BY t.k ORDER BY t.ts DESC, t.event_id DESC) AS rn_any, a.e AS last_e, n.e AS end_e
+    FROM tries t JOIN last_any a USING (k) LEFT JOIN last_end n USING (k))
+  WHERE CASE WHEN end_e = 'success' OR last_e = 'failure' THEN rn_end ELSE rn_any END = 1),
+runs AS (SELECT s.k, min(CASE WHEN s.try = d.try THEN s.ts END) AS opened, max(s.ts) AS latest FROM tries s JOIN deciding d ON s.k = d.k WHERE s.e = 'start' GROUP BY s.k)
 SELECT a.k AS idempotency_key,
   CASE WHEN n.e = 'success' THEN 'success' WHEN a.e = 'start' THEN 'running' ELSE 'failed' END AS status,
   CASE WHEN n.e = 'success' THEN 100 ELSE 0 END AS progress, CASE WHEN n.e = 'failure' THEN 'E' END AS error_code,
-  CASE WHEN n.e = 'success' OR a.e = 'failure' THEN epoch_us(n.ts) END AS finished_us
-FROM last_any a LEFT JOIN last_end n USING (k)"""
+  CASE WHEN n.e = 'success' OR a.e = 'failure' THEN epoch_us(n.ts) END AS finished_us, epoch_us(coalesce(r.opened, r.latest)) AS started_us
+FROM last_any a LEFT JOIN last_end n USING (k) LEFT JOIN runs r USING (k)"""
     out["tag_lists"] = sql("SELECT slide_id, name, category, origin, is_confirmed FROM slide_tags JOIN tags USING (tag_id)")
     out["batch_tags"] = sql(
         """SELECT slide_id, tag_id, origin, is_confirmed FROM slide_tags
@@ -667,7 +676,9 @@ WHERE NOT EXISTS (SELECT 1 FROM events e WHERE event_type = 'view' AND e.user_id
     out["folder_delete"] = sql("SELECT presentation_id, nullif(folder_id, 0) AS folder_id FROM presentations")
     out["set_current"] = sql("SELECT presentation_id, current_version_id - 1 AS current_version_id FROM presentations")
     out["patch_slides"] = sql(
-        "SELECT slide_id, CASE WHEN slide_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'good page ' || slide_id ELSE title END AS title, page_no FROM slides"
+        """SELECT slide_id, CASE WHEN p.owner_id IS DISTINCT FROM 0 THEN s.title WHEN slide_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL
+  WHEN slide_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'good page ' || slide_id ELSE s.title END AS title, page_no
+FROM slides s LEFT JOIN versions v USING (version_id) LEFT JOIN presentations p USING (presentation_id)"""
     )
     out["patch_files"] = sql(
         """SELECT presentation_id, CASE WHEN owner_id = 0 AND presentation_id % 2 = 0 THEN 'new ' || title ELSE title END AS title,
@@ -688,6 +699,7 @@ WHERE s.slide_id >= 0 OR s.slide_id % 2 <> 0"""
     )
     out["stream_dedup"] = "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark)"
     out["stream_job_state"] = sql(
-        "SELECT target_id, job_id AS seq, status, progress FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY created_at DESC, job_id DESC) AS rn FROM jobs) WHERE rn = 1"
+        """SELECT target_type, target_id, job_id AS seq, status, progress
+FROM (SELECT *, row_number() OVER (PARTITION BY target_type, target_id ORDER BY created_at DESC, job_id DESC) AS rn FROM jobs) WHERE rn = 1"""
     )
     return out

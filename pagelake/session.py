@@ -56,6 +56,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more, and frees what earlier steps left.
+
+    Spark drops shuffle files and checkpoints when the driver's JVM has collected what refers to them.
+    """
+    spark = df.sparkSession
+    base = shared_dir(spark).rstrip("/").split("://")[-1].removeprefix("file:")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if base in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files and checkpoints of steps that are over."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably and drop the lineage, so that a lost executor costs one stage."""
     shared_dir(df.sparkSession)

@@ -23,33 +23,41 @@ from pagelake.session import cut
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DECK = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-READ_LIMIT = 512 << 20
 
-_PARTS = "file_id bigint, part string, bytes bigint, xml string"
+_PARTS = "file_id bigint, part string, bytes bigint, xml binary, damaged boolean"
+_BROKEN = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError)
 _FACTS = (
     "file_id bigint, part string, xml_ok boolean, "
     "facts array<struct<kind:string,n:int,m:int,name:string,text:string,target:string,mode:string,place:array<bigint>>>"
 )
 
 
-def _parts_of(content: bytes) -> Iterator[tuple[str, int, str | None]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+def _parts_of(content: bytes) -> Iterator[tuple[str | None, int | None, bytes | None, bool]]:
+    """(part, size, XML bytes, whether it is damaged); an archive that cannot be opened is one damaged part without a name."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except (*_BROKEN, TypeError):
+        yield None, None, None, True
+        return
+    with archive:
         for info in archive.infolist():
-            is_xml = info.filename.endswith((".xml", ".rels")) and info.file_size <= READ_LIMIT
-            yield info.filename, info.file_size, archive.read(info).decode("utf-8", "replace") if is_xml else None
+            if not info.filename.endswith((".xml", ".rels")):
+                yield info.filename, info.file_size, None, False
+                continue
+            try:
+                yield info.filename, info.file_size, archive.read(info), False
+            except _BROKEN:
+                yield info.filename, info.file_size, None, True
 
 
 def package_parts(files: DataFrame) -> DataFrame:
-    """(file_id, part, bytes, xml) of all parts; unreadable archives give no rows (see validate_files)."""
+    """(file_id, part, bytes, xml, damaged) of all parts. XML stays bytes: its own declaration names the encoding."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file_id, content in zip(pdf["file_id"], pdf["content"]):
-                try:
-                    found = list(_parts_of(content))
-                except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError):
-                    continue
-                rows = pd.DataFrame(found, columns=["part", "bytes", "xml"])
+                rows = pd.DataFrame(list(_parts_of(content)), columns=["part", "bytes", "xml", "damaged"])
+                rows["bytes"] = rows["bytes"].astype("Int64")
                 rows.insert(0, "file_id", file_id)
                 yield rows
 
@@ -64,11 +72,19 @@ def _fact(kind, n=None, m=None, name=None, text=None, target=None, mode=None, pl
     return {"kind": kind, "n": n, "m": m, "name": name, "text": text, "target": target, "mode": mode, "place": place}
 
 
+def _whole(value: str) -> int | None:
+    """A coordinate, without its fraction; None where it is no number."""
+    try:
+        return int(float(value))
+    except (ValueError, OverflowError):
+        return None
+
+
 def _place(pic) -> list | None:
     off, ext = pic.find(f".//{DRAWING}off"), pic.find(f".//{DRAWING}ext")
     if off is None and ext is None:
         return None
-    read = lambda el, keys: [None, None] if el is None else [int(el.get(k, 0)) for k in keys]
+    read = lambda el, keys: [None, None] if el is None else [_whole(el.get(k, "0")) for k in keys]
     return read(off, ("x", "y")) + read(ext, ("cx", "cy"))
 
 
@@ -108,20 +124,23 @@ def _facts(root) -> Iterator[dict]:
 
 
 def part_facts(parts: DataFrame) -> DataFrame:
-    """(file_id, part, xml_ok, facts): the statements of every XML part."""
+    """(file_id, part, xml_ok, facts): the statements of every XML part. Unreadable and damaged parts state
+    nothing and are not ok; so is an archive that could not be opened, whose part is null."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for file_id, part, xml in zip(pdf["file_id"], pdf["part"], pdf["xml"]):
-                try:
-                    facts, ok = list(_facts(ElementTree.fromstring(xml))), True
-                except ElementTree.ParseError:
-                    facts, ok = [], False
+                facts, ok = [], False
+                if xml is not None:
+                    try:
+                        facts, ok = list(_facts(ElementTree.fromstring(xml))), True
+                    except (ElementTree.ParseError, ValueError, LookupError):  # not well-formed, or of an unknown encoding
+                        pass
                 rows.append((file_id, part, ok, facts))
             yield pd.DataFrame(rows, columns=["file_id", "part", "xml_ok", "facts"])
 
-    return parts.filter(F.col("xml").isNotNull()).select("file_id", "part", "xml").mapInPandas(read, _FACTS)
+    return parts.filter(F.col("xml").isNotNull() | F.col("damaged")).select("file_id", "part", "xml").mapInPandas(read, _FACTS)
 
 
 def _of_kind(kind: str):
@@ -145,7 +164,8 @@ def part_relationships(facts: DataFrame) -> DataFrame:
 def slide_order(facts: DataFrame, rels: DataFrame) -> DataFrame:
     """(file_id, page_no, part): pages in the order the presentation lists them."""
     listed = facts.filter(F.col("part") == "ppt/presentation.xml").select("file_id", F.posexplode_outer(_of_kind("slide")).alias("i", "s")).filter(F.col("i").isNotNull())
-    deck = rels.filter(F.col("part") == "ppt/presentation.xml").select("file_id", F.col("rel_id"), "target")
+    # Of a repeated relationship id the last one counts, so no page is listed twice by it.
+    deck = rels.filter(F.col("part") == "ppt/presentation.xml").groupBy("file_id", "rel_id").agg(F.max_by("target", "n").alias("target"))
     ids = listed.select("file_id", (F.col("i") + 1).alias("page_no"), F.col("s.name").alias("rel_id"))
     target = F.coalesce("target", F.lit(""))
     part = F.when(target.startswith("ppt/"), target).otherwise(F.concat(F.lit("ppt/"), target))
@@ -176,10 +196,12 @@ def _tables():
 
 
 def parse_packages(files: DataFrame) -> DataFrame:
-    """One row per page: file_id, page_no, title, native_text, notes_text, fingerprint, content, part.
+    """One row per page: file_id, page_no, title, native_text, notes_text, fingerprint, content, part, parse_status.
 
-    ``files``: file_id, content. A listed page whose part is absent comes out empty. Archives are
-    opened once; what they state is kept in the shared folder for the joins that follow.
+    ``files``: file_id, content. A listed page whose part is absent comes out empty. parse_status is
+    failed for a page whose part is damaged or no XML; an archive that cannot be opened, or whose list of pages
+    cannot be read, gives one failed row without a page. Archives are opened once; what they state is kept in the
+    shared folder for the joins that follow.
     """
     facts = cut(part_facts(package_parts(files)))
     rels = part_relationships(facts)
@@ -200,7 +222,7 @@ def parse_packages(files: DataFrame) -> DataFrame:
         F.struct(*[f["place"][i].alias(k) for i, k in enumerate(("x", "y", "cx", "cy"))]),
     )
     pages = (
-        order.join(facts.select("file_id", "part", "facts"), ["file_id", "part"], "left")
+        order.join(facts.select("file_id", "part", "facts", "xml_ok"), ["file_id", "part"], "left")
         .join(own_rels, ["file_id", "part"], "left")
         .withColumn("_notes_part", notes_part)
         .join(notes, ["file_id", "_notes_part"], "left")
@@ -219,11 +241,17 @@ def parse_packages(files: DataFrame) -> DataFrame:
             lambda r: F.struct(r["id"].alias("id"), r["type"].alias("type"), r["target"].alias("target"), r["target_mode"].alias("target_mode")),
         ).alias("relationships"),
     )
-    return pages.select(
+    parsed = pages.select(
         "file_id", "page_no", "part", title.alias("title"), "native_text",
         F.coalesce("_notes", F.lit("")).alias("notes_text"),
         fingerprint(F.col("native_text")).alias("fingerprint"),
         content.alias("content"),
-        F.lit("success").alias("parse_status"),
+        F.when(F.coalesce("xml_ok", F.lit(True)), "success").otherwise("failed").alias("parse_status"),
+    )
+    lists = F.col("part").isNull() | F.col("part").isin("ppt/presentation.xml", "ppt/_rels/presentation.xml.rels")
+    lost = facts.filter(lists & ~F.col("xml_ok")).select("file_id").distinct()
+    failed = lost.select(
+        *[F.col("file_id") if f.name == "file_id" else F.lit("failed").alias(f.name) if f.name == "parse_status" else F.lit(None).cast(f.dataType).alias(f.name) for f in parsed.schema.fields]
     )
+    return parsed.unionByName(failed)
 

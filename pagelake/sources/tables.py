@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.session import stored
+
 BUCKETS = 256
 
 
@@ -18,10 +21,25 @@ def bucket(key: Column, buckets: int = BUCKETS) -> Column:
 
 
 def write_table(df: DataFrame, path: str, key: str = "version_id", mode: str = "overwrite", buckets: int = BUCKETS) -> None:
-    """Parquet partitioned by key bucket; with mode overwrite only the buckets present are replaced."""
+    """Parquet partitioned by key bucket; mode overwrite replaces the keys that ``df`` holds, no others.
+
+    Only buckets of these keys are written; their rows of other keys are read first, kept beside the
+    table and written back with the new ones.
+    """
+    rows = df.withColumn("bucket", bucket(F.col(key), buckets))
+    if mode == "overwrite":
+        rows = stored(rows, "table-rows")
+        try:
+            present = df.sparkSession.read.parquet(path)
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            touched = present.join(F.broadcast(rows.select("bucket").distinct()), "bucket", "left_semi")
+            others = touched.join(rows.select(key).distinct(), key, "left_anti")
+            rows = stored(rows.unionByName(others, allowMissingColumns=True), "table-rows")
     (
-        df.withColumn("bucket", bucket(F.col(key), buckets))
-        .write.mode(mode)
+        rows.write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
         .parquet(path)
@@ -39,10 +57,11 @@ def append_batch(df: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def latest_batch(table: DataFrame, key: str) -> DataFrame:
+def latest_batch(table: DataFrame, key: str | list[str]) -> DataFrame:
     """Rows of each key's last batch: replace-by-key resolved while reading."""
-    last = table.groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    return table.join(last, [key, "batch_id"], "left_semi").drop("batch_id")
+    keys = [key] if isinstance(key, str) else key
+    last = table.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return table.join(last, [*keys, "batch_id"], "left_semi").drop("batch_id")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,7 +28,7 @@ def stream_slides(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
 
     The stream holds raw pages (slide_id, version_id, page_no, title, native_text, notes_text,
     ai_summary, content, presentation_title). Each micro-batch lands in its own partition, so a
-    retried batch replaces itself; readers take each page's last batch (``read_slides``).
+    retried batch replaces itself; readers take each version's last batch (``read_slides``).
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
@@ -39,13 +40,13 @@ def stream_slides(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
     return run_available(stream, land, checkpoint)
 
 
-def read_slides(spark: SparkSession, target: str, key: str = "slide_id") -> DataFrame:
-    """Pages as last delivered. With key ``version_id`` a version's last batch replaces all its pages;
-    use it when every micro-batch holds whole versions."""
+def read_slides(spark: SparkSession, target: str, key: str = "version_id") -> DataFrame:
+    """Pages as last delivered: a version's last batch replaces all its pages, so none of an older parse stays.
+    With key ``slide_id`` each page is replaced by itself; use it when a micro-batch may hold part of a version."""
     return latest_batch(spark.read.parquet(f"{target}/slides"), key)
 
 
-def read_elements(spark: SparkSession, target: str, key: str = "slide_id") -> DataFrame:
+def read_elements(spark: SparkSession, target: str, key: str = "version_id") -> DataFrame:
     """Elements of the pages' last batches; a page redelivered without elements has none."""
     last = spark.read.parquet(f"{target}/slides").groupBy(key).agg(F.max("batch_id").alias("batch_id"))
     return spark.read.parquet(f"{target}/elements").join(last, [key, "batch_id"], "left_semi").drop("batch_id")
@@ -57,6 +58,28 @@ def stream_new_files(stream: DataFrame, known: DataFrame, delay: str = "1 day",
     return fresh.withWatermark(time, delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
+def land_new_files(stream: DataFrame, known: DataFrame, target: str, checkpoint: str, time: str = "arrived_at") -> StreamingQuery:
+    """Lands files whose sha256 is neither known nor landed before, however long ago; of equal ones in a batch the first.
+
+    What has landed is the memory, so no state grows in the stream; a retried batch does not see itself.
+    """
+    spark = stream.sparkSession
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.join(known.select("sha256").distinct(), "sha256", "left_anti")
+        try:
+            landed = spark.read.parquet(target).filter(F.col("batch_id") != batch_id)
+            fresh = fresh.join(landed.select("sha256"), "sha256", "left_anti")
+        except AnalysisException as missing:
+            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        rest = [c for c in batch.columns if c != "sha256"]
+        first = fresh.groupBy("sha256").agg(F.min_by(F.struct(*rest), time).alias("f"))
+        append_batch(first.select("sha256", *[F.col("f")[c].alias(c) for c in rest]), target, batch_id)
+
+    return run_available(stream, land, checkpoint)
+
+
 def land_files(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     query = (
         stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,13 +11,13 @@ from pagelake.streaming.ingest import run_available
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """(target_id, at, seq, status, progress) of each target's newest event.
+    """(target_type, target_id, at, seq, status, progress) of each target's newest event.
 
     The order is event time, then sequence number, so a late event cannot turn a state back. One
     small struct per target is kept as state.
     """
     newest = F.max_by(F.struct("at", "seq", "status", "progress"), F.struct("at", "seq"))
-    return events.groupBy("target_id").agg(newest.alias("s")).select("target_id", "s.*")
+    return events.groupBy("target_type", "target_id").agg(newest.alias("s")).select("target_type", "target_id", "s.*")
 
 
 def stream_job_state(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -26,4 +26,4 @@ def stream_job_state(events: DataFrame, target: str, checkpoint: str) -> Streami
 
 
 def read_job_state(spark: SparkSession, target: str) -> DataFrame:
-    return latest_batch(spark.read.parquet(target), "target_id")
+    return latest_batch(spark.read.parquet(target), ["target_type", "target_id"])

@@ -139,20 +139,68 @@ def test_streamed_pages_replace_earlier_ones(spark, table, tmp_path):
 
     arrive([page(1, "old words", ["a", "b"]), page(2, "stay", ["c"])])
     arrive([page(1, "new", [])])
-    got = {r.slide_id: r.native_text for r in ingest.read_slides(spark, target).collect()}
+    got = {r.slide_id: r.native_text for r in ingest.read_slides(spark, target, "slide_id").collect()}
     assert got == {1: "new", 2: "stay"}
-    assert {(r.slide_id, r.text) for r in ingest.read_elements(spark, target).collect()} == {(2, "c")}
+    assert {(r.slide_id, r.text) for r in ingest.read_elements(spark, target, "slide_id").collect()} == {(2, "c")}
+    assert {r.slide_id: r.native_text for r in ingest.read_slides(spark, target).collect()} == {1: "new"}  # the version's last batch
+    assert ingest.read_elements(spark, target).count() == 0
 
 
 def test_streamed_job_state_does_not_regress(spark, table, tmp_path):
-    schema = "target_id bigint, at timestamp, seq bigint, status string, progress int"
+    schema = "target_type string, target_id bigint, at timestamp, seq bigint, status string, progress int"
     source_dir, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
 
     def arrive(rows):
-        df = table(rows, "target_id bigint, s bigint, seq bigint, status string, progress int")
-        df.select("target_id", F.timestamp_seconds("s").alias("at"), "seq", "status", "progress").coalesce(1).write.mode("append").parquet(source_dir)
+        df = table(rows, "target_type string, target_id bigint, s bigint, seq bigint, status string, progress int")
+        df.select("target_type", "target_id", F.timestamp_seconds("s").alias("at"), "seq", "status", "progress").coalesce(1).write.mode("append").parquet(source_dir)
         jobs.stream_job_state(spark.readStream.schema(schema).parquet(source_dir), target, state)
 
-    arrive([(1, 10, 1, "running", 5), (1, 20, 2, "success", 100), (2, 5, 3, "running", 1)])
-    arrive([(1, 15, 9, "failed", 7), (2, 6, 4, "failed", 2)])
-    assert {r.target_id: r.status for r in jobs.read_job_state(spark, target).collect()} == {1: "success", 2: "failed"}
+    arrive([("v", 1, 10, 1, "running", 5), ("v", 1, 20, 2, "success", 100), ("v", 2, 5, 3, "running", 1), ("page", 1, 30, 8, "pending", 0)])
+    arrive([("v", 1, 15, 9, "failed", 7), ("v", 2, 6, 4, "failed", 2)])
+    got = {(r.target_type, r.target_id): r.status for r in jobs.read_job_state(spark, target).collect()}
+    assert got == {("v", 1): "success", ("v", 2): "failed", ("page", 1): "pending"}
+
+
+def test_streamed_files_land_once(spark, table, tmp_path):
+    source_dir, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "sha256 string, arrived_at timestamp, n int"
+
+    def arrive(rows):
+        df = table(rows, "sha256 string, s bigint, n int")
+        df.select("sha256", F.timestamp_seconds("s").alias("arrived_at"), "n").coalesce(1).write.mode("append").parquet(source_dir)
+        ingest.land_new_files(spark.readStream.schema(schema).parquet(source_dir), table([("k",)], "sha256 string"), target, state)
+
+    arrive([("a", 9, 1), ("a", 3, 2), ("k", 1, 3)])
+    arrive([("a", 99_999_999, 4), ("b", 5, 5)])
+    assert {(r.sha256, r.n) for r in spark.read.parquet(target).collect()} == {("a", 2), ("b", 5)}
+
+
+def test_write_table_keeps_other_keys_of_a_bucket(spark, table, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.range(400).selectExpr("cast(id % 200 as int) version_id", "cast(id as string) t")
+    tables.write_table(old, path, buckets=4)
+    tables.write_table(table([(7, "new")], "version_id int, t string"), path, buckets=4)
+    got = [(r.version_id, r.t) for r in spark.read.parquet(path).collect()]
+    assert len(got) == 399 and [t for v, t in got if v == 7] == ["new"]
+
+
+def test_damaged_packages_become_failed_rows(spark, table):
+    ns = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    slide = f'<p:sld {ns}><p:cSld><p:spTree><p:sp><a:p><a:r><a:t>Größe</a:t></a:r></a:p></p:sp><p:pic><a:blip r:embed="x"/><a:xfrm><a:off x="10.5" y="n"/></a:xfrm></p:pic></p:spTree></p:cSld></p:sld>'
+    rel = '<Relationship Id="{}" Type="slide" Target="{}"/>'
+
+    def deck(parts):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            z.writestr("ppt/presentation.xml", f'<p:presentation {ns}><p:sldIdLst><p:sldId r:id="r1"/><p:sldId r:id="r2"/></p:sldIdLst></p:presentation>')
+            z.writestr("ppt/_rels/presentation.xml.rels", "<Relationships>" + rel.format("r1", "gone.xml") + rel.format("r1", "slides/s1.xml") + rel.format("r2", "slides/s2.xml") + "</Relationships>")
+            for n, data in parts.items():
+                z.writestr(n, data)
+        return raw.getvalue()
+
+    wide = ('<?xml version="1.0" encoding="UTF-16"?>' + slide).encode("utf-16")
+    rows = [(1, bytearray(deck({"ppt/slides/s1.xml": wide, "ppt/slides/s2.xml": "<broken"}))), (2, bytearray(b"no archive"))]
+    got = source.parse_packages(table(rows, "file_id bigint, content binary")).collect()
+    assert {(r.file_id, r.page_no, r.native_text, r.parse_status) for r in got} == {(1, 1, "Größe", "success"), (1, 2, "", "failed"), (2, None, None, "failed")}
+    place = next(r for r in got if r.page_no == 1).content.pictures[0].position
+    assert (place.x, place.y) == (10, None)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pagelake.operators import enrich, jobs, library
+from pagelake.operators import enrich, jobs, library, packages, quality
 from pagelake.operators.ranks import blocked_rank
 from pagelake.operators.versions import file_dedup
 
@@ -36,7 +36,7 @@ def test_empty_trash_cascades(table):
             "slides": table([(100, 10), (300, 30)], "slide_id bigint, version_id int"),
             "favorites": table([(0, 100), (0, 300)], "user_id bigint, slide_id bigint"),
             "matches": table([(100, None), (300, 100), (None, 300)], "from_slide_id bigint, to_slide_id bigint"),
-            "jobs": table([(1, 10), (2, 30)], "job_id bigint, target_id int"),
+            "jobs": table([(1, "version", 10), (2, "version", 30)], "job_id bigint, target_type string, target_id int"),
         },
         user_id=0,
     )
@@ -96,3 +96,46 @@ def test_newest_live_copy_wins(table):
     known = table([(1, 1, "h", 5), (2, 1, "h", 9), (3, 3, "h", 99), (4, 3, "g", 1)], "version_id bigint, presentation_id int, sha256 string, created_at bigint")
     got = file_dedup(table([(7, "h"), (8, "g")], "file_id bigint, sha256 string"), known, pres(table))
     assert {r.file_id: (r.is_duplicate, r.existing_version_id) for r in got.collect()} == {7: (True, 2), 8: (False, None)}
+
+
+def test_a_retry_sets_the_start_again(table):
+    rows = [("a", "start", 1, 1), ("a", "failure", 2, 2), ("a", "start", 3, 3), ("a", "start", 4, 4), ("a", "success", 9, 5), ("b", "start", 1, 1), ("b", "failure", 2, 2), ("b", "start", 5, 3)]
+    df = table(rows, "idempotency_key string, event string, s bigint, seq bigint").withColumn("at", F.timestamp_seconds("s")).withColumn("error_code", F.lit(None).cast("string"))
+    got = {r.k: r.s for r in jobs.collapse_events(df).selectExpr("idempotency_key k", "unix_seconds(started_at) s").collect()}
+    assert got == {"a": 3, "b": 5}
+
+
+def test_targets_of_other_kinds_keep_their_jobs(table):
+    tables = {
+        "presentations": table([(1,), (2,)], "presentation_id int"), "versions": table([(8, 1), (9, 2)], "version_id int, presentation_id int"),
+        "slides": table([(80, 8), (8, 9)], "slide_id bigint, version_id int"),
+        "jobs": table([(1, "version", 8), (2, "slide", 8), (3, "version", 9)], "job_id bigint, target_type string, target_id bigint"),
+    }
+    left = library.hard_delete(tables, table([(1,)], "presentation_id int"))
+    assert {r.job_id for r in left["jobs"].collect()} == {2, 3}
+
+
+def test_repeated_changes_give_one_row(table):
+    pages = table([(1, 7, "old", "x"), (2, 7, "stay", "y"), (3, 8, "other", "z")], "slide_id bigint, version_id int, title string, user_note string")
+    changes = table([(1, "b", 2, None), (1, "a", 1, None), (2, None, 1, ["user_note"]), (3, "no", 1, None)], "slide_id bigint, title string, at int, set_null array<string>")
+    files, versions = table([(1, 0), (2, 5)], "presentation_id int, owner_id int"), table([(7, 1), (8, 2)], "version_id int, presentation_id int")
+    got = [tuple(r) for r in library.patch_slides(pages, changes, files, versions, user_id=0).collect()]
+    assert sorted(got, key=str) == [(1, 7, "b", "x"), (2, 7, "stay", None), (3, 8, "other", "z")]
+
+
+def test_repeated_replies_give_one_row(table):
+    slides = table([(1, "old", "none"), (2, "keep", "none")], "slide_id bigint, ai_summary string, ai_status string")
+    runs = table([(1, "first", "success", 1), (1, "second", "success", 2), (2, None, "failed", 1)], "slide_id bigint, summary string, status string, at int")
+    assert sorted(tuple(r) for r in enrich.apply_summaries(slides, runs).collect()) == [(1, "second", "success"), (2, "keep", "failed")]
+    elements = table([(1, 0, "picture", None, ["x"]), (1, 1, "textbox", "t", ["t"])], "slide_id bigint, element_index int, element_type string, text string, tokens array<string>")
+    replies = table([(1, 0, '{"md": "old"}', 1), (1, 0, '{"md": "new words"}', 2)], "slide_id bigint, element_index int, raw string, at int")
+    got = {r.element_index: (r.text, r.tokens) for r in enrich.merge_element_ocr(elements, replies).collect()}
+    assert got == {0: ("new words", ["new", "words"]), 1: ("t", ["t"])}
+
+
+def test_a_long_relationship_chain_is_followed(table):
+    n = 12
+    parts = table([(1, f"p/{i}.xml") for i in range(n)], "file_id bigint, part string")
+    rels = table([(1, f"p/{i}.xml", f"{(i + 1) % n}.xml", "Internal") for i in range(n)], "file_id bigint, part string, target string, target_mode string")
+    got = packages.part_closure(table([(1, "p/0.xml")], "file_id bigint, part string"), rels, parts)
+    assert got.count() == n

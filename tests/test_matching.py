@@ -123,3 +123,21 @@ def test_assign_versions(table):
     got = {r.file_id: (r.version_no, r.is_current, r.error) for r in assign_versions(files, versions, pres).collect()}
     assert got == {1: (5, False, None), 2: (6, True, None), 3: (1, True, None), 4: (1, True, None),
                    5: (None, False, "INVALID_PARENT"), 6: (None, False, "INVALID_PARENT")}
+
+
+def test_many_equidistant_pages_settle(table):
+    """Every new page is two bits from every old one: one line of seats, filled in page order."""
+    n = 30
+    old = [(i + 1, 1, i, f"o{i}", 1 << i) for i in range(n)]
+    new = [(1000 + i, 2, i, f"n{i}", 1 << (i + n)) for i in range(n)]
+    got = match_versions(table([(1, 2)], "from_version_id int, to_version_id int"), table(old + new, SLIDES)).collect()
+    assert {(r.from_slide_id, r.to_slide_id, r.match_type) for r in got} == {(i + 1, 1000 + i, "modified") for i in range(n)}
+
+
+def test_threshold_just_met_is_suggested(table):
+    """Sets of Jaccard exactly 0.55, whose product with the size lands above a whole number."""
+    shared, one, two = [f"s{i}" for i in range(55)], [f"a{i}" for i in range(22)], [f"b{i}" for i in range(23)]
+    pages = lambda version, fps: [(version * 1000 + i, version, i, fp, 0) for i, fp in enumerate(fps)]
+    files = table([(5, "deck", 2, None)], "presentation_id int, title string, current_version_id int, deleted_at timestamp")
+    got = suggest_versions(table(pages(1, shared + one), SLIDES), table(pages(2, shared + two), SLIDES), files, threshold=0.55).collect()
+    assert [(r.presentation_id, r.similarity) for r in got] == [(5, 0.55)]
