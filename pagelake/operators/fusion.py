@@ -155,16 +155,17 @@ def recall_lists(
     scope = corpus.scope(user_id, superuser, include_historical)
     pages = corpus.index.select("slide_id", "version_id").join(scope.select("version_id"), "version_id", "left_semi")
     with_text = queries.filter(~is_blank(F.col("query")))
+    scope_of = lambda vectors: scope.select("version_id") if "version_id" in vectors.columns else pages
     return {
         "text": recall.text_recall(with_text, corpus.index, scope).select("query_id", "slide_id", "rank"),
-        "vector": recall.vector_recall(with_text, corpus.embeddings, pages, filter_first).select(
+        "vector": recall.vector_recall(with_text, corpus.embeddings, scope_of(corpus.embeddings), filter_first).select(
             "query_id", "slide_id", "rank"
         ),
         "element_text": recall.element_text_recall(with_text, corpus.elements, scope).select(
             "query_id", "slide_id", "rank"
         ),
         "element_vector": recall.element_vector_recall(
-            with_text, corpus.element_embeddings, pages, filter_first
+            with_text, corpus.element_embeddings, scope_of(corpus.element_embeddings), filter_first
         ).select("query_id", "slide_id", "rank"),
     }
 

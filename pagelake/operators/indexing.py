@@ -93,6 +93,16 @@ def postings(index: DataFrame, doc: str = "slide_id") -> DataFrame:
     )
 
 
+def clustered_postings(index: DataFrame, keys: list[str]) -> DataFrame:
+    """(token, *keys, n_tokens, tf), laid out by token, so that a search reads the files of its words.
+
+    ``index`` needs tokens, n_tokens and ``keys`` (page or element, version).
+    """
+    flat = index.select(*keys, "n_tokens", F.explode_outer("tokens").alias("token")).filter(F.col("token").isNotNull())
+    counted = flat.groupBy(*keys, "n_tokens", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.repartitionByRange("token", *keys).sortWithinPartitions("token", *keys)
+
+
 def index_totals(index: DataFrame) -> DataFrame:
     """One row (n_docs, avg_tokens)."""
     return index.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n_tokens").alias("avg_tokens"))

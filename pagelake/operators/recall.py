@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.constants import LIST_DEPTH
-from pagelake.functions.text import bound, tokens
+from pagelake.functions.text import tokens
 from pagelake.operators.indexing import index_totals
 from pagelake.operators.ranks import top_k
 from pagelake.session import cut
@@ -20,13 +20,11 @@ from pagelake.session import cut
 K1 = 1.2
 B = 0.75
 
-# Query vectors above this many bytes are joined block by block instead of being shipped to every task.
-MAX_SHIPPED_BYTES = 64 << 20
-QUERY_BLOCK = 1024
-
-# Query tokens that may travel with one scan of the index.
-MAX_BATCH_TOKENS = 20000
-ITEM_BLOCK = 20000
+# Query vectors that travel with one scan of the items, in bytes; more queries take more scans.
+SHIPPED_BYTES = 16 << 20
+# Queries and items whose distances a task holds at a time: 16 MB of numbers.
+QUERY_TILE = 1024
+ITEM_TILE = 2048
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -35,66 +33,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0)
 
 
-def _slices(queries: DataFrame) -> list[DataFrame]:
-    """The batch itself while its vocabulary is small enough to travel with the plan, else parts of it."""
-    n_tokens = query_terms(queries).agg(F.sum(F.size("terms"))).first()[0] or 0
-    parts = -(-n_tokens // MAX_BATCH_TOKENS)
-    if parts <= 1:
-        return [queries]
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+def _held(index: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
+    """Postings (token, *keys, n_tokens, tf) of the words, from a postings table or from pages with their tokens."""
+    if "tf" in index.columns:
+        return index.join(words, "token", "left_semi").select("token", *keys, "n_tokens", "tf")
+    flat = index.select(*keys, "n_tokens", F.explode_outer("tokens").alias("token"))
+    return flat.join(words, "token", "left_semi").groupBy("token", *keys, "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _slice_scores(queries: DataFrame, index: DataFrame, doc: str, totals: DataFrame, keep: list[str]) -> DataFrame:
-    terms = query_terms(queries)
-    exploded = terms.select("query_id", F.explode("terms").alias("token"))
-    vocabulary = exploded.agg(F.collect_set("token")).scalar()
-    mine = index.select(doc, *keep, "n_tokens", "tokens", F.array_intersect("tokens", vocabulary).alias("mine"))
-    tf = F.transform("mine", lambda t: F.col("n_tokens") - F.size(F.array_remove("tokens", t)))
-    held = cut(mine.select(doc, *keep, "n_tokens", "mine", tf.alias("tf")))
+def _scores(queries: DataFrame, index: DataFrame, keys: list[str], totals: DataFrame) -> DataFrame:
+    """BM25 of every (query, doc) where the doc holds all of the query's tokens.
 
-    df = held.select(F.explode_outer("mine").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    Only postings of the batch's words are kept. A doc meets a query through the query's rarest
+    token alone, so a common word multiplies nothing; the pairs met look up their other tokens.
+    """
+    asked = query_terms(queries).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token"))
+    held = cut(_held(index, keys, asked.select("token").distinct()))
     n_docs = totals.select(F.col("n_docs").cast("double")).scalar()
     avg = totals.select("avg_tokens").scalar()
-    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    plan = cut(
-        exploded.join(df, "token")
-        .groupBy("query_id")
-        .agg(
-            F.min_by("token", F.struct("df", "token")).alias("token"),
-            F.sort_array(F.collect_list(F.struct("token", idf.alias("idf")))).alias("weights"),
-        )
-        .join(terms, "query_id")
-        .filter(F.size("weights") == F.size("terms"))
-    )
-    rarest = plan.agg(F.collect_set("token")).scalar()
-    met = (
-        held.select("*", F.explode_outer(F.array_intersect("mine", rarest)).alias("token"))
-        .join(plan, "token")
-        .filter(F.size(F.array_except("terms", "mine")) == 0)
-        .withColumn("length", K1 * (1.0 - B + B * F.col("n_tokens") / avg))
+    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    known = asked.join(df, "token")
+    rarest = (
+        known.groupBy("query_id", "n_terms").agg(F.count(F.lit(1)).alias("n"), F.min_by("token", F.struct("df", "token")).alias("token"))
+        .filter(F.col("n") == F.col("n_terms")).select("query_id", "token")
     )
-
-    def part(w):
-        n = F.get("tf", F.array_position("mine", w["token"]).cast("int") - 1)
-        return bound(n, lambda n: w["idf"] * n * (K1 + 1.0) / (n + F.col("length")))
-
-    total = F.aggregate(F.transform("weights", part), F.lit(0.0), lambda s, x: s + x)
-    return met.select("query_id", doc, *keep, F.round(total, 6).alias("score"))
-
-
-def _scores(queries: DataFrame, index: DataFrame, doc: str, totals: DataFrame, keep: list[str]) -> DataFrame:
-    """BM25 of every (query, doc) where the doc holds all of the query's tokens.
-
-    One scan of the token column and no shuffle of the corpus: each doc is cut where it lies to
-    its counts of the batch's words, and that small table is kept. In it a doc meets a query only
-    through the query's rarest token, so a common word multiplies nothing. The batch's vocabulary
-    travels with the scan; its size is checked, larger batches run in slices.
-    """
-    parts = [_slice_scores(part, index, doc, totals, keep) for part in _slices(queries)]
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    return scored
+    met = held.select("token", *keys).join(rarest, "token").select("query_id", *keys)
+    looked = met.join(known, "query_id").join(held, ["token", *keys])
+    idf = F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    length = K1 * (1.0 - B + B * F.col("n_tokens") / avg)
+    part = idf * F.col("tf") * (K1 + 1.0) / (F.col("tf") + length)
+    scored = looked.groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"), F.round(F.sum(part), 6).alias("score"))
+    return scored.filter(F.col("n") == F.col("n_terms")).select("query_id", *keys, "score")
 
 
 def text_recall(
@@ -102,11 +71,12 @@ def text_recall(
 ) -> DataFrame:
     """Pages holding all query tokens, best BM25 first, ties by page id.
 
-    Scope applies before the cut and to the collection statistics; ``totals`` (n_docs, avg_tokens)
+    ``index``: pages with tokens and n_tokens, or their postings (``indexing.clustered_postings``; then give
+    ``totals``, as pages without a word are not in them). Scope applies before the cut and to the collection statistics; ``totals`` (n_docs, avg_tokens)
     saves the pass over the index when the caller keeps them.
     """
     scoped = index.join(scope.select("version_id"), "version_id", "left_semi")
-    scored = _scores(queries, scoped, "slide_id", index_totals(scoped) if totals is None else totals, [])
+    scored = _scores(queries, scoped, ["slide_id"], index_totals(scoped) if totals is None else totals)
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("slide_id")], depth)
 
 
@@ -115,7 +85,7 @@ def element_text_recall(
 ) -> DataFrame:
     """As ``text_recall`` over elements; a page scores as its best element."""
     scoped = elements.join(scope.select("version_id"), "version_id", "left_semi")
-    scored = _scores(queries, scoped, "element_index", index_totals(scoped) if totals is None else totals, ["slide_id"])
+    scored = _scores(queries, scoped, ["slide_id", "element_index"], index_totals(scoped) if totals is None else totals)
     best = scored.groupBy("query_id", "slide_id").agg(F.max("score").alias("score"))
     return top_k(best, ["query_id"], [F.col("score").desc(), F.col("slide_id")], depth)
 
@@ -129,91 +99,80 @@ def _unit(rows) -> np.ndarray:
     return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
 
 
-def _nearest_in_batch(pdf: pd.DataFrame, ids: np.ndarray, unit: np.ndarray, k: int) -> pd.DataFrame:
-    """Each query's k nearest pages among one batch of rows, a page at its nearest row."""
-    distance = np.round(1.0 - _unit(list(pdf["embedding"])) @ unit.T, 6) + 0.0
-    slides = pdf["slide_id"].to_numpy()
-    pages, member = np.unique(slides, return_inverse=True)
-    best = np.full((len(pages), len(ids)), np.inf)
-    np.fmin.at(best, member, distance)
-    found = []
-    for q, query_id in enumerate(ids):
-        column = best[:, q]
-        # pages ascend, so a stable sort breaks ties by page id
-        order = np.argsort(column, kind="stable")[:k]
-        order = order[np.isfinite(column[order])]
-        found.append(pd.DataFrame({"query_id": query_id, "slide_id": pages[order], "distance": column[order]}))
-    return pd.concat(found, ignore_index=True)
+class _Best:
+    """The k nearest pages of each query of a tile so far, nearest first, ties by page."""
 
+    def __init__(self, unit: np.ndarray, k: int) -> None:
+        self.unit, self.k = unit, k
+        self.distance, self.page = np.full((len(unit), 0), np.inf), np.zeros((len(unit), 0), dtype=np.int64)
 
-def _kept(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    merged = pd.concat(parts, ignore_index=True)
-    merged = merged.groupby(["query_id", "slide_id"], as_index=False)["distance"].min()
-    merged = merged.sort_values(["query_id", "distance", "slide_id"], kind="stable")
-    return merged.groupby("query_id").head(k)
+    def add(self, vectors: np.ndarray, owners: np.ndarray) -> None:
+        """Items of one tile; a page counts at its nearest item."""
+        order = np.argsort(owners, kind="stable")
+        pages, first = np.unique(owners[order], return_index=True)
+        raw = np.round(1.0 - self.unit @ vectors[order].T, 6) + 0.0
+        near = np.fmin.reduceat(np.where(np.isnan(raw), np.inf, raw), first, axis=1)
+        old = {"d": self.distance, "p": self.page}
+        both = np.concatenate([old["d"], near], axis=1)
+        page = np.concatenate([old["p"], np.broadcast_to(pages, near.shape)], axis=1)
+        rank = np.lexsort((both, page), axis=1)  # a page met before and now: the nearer one stays
+        both, page = np.take_along_axis(both, rank, 1), np.take_along_axis(page, rank, 1)
+        again = np.zeros(page.shape, dtype=bool)
+        again[:, 1:] = page[:, 1:] == page[:, :-1]
+        both[again] = np.inf
+        rank = np.lexsort((page, both), axis=1)[:, : self.k]
+        self.distance, self.page = np.take_along_axis(both, rank, 1), np.take_along_axis(page, rank, 1)
 
 
 _FOUND = "query_id bigint, slide_id bigint, distance double"
 
 
-def _shipped_scan(query_rows: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
-    ids = query_rows["query_id"].to_numpy()
-    unit = _unit(list(query_rows["embedding"]))
-    shipped = items.sparkSession.sparkContext.broadcast((ids, unit))
+def _scan(query_rows: list, items: DataFrame, k: int) -> DataFrame:
+    """Each task's k nearest pages per query, from one pass over its items."""
+    ids = np.array([r["query_id"] for r in query_rows])
+    shipped = items.sparkSession.sparkContext.broadcast((ids, _unit([r["embedding"] for r in query_rows])))
 
     def scan(batches):
         q_ids, q_unit = shipped.value
-        kept = None
+        tiles = [_Best(q_unit[i : i + QUERY_TILE], k) for i in range(0, len(q_unit), QUERY_TILE)]
         for pdf in batches:
-            if len(pdf):
-                found = _nearest_in_batch(pdf, q_ids, q_unit, k)
-                kept = found if kept is None else _kept([kept, found], k)
-        if kept is not None:
-            yield kept
+            for at in range(0, len(pdf), ITEM_TILE):
+                own = pdf.iloc[at : at + ITEM_TILE]
+                vectors, owners = _unit(list(own["embedding"])), own["slide_id"].to_numpy()
+                for tile in tiles:
+                    tile.add(vectors, owners)
+        for n, tile in enumerate(tiles):
+            row, col = np.nonzero(np.isfinite(tile.distance))
+            yield pd.DataFrame({"query_id": q_ids[n * QUERY_TILE + row], "slide_id": tile.page[row, col], "distance": tile.distance[row, col]})
 
     return items.mapInPandas(scan, _FOUND)
 
 
-def _blocked_scan(queries: DataFrame, items: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """Query blocks of bounded size against slices of the items; each pair of blocks is one task group."""
-    blocks = -(-n_queries // QUERY_BLOCK)
-    slices = max(-(-items.count() // ITEM_BLOCK), 1)
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "ib", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    )
-    right = items.withColumn("ib", F.pmod(F.xxhash64("slide_id", "embedding"), F.lit(slices)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    )
-
-    def meet(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"query_id": [], "slide_id": [], "distance": []})
-        return _nearest_in_batch(i, q["query_id"].to_numpy(), _unit(list(q["embedding"])), k)
-
-    grouped = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib"))
-    return grouped.applyInPandas(meet, _FOUND)
-
-
 def nearest_pages(queries: DataFrame, items: DataFrame, k: int = LIST_DEPTH) -> DataFrame:
     """(query_id, slide_id, distance, rank): the k pages nearest to each query vector by cosine.
 
     Exact. ``items`` (slide_id, embedding) may hold many rows per page; a page counts at its
-    nearest row. Distances are rounded to 6 decimals, ties go to the lower page id. The size of
-    the query side is measured: a batch that fits is shipped to the tasks, which scan the items
-    without a shuffle; a larger one is met block by block. Either way a task hands on at most k
-    rows per query.
+    nearest row. Distances are rounded to 6 decimals, ties go to the lower page id. Query vectors travel to the
+    items, ``SHIPPED_BYTES`` of them with each scan, so the items are never shuffled or copied. A task holds the
+    shipped vectors, the distances of one tile and k rows per shipped query, whatever the sizes of either side.
     """
     wanted = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     vectors = items.select("slide_id", "embedding").filter(F.col("embedding").isNotNull())
-    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("cells")).first()
-    if (size["cells"] or 0) * 8 <= MAX_SHIPPED_BYTES:
-        rows = wanted.toPandas()
-        if rows.empty:
-            return items.sparkSession.createDataFrame([], _FOUND + ", rank int")
-        found = _shipped_scan(rows, vectors, k)
-    else:
-        found = _blocked_scan(wanted, vectors, size["n"], k)
-    best = found.groupBy("query_id", "slide_id").agg(F.min("distance").alias("distance"))
+    found, rows, size = [], [], 0
+    for r in wanted.toLocalIterator():
+        rows.append(r)
+        size += 8 * len(r["embedding"])
+        if size >= SHIPPED_BYTES:
+            found.append(_scan(rows, vectors, k))
+            rows, size = [], 0
+    if rows:
+        found.append(_scan(rows, vectors, k))
+    if not found:
+        return items.sparkSession.createDataFrame([], _FOUND + ", rank int")
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy("query_id", "slide_id").agg(F.min("distance").alias("distance"))
     return top_k(best, ["query_id"], [F.col("distance"), F.col("slide_id")], k)
 
 
@@ -228,11 +187,18 @@ def vector_recall(
     filter_first: bool = True,
     depth: int = LIST_DEPTH,
 ) -> DataFrame:
-    """Nearest pages within ``pages`` (slide_id of the caller's scope).
+    """Nearest pages within ``pages``, the caller's scope: page ids, or the scope's versions where ``embeddings`` carry
+    version_id; the list of versions is short, so no vector moves.
 
     ``filter_first=False`` ranks over all pages and drops foreign ones afterwards, so ranks keep gaps.
     """
     usable = successful(embeddings) if "status" in embeddings.columns else embeddings
+    if "version_id" in usable.columns and "version_id" in pages.columns and "slide_id" not in pages.columns:
+        versions = pages.select("version_id").distinct()
+        if filter_first:
+            return nearest_pages(queries, usable.join(versions, "version_id", "left_semi"), depth)
+        own = usable.join(versions, "version_id", "left_semi").select("slide_id").distinct()
+        return nearest_pages(queries, usable, depth).join(own, "slide_id", "left_semi").select("query_id", "slide_id", "distance", "rank")
     scope = pages.select("slide_id")
     if filter_first:
         return nearest_pages(queries, usable.join(scope, "slide_id", "left_semi"), depth)

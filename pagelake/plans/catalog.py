@@ -177,7 +177,8 @@ def favorites_list(v):
 
 @query
 def text_recall(v):
-    return recall.text_recall(v.queries, v.stored_index(USER), v.scope(USER))
+    postings, totals = v.stored_postings(USER)
+    return recall.text_recall(v.queries, postings, v.scope(USER), totals)
 
 
 @query
@@ -191,7 +192,7 @@ def _scope_pages(v):
 
 @query
 def vector_recall(v):
-    return recall.vector_recall(v.queries, v.slide_embeddings, _scope_pages(v))
+    return recall.vector_recall(v.queries, v.slide_embeddings, v.scope(USER).select("version_id"))
 
 
 @query
@@ -201,7 +202,7 @@ def vector_recall_postfilter(v):
 
 @query
 def element_vector_recall(v):
-    return recall.element_vector_recall(v.queries, v.element_embeddings, _scope_pages(v))
+    return recall.element_vector_recall(v.queries, v.element_embeddings, v.scope(USER).select("version_id"))
 
 
 @query

@@ -82,8 +82,9 @@ jobs AS (
          ts AS created_at, CAST(round(value * 1000) AS BIGINT) AS took_ms
   FROM events),
 queries AS (
-  SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(text, '{PAT}'), 1, 2), ' ') AS query, e.embedding, e.label
-  FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id)"""
+  SELECT item_id AS query_id, text AS query, e.embedding, e.label FROM benchmark LEFT JOIN embeddings e ON e.vec_id = item_id
+  UNION ALL
+  SELECT -item_id - 1, coalesce(list_reverse_sort([{{'n': length(w), 'w': w}} for w in regexp_extract_all(text, '{PAT}')])[1].w, ''), NULL, NULL FROM benchmark)"""
 
 
 def sql(body: str, *ctes: str) -> str:

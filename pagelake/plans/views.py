@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pagelake.functions.text import first_line, fingerprint
 from pagelake.operators.dedup import signature64
 from pagelake.operators.fusion import Corpus
-from pagelake.operators.indexing import ai_tag_text, extract_elements, index_text, token_index
+from pagelake.operators.indexing import ai_tag_text, clustered_postings, extract_elements, index_text, index_totals, token_index
 from pagelake.operators.scope import scoped_slides, scoped_versions
 from pagelake.session import stored
 from pagelake.sources.tables import spread
@@ -249,24 +249,31 @@ class Views:
 
     @cached_property
     def slide_embeddings(self) -> DataFrame:
-        return self.table("embeddings").select(
+        return self._versioned(self.table("embeddings").select(
             F.col("vec_id").alias("slide_id"), F.lit("m1").alias("model"), F.lit("success").alias("status"), "embedding", "label"
-        )
+        ))
+
+    def _versioned(self, vectors: DataFrame) -> DataFrame:
+        """Vectors with the version of their page, as a vector table keeps it; null for pages that are not there."""
+        current = self.documents.select(F.col("doc_id").alias("slide_id"), (2 * F.col("pid") + 2).cast("int").alias("version_id"))
+        return vectors.join(current, "slide_id", "left")
 
     @cached_property
     def element_embeddings(self) -> DataFrame:
         vec = F.col("vec_id")
-        return self.table("embeddings").select((vec % 100).alias("slide_id"), F.floor(vec / 100).cast("int").alias("element_index"), "embedding")
+        return self._versioned(self.table("embeddings").select((vec % 100).alias("slide_id"), F.floor(vec / 100).cast("int").alias("element_index"), "embedding"))
 
     # --- searches ---------------------------------------------------------------------------
 
     @cached_property
     def queries(self) -> DataFrame:
-        """First two words of every benchmark passage, with the vector of the same number."""
-        words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), 1, 2), " ")
+        """Every benchmark passage as it stands, with the vector of the same number, and its longest word (negative id)."""
+        words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
         vectors = self.table("embeddings").select(F.col("vec_id").alias("query_id"), "embedding", "label")
-        texts = self.table("benchmark").select(F.col("item_id").alias("query_id"), words.alias("query"))
-        return texts.join(vectors, "query_id", "left")
+        passages = self.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+        single = self.table("benchmark").select((-F.col("item_id") - 1).alias("query_id"), F.coalesce(longest, F.lit("")).alias("query"))
+        return passages.unionByName(single).join(vectors, "query_id", "left")
 
     def scoped(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
         return scoped_slides(self.slides, self.presentations, self.versions, user_id, superuser, include_historical)
@@ -284,6 +291,11 @@ class Views:
         columns = ("slide_id", "version_id", "page_no", "title", "created_at", "tokens", "n_tokens")
         return stored(self.page_index(user_id, superuser, include_historical).select(*columns), "page-index")
 
+    def stored_postings(self, user_id=None, superuser=False, include_historical=False) -> tuple[DataFrame, DataFrame]:
+        """(postings, totals) of the page index, both as an index build leaves them."""
+        index = self.stored_index(user_id, superuser, include_historical)
+        return stored(clustered_postings(index, ["slide_id", "version_id"]), "page-postings"), stored(index_totals(index), "page-totals")
+
     def stored_elements(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
         columns = ("slide_id", "version_id", "element_index", "tokens", "n_tokens")
         elements = extract_elements(self.scoped(user_id, superuser, include_historical))

@@ -1,9 +1,10 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagelake import constants as c
 from pagelake.operators import fusion, quality, recall
 from pagelake.operators.enrich import hashed_bag, merge_ai_tags, merge_embeddings, merge_ocr_text, normalize_analyses, build_embeddings
-from pagelake.operators.indexing import token_index
+from pagelake.operators.indexing import clustered_postings, index_totals, token_index
 
 PAGES = [
     (1, 2, 1, "Alpha", "alpha beta beta"),
@@ -44,23 +45,44 @@ def test_text_recall_needs_all_tokens_and_scope(table):
     assert {r["rank"] for r in got if r.query_id == 0} == {1, 2}
 
 
-def test_sliced_batches_score_alike(table, monkeypatch):
+def test_batches_score_as_single_queries(table):
     k, q = corpus(table), asked(table, "alpha", "beta", "gamma delta", "alpha beta")
     whole = {tuple(r) for r in recall.text_recall(q, k.index, k.scope(0)).collect()}
-    monkeypatch.setattr(recall, "MAX_BATCH_TOKENS", 2)
-    assert len(recall._slices(q)) == 3
-    assert {tuple(r) for r in recall.text_recall(q, k.index, k.scope(0)).collect()} == whole
-
-
-def test_blocked_vectors_equal_shipped(table, monkeypatch):
-    rows = [(i % 23, [float((i * 7) % 11) - 5, float((i * 3) % 5) - 2, 1.0]) for i in range(200)]
-    items = table(rows, "slide_id bigint, embedding array<float>")
-    q = table([(i, [1.0, float(i), -1.0]) for i in range(9)], "query_id bigint, embedding array<float>")
-    shipped = {tuple(r) for r in recall.nearest_pages(q, items, 5).collect()}
-    monkeypatch.setattr(recall, "MAX_SHIPPED_BYTES", 0)
-    monkeypatch.setattr(recall, "QUERY_BLOCK", 4)
-    monkeypatch.setattr(recall, "ITEM_BLOCK", 30)
-    assert {tuple(r) for r in recall.nearest_pages(q, items, 5).collect()} == shipped and len(shipped) == 45
+    alone = {tuple(r) for i in range(4) for r in recall.text_recall(q.filter(F.col("query_id") == i), k.index, k.scope(0)).collect()}
+    assert whole == alone
+
+
+def test_postings_score_as_tokens(table):
+    k, q = corpus(table), asked(table, "alpha", "beta beta gamma", "alpha beta")
+    postings, totals = clustered_postings(k.index, ["slide_id", "version_id"]), index_totals(k.index.join(k.scope(0).select("version_id"), "version_id", "left_semi"))
+    got = {tuple(r) for r in recall.text_recall(q, postings, k.scope(0), totals).collect()}
+    assert got == {tuple(r) for r in recall.text_recall(q, k.index, k.scope(0)).collect()} and got
+
+
+def test_nearest_pages_equal_brute_force_in_small_tiles(table, monkeypatch):
+    monkeypatch.setattr(recall, "SHIPPED_BYTES", 200)
+    monkeypatch.setattr(recall, "QUERY_TILE", 4)
+    monkeypatch.setattr(recall, "ITEM_TILE", 30)
+    rows = [(i % 23, [float((i * 7) % 11) - 5, float((i * 3) % 5) - 2, 1.0]) for i in range(200)] + [(99, [0.0, 0.0, 0.0])]
+    asked_rows = [(i, [1.0, float(i), -1.0]) for i in range(19)]
+    got = recall.nearest_pages(table(asked_rows, "query_id bigint, embedding array<float>"), table(rows, "slide_id bigint, embedding array<float>"), 5).collect()
+    unit = lambda x: np.array(x) / np.linalg.norm(x)
+    expected = set()
+    for q, v in asked_rows:
+        best = {}
+        for page, e in rows[:-1]:
+            best[page] = min(best.get(page, 9.0), round(1 - float(unit(v) @ unit(e)), 6) + 0.0)
+        expected |= {(q, page, d) for d, page in sorted((d, p) for p, d in best.items())[:5]}
+    assert {(r.query_id, r.slide_id, r.distance) for r in got} == expected
+
+
+def test_many_queries_stay_within_the_stated_bound():
+    """A tile of distances is 16 MB; a task keeps k rows per shipped query beside the vectors."""
+    assert recall.QUERY_TILE * recall.ITEM_TILE * 8 <= 16 << 20
+    best = recall._Best(np.eye(5000, 8)[:, :8] + 0.1, 10)
+    for i in range(3):
+        best.add(np.eye(8) + i, np.arange(8) + 8 * i)
+    assert best.distance.shape == best.page.shape == (5000, 10)
 
 
 def test_postfilter_keeps_rank_gaps(table):
