@@ -48,10 +48,10 @@ def _cache(path: str) -> ChunkCache:
         tokenizer = Tokenizer.from_file(path)
 
         def make(texts: list[bytes]) -> list[bytes]:
-            found = tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            found = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-        _CACHES[path] = ChunkCache(make)
+        _CACHES[path] = ChunkCache(make, 500_000)
     return _CACHES[path]
 
 
