@@ -8,11 +8,15 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.constants import ANALYSIS_LISTS, ANALYSIS_REQUIRED, DEFAULT_CONFIDENCE, DOMAIN_WORDS
+from pagelake.constants import ANALYSIS_LISTS, ANALYSIS_REQUIRED, DEFAULT_CONFIDENCE
 
 # Whitespace as Unicode defines it, written so that Java and RE2 read it alike.
 SPACES = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 
+# Line breaks besides \n, and blanks that may stand before one.
+LINE_BREAKS = r"\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+LINE_END_BLANKS = r"[\t \x1F\p{Zs}]+"
+
 # The same set as characters, for trimming.
 BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -45,7 +49,7 @@ WORD = r"[\p{L}\p{N}]+"
 IDEOGRAPHIC = r"[\x{2E80}-\x{3FFFF}]"
 
 
-def token_pattern(words: Iterable[str] = DOMAIN_WORDS) -> str:
+def token_pattern(words: Iterable[str] = ()) -> str:
     """Regular expression for one token: a dictionary word, one ideograph, or a letter/digit run."""
     longest_first = sorted({w.lower() for w in words if re.search(r"[一-鿿]", w)}, key=lambda w: (-len(w), w))
     parts = [re.escape(w) for w in longest_first]
@@ -56,7 +60,7 @@ _DEFAULT_PATTERN = token_pattern()
 
 
 def tokens(text: Column, words: Iterable[str] | None = None) -> Column:
-    """Lower-cased tokens in text order; the same rule serves pages and queries."""
+    """Lower-cased tokens in text order; the same rule and ``words`` (as ``read_dictionary`` loads them) serve pages and queries."""
     pattern = _DEFAULT_PATTERN if words is None else token_pattern(words)
     lowered = F.lower(F.coalesce(text, F.lit("")))
     found = lambda p: F.regexp_extract_all(lowered, F.lit(p), F.lit(0))
@@ -102,10 +106,11 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip_images(md: Column) -> Column:
-    """Remove image links, squeeze blank runs, trim line ends."""
+    """Remove image links, squeeze blank runs, trim all Unicode blanks at line ends; every line break becomes a newline."""
     no_images = F.regexp_replace(md, r"!\[[^\]]*\]\([^)]*\)", "")
     squeezed = F.regexp_replace(no_images, r"\n{3,}", "\n\n")
-    lines = F.regexp_replace(squeezed, r"[ \t\r\f]+(?=\n|$)", "")
+    broken = F.regexp_replace(squeezed, LINE_BREAKS, "\n")
+    lines = F.regexp_replace(broken, LINE_END_BLANKS + r"(?=\n|$)", "")
     return strip(lines)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +80,9 @@ def index_text(slides: DataFrame, ai_tags: DataFrame | None = None, with_title:
     return df.withColumn("index_text", joined_parts(*parts))
 
 
-def token_index(df: DataFrame, text: str = "index_text") -> DataFrame:
-    """Adds ``tokens`` and ``n_tokens``: the searchable form of a page or element."""
-    return df.withColumn("tokens", tokens(F.col(text))).withColumn("n_tokens", F.size("tokens"))
+def token_index(df: DataFrame, text: str = "index_text", words: Iterable[str] | None = None) -> DataFrame:
+    """Adds ``tokens`` and ``n_tokens``: the searchable form of a page or element. ``words``: a user's dictionary."""
+    return df.withColumn("tokens", tokens(F.col(text), words)).withColumn("n_tokens", F.size("tokens"))
 
 
 def postings(index: DataFrame, doc: str = "slide_id") -> DataFrame:

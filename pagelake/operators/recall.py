@@ -5,6 +5,8 @@ Every list has the form (query_id, slide_id, score or distance, rank).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,9 +29,9 @@ QUERY_TILE = 1024
 ITEM_TILE = 2048
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, terms): distinct tokens; queries without any token are left out."""
-    terms = F.array_distinct(tokens(F.col("query")))
+def query_terms(queries: DataFrame, words: Iterable[str] | None = None) -> DataFrame:
+    """(query_id, terms): distinct tokens, cut with the dictionary ``words`` of the index; queries without any token are left out."""
+    terms = F.array_distinct(tokens(F.col("query"), words))
     return queries.select("query_id", terms.alias("terms")).filter(F.size("terms") > 0)
 
 
@@ -41,13 +43,13 @@ def _held(index: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
     return flat.join(words, "token", "left_semi").groupBy("token", *keys, "n_tokens").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _scores(queries: DataFrame, index: DataFrame, keys: list[str], totals: DataFrame) -> DataFrame:
+def _scores(queries: DataFrame, index: DataFrame, keys: list[str], totals: DataFrame, words: Iterable[str] | None) -> DataFrame:
     """BM25 of every (query, doc) where the doc holds all of the query's tokens.
 
     Only postings of the batch's words are kept. A doc meets a query through the query's rarest
     token alone, so a common word multiplies nothing; the pairs met look up their other tokens.
     """
-    asked = query_terms(queries).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token"))
+    asked = query_terms(queries, words).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token"))
     held = cut(_held(index, keys, asked.select("token").distinct()))
     n_docs = totals.select(F.col("n_docs").cast("double")).scalar()
     avg = totals.select("avg_tokens").scalar()
@@ -67,7 +69,7 @@ def _scores(queries: DataFrame, index: DataFrame, keys: list[str], totals: DataF
 
 
 def text_recall(
-    queries: DataFrame, index: DataFrame, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH
+    queries: DataFrame, index: DataFrame, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH, words: Iterable[str] | None = None
 ) -> DataFrame:
     """Pages holding all query tokens, best BM25 first, ties by page id.
 
@@ -76,16 +78,16 @@ def text_recall(
     saves the pass over the index when the caller keeps them.
     """
     scoped = index.join(scope.select("version_id"), "version_id", "left_semi")
-    scored = _scores(queries, scoped, ["slide_id"], index_totals(scoped) if totals is None else totals)
+    scored = _scores(queries, scoped, ["slide_id"], index_totals(scoped) if totals is None else totals, words)
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("slide_id")], depth)
 
 
 def element_text_recall(
-    queries: DataFrame, elements: DataFrame, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH
+    queries: DataFrame, elements: DataFrame, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH, words: Iterable[str] | None = None
 ) -> DataFrame:
     """As ``text_recall`` over elements; a page scores as its best element."""
     scoped = elements.join(scope.select("version_id"), "version_id", "left_semi")
-    scored = _scores(queries, scoped, ["slide_id", "element_index"], index_totals(scoped) if totals is None else totals)
+    scored = _scores(queries, scoped, ["slide_id", "element_index"], index_totals(scoped) if totals is None else totals, words)
     best = scored.groupBy("query_id", "slide_id").agg(F.max("score").alias("score"))
     return top_k(best, ["query_id"], [F.col("score").desc(), F.col("slide_id")], depth)
 

@@ -535,7 +535,7 @@ def created_ai_tags(v):
 def _ocr_replies(v):
     """OCR replies in the three shapes, from page text with image links put in."""
     doc = F.col("doc_id")
-    md = F.concat(F.lit("![a](images/"), doc.cast("string"), F.lit(".png)\n\n\n\n"), F.col("text"), F.lit("  \n"))
+    md = F.concat(F.lit("![a](images/"), doc.cast("string"), F.lit(".png)\n\n\n\n"), F.col("text"), F.lit(" \u3000\n"))
     raw = (
         F.when(doc % 4 == 0, F.to_json(F.struct(md.alias("md"))))
         .when(doc % 4 == 1, F.to_json(F.struct(F.create_map(F.lit("p.png"), F.struct(md.alias("md_content"))).alias("results"))))

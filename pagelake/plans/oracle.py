@@ -313,7 +313,7 @@ fresh_tags AS (
 OCR = rf"""
 ocr AS (
   SELECT doc_id AS slide_id, CASE WHEN doc_id % 4 = 3 THEN '' ELSE
-    {_strip(r"regexp_replace(regexp_replace(chr(10) || chr(10) || chr(10) || chr(10) || text || '  ' || chr(10), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t\r\f]+(\n|$)', '\1', 'g')")} END AS md
+    {_strip(r"regexp_replace(regexp_replace(regexp_replace(chr(10) || chr(10) || chr(10) || chr(10) || text || ' ' || chr(12288) || chr(10), '\n{3,}', chr(10) || chr(10), 'g'), '\r\n|[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '[\t \x1F\p{Zs}]+(\n|$)', '\1', 'g')")} END AS md
   FROM docs)"""
 
 BLOCKS = f"""

@@ -12,9 +12,15 @@ def values(spark, rows, expr, schema="x string"):
 
 
 def test_tokens_keep_dictionary_words(spark):
-    rows = ["无人系统总体架构 PPT-2 über", "智能体簇和单页", "", None, "a1b_c"]
-    got = values(spark, rows, text.segmented(F.col("x")))
-    assert got == ["无人系统 总体架构 ppt 2 über", "智能体簇 和 单页", "", "", "a1b c"]
+    rows = ["河流地图 MAP-2 über", "蓝色河流图", "", None, "a1b_c"]
+    got = values(spark, rows, text.segmented(F.col("x"), ["河流", "地图", "蓝色"]))
+    assert got == ["河流 地图 map 2 über", "蓝色 河流 图", "", "", "a1b c"]
+    assert values(spark, rows[:1], text.segmented(F.col("x"))) == ["河 流 地 图 map 2 über"]
+
+
+def test_line_ends_lose_all_blanks(spark):
+    got = values(spark, ["a \u3000\nb\u00a0\r\nc\x0bd\t ", "![x](y)e\u2028f"], text.strip_images(F.col("x")))
+    assert got == ["a\nb\nc\nd", "e\nf"]
 
 
 def test_fingerprint_ignores_space_and_case(spark):
