@@ -272,6 +272,14 @@ def compose_match(v):
     return fusion.compose_match(outline, best).select("item_no", "section", "slide_id", "presentation_title", "page_no", "score", "matched")
 
 
+@query
+def compose_totals(v):
+    item = F.col("query_id")
+    outline = v.queries.select(item.alias("item_no"), F.concat(F.lit("part "), item.cast("string")).alias("section"), "query")
+    best = fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, topn=1)
+    return fusion.compose_totals(fusion.compose_match(outline, best))
+
+
 # --- duplicates -----------------------------------------------------------------------------
 
 
@@ -595,6 +603,53 @@ def promote_status(v):
     return enrich.promote_status(v.versions, ready, rendered=rendered).select("version_id", "status")
 
 
+@query
+def apply_summaries(v):
+    """Two runs per labelled page; the second one counts, a failed one keeps the old summary."""
+    pages = v.slides.select("slide_id", F.lit("old").alias("ai_summary"), F.lit("none").alias("ai_status"))
+    seen = v.table("labels").select(F.col("doc_id").alias("slide_id"), "quality")
+    first = seen.select("slide_id", F.lit("first").alias("summary"), F.lit("success").alias("status"), F.lit(1).alias("at"))
+    again = seen.select(
+        "slide_id", F.concat(F.lit("second "), F.col("slide_id").cast("string")).alias("summary"),
+        F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"), F.lit(2).alias("at"),
+    )
+    return enrich.apply_summaries(pages, first.unionByName(again))
+
+
+@query
+def merge_element_ocr(v):
+    """Pictures read twice; text and tokens of the later reply."""
+    index = indexing.token_index(v.elements.select("slide_id", "element_index", "element_type", "text"), "text").drop("n_tokens")
+    page = F.col("slide_id").cast("string")
+    reply = lambda at, body: v.elements.select(
+        "slide_id", "element_index", F.to_json(F.struct(body.alias("md"))).alias("raw"), F.lit(at).alias("at")
+    )
+    replies = reply(1, F.lit("draft")).unionByName(reply(2, F.concat(F.lit("read "), page, F.lit(" twice"))))
+    merged = enrich.merge_element_ocr(index, replies)
+    return merged.select(
+        "slide_id", F.col("element_index").cast("bigint").alias("element_index"), F.md5(F.col("text").cast("binary")).alias("text_hash"),
+        F.array_join("tokens", " ").alias("tokens"),
+    ).filter(F.col("tokens").like("read%twice") | F.col("text_hash").isNull())
+
+
+@query
+def hex_distances(v):
+    """Distance of the two halves of a text's digest, and of the first one to the language code, which is seldom a number."""
+    digest = F.sha2("text", 256)
+    one, two = F.substring(digest, 1, 16), F.substring(digest, 17, 16)
+    return v.documents.select("doc_id", scalar.hamming(one, two).alias("halves"), scalar.hamming(one, F.col("lang")).alias("odd"))
+
+
+@query
+def titles_from_paths(v):
+    return v.files.select("file_id", text.title_from_path(F.col("path")).alias("title"))
+
+
+@query
+def pages_of_version(v):
+    return library.version_slides(v.slides, 2).select("slide_id", "page_no", "title")
+
+
 # --- jobs -----------------------------------------------------------------------------------
 
 

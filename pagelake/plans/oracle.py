@@ -482,6 +482,9 @@ FROM hits JOIN slide_tags USING (slide_id) JOIN tags USING (tag_id) GROUP BY ALL
 FROM queries q LEFT JOIN hits h ON h.query_id = q.query_id AND h.position = 1""",
         top=1, queries="asked",
     )
+    out["compose_totals"] = search(
+        "SELECT count(*) AS page_count, count(h.slide_id) AS matched_count FROM queries q LEFT JOIN hits h ON h.query_id = q.query_id AND h.position = 1", top=1
+    )
     out["signatures"] = sql("SELECT slide_id, printf('%08x%08x', hi, lo) AS signature FROM signed", scope(), signatures())
     out["duplicate_exact"] = sql("SELECT slide_id, group_id, group_size FROM bearing JOIN exact_groups USING (fingerprint)", scope(), EXACT)
     out["duplicate_similar_pairs"] = sql("SELECT slide_a, slide_b, distance FROM pairs", scope(), signatures(), PAIRS)
@@ -603,6 +606,24 @@ FROM slides s LEFT JOIN embeddings e ON e.vec_id = s.slide_id LEFT JOIN (SELECT
         """SELECT target_type, target_id, job_id, status, progress FROM (
   SELECT *, row_number() OVER (PARTITION BY target_type, target_id ORDER BY created_at DESC, job_id DESC) AS rn FROM jobs) WHERE rn = 1"""
     )
+    out["apply_summaries"] = sql(
+        """SELECT slide_id, CASE WHEN l.quality = 1 THEN 'second ' || slide_id ELSE 'old' END AS ai_summary,
+  CASE WHEN l.quality = 1 THEN 'success' WHEN l.quality IS NOT NULL THEN 'failed' ELSE 'none' END AS ai_status
+FROM slides LEFT JOIN labels l ON l.doc_id = slide_id"""
+    )
+    out["merge_element_ocr"] = sql(
+        """SELECT slide_id, element_index, md5('read ' || slide_id || ' twice') AS text_hash,
+  array_to_string(regexp_extract_all('read ' || slide_id || ' twice', '[\\p{L}\\p{N}]+'), ' ') AS tokens
+FROM elements WHERE element_type = 'picture' AND coalesce(txt, '') = ''"""
+    )
+    nibble = lambda x: f"strpos('0123456789abcdef', substr({x}, i, 1)) - 1"
+    digits_apart = lambda a, b: f"list_sum([bit_count(xor({nibble(a)}, {nibble(b)})) for i in range(1, 17)])"
+    out["hex_distances"] = f"""
+WITH d AS (SELECT doc_id, substr(sha256(text), 1, 16) AS a, substr(sha256(text), 17, 16) AS b, lang, lpad(lang, 16, '0') AS wide FROM documents)
+SELECT doc_id, CAST({digits_apart('a', 'b')} AS INTEGER) AS halves,
+  CASE WHEN regexp_full_match(lang, '[0-9a-f]{{1,16}}') THEN CAST({digits_apart('a', 'wide')} AS INTEGER) END AS odd FROM d"""
+    out["titles_from_paths"] = sql("SELECT file_id, CAST(file_id AS VARCHAR) AS title FROM files")
+    out["pages_of_version"] = sql("SELECT slide_id, page_no, title FROM slides WHERE version_id = 2")
     out["job_list"] = sql("SELECT job_id, target_id, error_code FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, job_id LIMIT 100")
     out["job_targets"] = sql(
         """SELECT j.job_id, CASE WHEN target_type = 'version' THEN v.original_filename ELSE nullif(s.title, '') END AS target_name,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +74,14 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files and checkpoints of steps that are over."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner drop shuffle files and checkpoints of steps that are over.
+
+    Plans are held from Python until its own collector has run, hence both, and once more for what the first round freed.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def cut(df: DataFrame) -> DataFrame:
