@@ -95,12 +95,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     order = Window.partitionBy("part").orderBy("h", "k", "size")
     placed = ranged.withColumn("_sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     placed = placed.join(F.broadcast(begun), "part").withColumn("at", F.col("before") + F.col("_sum") - F.col("size"))
-    groups = placed.groupBy("h").agg(F.min("at").alias("g_at"), F.sum("size").alias("g_size"))
     goal = total / shards
-    whole = F.col("g_size") <= WHOLE_GROUP * goal
-    middle = F.when(whole, F.col("g_at") + F.col("g_size") / 2).otherwise(F.col("at") + F.col("size") / 2)
+    # Only groups that stay whole are looked up, so a text that a third of all rows hold is no key of this join.
+    groups = cut(
+        placed.groupBy("h").agg(F.min("at").alias("g_at"), F.sum("size").alias("g_size"), F.count(F.lit(1)).alias("n"))
+        .filter((F.col("n") > 1) & (F.col("g_size") <= WHOLE_GROUP * goal)).drop("n")
+    )
+    middle = F.when(F.col("g_at").isNotNull(), F.col("g_at") + F.col("g_size") / 2).otherwise(F.col("at") + F.col("size") / 2)
     shard = F.least(F.floor(middle / F.lit(max(goal, 1e-9))), F.lit(shards - 1)).cast("int")
-    dealt = cut(placed.join(groups, "h").select("doc_id", "size", "text_crc32", "h", "k", "part", shard.alias("shard")))
+    dealt = cut(placed.join(groups, "h", "left").select("doc_id", "size", "text_crc32", "h", "k", "part", shard.alias("shard")))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("shard", "part").orderBy("h", "k", "size")
