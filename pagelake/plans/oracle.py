@@ -87,8 +87,8 @@ queries AS (
   SELECT -item_id - 1, coalesce(list_reverse_sort([{{'n': length(w), 'w': w}} for w in regexp_extract_all(text, '{PAT}')])[1].w, ''), NULL, NULL FROM benchmark)"""
 
 
-def sql(body: str, *ctes: str) -> str:
-    return "WITH " + ",\n".join([BASE.strip(), *ctes]) + "\n" + body
+def sql(body: str, *ctes: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join([BASE.strip(), *ctes]) + "\n" + body
 
 
 def scope(user: int | None = 0, historical: bool = False) -> str:
@@ -357,6 +357,34 @@ exact AS (
          CASE WHEN o.page_no = n.page_no THEN 'unchanged' ELSE 'rearranged' END AS match_type, CAST(1.0 AS DOUBLE) AS score
   FROM firsts o JOIN firsts n ON o.fingerprint = n.fingerprint AND n.version_id = o.version_id + 1 AND o.version_id % 2 = 1)"""
 
+#: The walk in page order: each leftover new page takes its nearest free old page, the lower one among equals.
+WALK = f"""
+old_rest AS (SELECT s.version_id + 1 AS pair, s.slide_id, s.page_no, g.hi, g.lo FROM slides s LEFT JOIN signed g USING (slide_id)
+  WHERE s.version_id % 2 = 1 AND s.slide_id NOT IN (SELECT from_slide_id FROM exact)),
+new_rest AS (SELECT s.version_id AS pair, s.slide_id, s.page_no, g.hi, g.lo FROM slides s LEFT JOIN signed g USING (slide_id)
+  WHERE s.version_id % 2 = 0 AND s.slide_id NOT IN (SELECT to_slide_id FROM exact)),
+near_all AS (
+  SELECT n.pair, n.slide_id AS new_id, n.page_no AS new_page, o.slide_id AS old_id, {apart('n', 'o')} * 100000000000000 + o.page_no AS place
+  FROM new_rest n JOIN old_rest o ON o.pair = n.pair AND {apart('n', 'o')} <= {c.NEAR_DISTANCE}),
+near_nth AS (SELECT *, dense_rank() OVER (PARTITION BY pair ORDER BY new_page, new_id) AS nth FROM near_all),
+last_nth AS (SELECT pair, max(nth) AS most FROM near_nth GROUP BY pair),
+steps(pair, nth, used, place) AS (
+  SELECT pair, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM last_nth
+  UNION ALL
+  SELECT w.pair, w.nth + 1, list_append(w.used, arg_min(m.old_id, m.place)), min(m.place)
+  FROM steps w JOIN last_nth l ON l.pair = w.pair AND w.nth < l.most
+  LEFT JOIN near_nth m ON m.pair = w.pair AND m.nth = w.nth + 1 AND NOT list_contains(w.used, m.old_id)
+  GROUP BY w.pair, w.nth, w.used),
+modified AS (
+  SELECT w.pair, w.used[len(w.used)] AS old_id, (SELECT min(m.new_id) FROM near_nth m WHERE m.pair = w.pair AND m.nth = w.nth) AS new_id,
+         w.place // 100000000000000 AS distance
+  FROM steps w WHERE w.place IS NOT NULL),
+matched AS (
+  SELECT * FROM exact
+  UNION ALL SELECT pair - 1, pair, old_id, new_id, 'modified', 1.0 - distance / 64.0 FROM modified
+  UNION ALL SELECT pair - 1, pair, NULL, slide_id, 'added', 0.0 FROM new_rest WHERE slide_id NOT IN (SELECT new_id FROM modified)
+  UNION ALL SELECT pair - 1, pair, slide_id, NULL, 'deleted', 0.0 FROM old_rest WHERE slide_id NOT IN (SELECT old_id FROM modified))"""
+
 SETS = """
 sets AS (SELECT DISTINCT version_id, fingerprint FROM slides),
 set_sizes AS (SELECT version_id, count(*) AS n FROM sets GROUP BY version_id),
@@ -512,6 +540,13 @@ WHERE left_id % 2 = 1 AND NOT p.deleted AND jaccard >= 0.5""",
     )
     out["previous_version"] = sql("SELECT presentation_id, version_id - 1 AS from_version_id, version_id AS to_version_id FROM versions WHERE version_id % 2 = 0")
     out["match_versions_exact"] = sql("SELECT * FROM exact", FIRSTS)
+    out["match_versions"] = sql(
+        "SELECT from_version_id, to_version_id, from_slide_id, to_slide_id, match_type, CAST(score AS DOUBLE) AS score FROM matched", FIRSTS, signatures("slides"), WALK,
+        recursive=True,
+    )
+    out["version_diff_summary"] = sql(
+        "SELECT from_version_id, to_version_id, match_type, count(*) AS n FROM matched GROUP BY ALL", FIRSTS, signatures("slides"), WALK, recursive=True
+    )
     out["file_dedup"] = sql(
         """SELECT i.file_id, v.file_id IS NOT NULL OR i.nth > 1 AS is_duplicate, i.first_id AS first_file_id, v.file_id AS existing_version_id, v.presentation_id AS existing_presentation_id
 FROM (SELECT file_id, sha, row_number() OVER (PARTITION BY sha ORDER BY file_id) AS nth, min(file_id) OVER (PARTITION BY sha) AS first_id

@@ -11,12 +11,13 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from pagelake.plans.catalog import all_queries
+from pagelake.plans.oracle import oracle
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUICK = (
     "fingerprint", "scoped_slides_user", "library_list", "extract_elements", "text_recall", "vector_recall_postfilter", "hybrid_filter_only",
-    "duplicate_groups", "similar_slides", "suggest_versions", "match_versions_exact", "assign_versions", "parse_packages", "merge_ai_tags",
+    "duplicate_groups", "similar_slides", "suggest_versions", "match_versions_exact", "match_versions", "assign_versions", "parse_packages", "merge_ai_tags",
     "job_durations", "favorites_changed", "eval_recall_ndcg", "stream_job_state", "job_collapse", "job_latest", "hard_delete_cascade", "patch_slides",
     "file_dedup", "stream_dedup", "merge_ocr",
 )
@@ -49,4 +50,4 @@ def test_query_equals_its_twin(spark, duck, name):
 
 def test_every_twin_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(all_queries()) - set(oracle_sql()) == {"match_versions", "version_diff_summary"}
+    assert set(all_queries()) == set(oracle())
