@@ -36,3 +36,10 @@ def test_quality_stage_is_the_operator(spark):
     chain = quality_crf.train(docs, labels)
     kept = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, DATA).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in quality_crf.judge_documents(docs, chain).filter("kept").select("doc_id").collect()}
+
+
+def test_all_operators_are_registered():
+    from __spark_entry__ import queries
+
+    names = set(queries())
+    assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
