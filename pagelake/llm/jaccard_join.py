@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from pagelake.llm.words import FOLDED, ODD, Block, hashes, mix, text_blocks, windows, words
 from pagelake.operators.components import components
-from pagelake.session import cut, stored
+from pagelake.session import cut, discard, release, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -183,10 +183,14 @@ def _verified(pairs: DataFrame, sets_of: DataFrame, spreads: DataFrame, percent:
     side = lambda df, key, value, out: df.select(F.col("doc_id").alias(key), F.col(value).alias(out))
     met = pairs.join(side(spreads, "a", "spread", "x"), "a").join(side(spreads, "b", "spread", "y"), "b")
     left = cut(met.select("a", "b", "x", "y").mapInArrow(bounded, "a bigint, b bigint"))
+    release(pairs.sparkSession)
     needed = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct()
     own = stored(sets_of.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id bigint, own binary"), "sets")
+    release(pairs.sparkSession)
     both = left.join(side(own, "a", "own", "x"), "a").join(side(own, "b", "own", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(count, "u bigint, v bigint")
+    edges = cut(both.select("a", "b", "x", "y").mapInArrow(count, "u bigint, v bigint"))
+    discard(own)
+    return edges
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -199,10 +203,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     nodes = cut(equal.select(F.col("node").alias("doc_id"), F.col("n").cast("int").alias("n")).distinct())
     spreads = facts.join(nodes, ["doc_id", "n"], "left_semi").select("doc_id", "spread").distinct()
     prefixes = _prefixes(texts.filter("doc_id is not null"), _sketch(figures), percent)
-    prefixes = stored(prefixes.join(nodes, ["doc_id", "n"], "left_semi").distinct(), "prefixes")
+    prefixes = stored(prefixes.join(nodes, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"]), "prefixes")
     postings = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("at", "token"))
-    often = postings.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("token")
+    often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token")
     meetings = stored(postings.join(often, "token"), "meetings")
+    discard(prefixes)
 
     leaders = meetings.groupBy("token").agg(F.min(F.struct("n", "doc_id", "at")).alias("lead"))
     led = meetings.join(leaders, "token").filter(F.col("doc_id") != F.col("lead.doc_id")).filter(
@@ -211,7 +216,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     tally = led.groupBy("doc_id", F.col("lead.doc_id").alias("lead")).agg(F.count(F.lit(1)).alias("common"))
     best = tally.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("common"), "lead"))).filter(F.col("rank") <= LEADERS)
     first = cut(best.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct())
-    edges = cut(_verified(first, texts, spreads, percent))
+    edges = _verified(first, texts, spreads, percent)
 
     comp = components(edges)
     marked = cut(
