@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pagelake.llm.words import hashes, text_blocks, windows, words
-from pagelake.session import cut, stored
+from pagelake.llm.words import ODD, hashes, mix, text_blocks, windows, words
+from pagelake.session import cut, discard, release, stored
 
 WIDTH = 50
 GRAM = 8
@@ -169,7 +169,7 @@ def _divided(groups: DataFrame, parts: dict[int, tuple[int, int]], deep: bool) -
 
 
 def subtree_repeats(table: pa.Table) -> pa.Table:
-    """Window starts of one group that repeat a smaller document, per document.
+    """Window starts of one group that repeat a smaller document, by parts of the documents.
 
     The sorted suffixes are the subtree's leaves; neighbours that agree at depth MIDDLE and at full depth
     hang below one node of that depth, whose first leaf has the smallest document.
@@ -184,13 +184,50 @@ def subtree_repeats(table: pa.Table) -> pa.Table:
     node[1:] = (mid[1:] != mid[:-1]) | (full[1:] != full[:-1])
     least = ids[np.flatnonzero(node)][np.cumsum(node) - 1]
     hit = np.flatnonzero(ids > least)
-    hit = hit[np.lexsort((pos[hit], ks[hit], ids[hit]))]
-    cuts = np.flatnonzero((np.diff(ids[hit]) != 0) | (np.diff(ks[hit]) != 0)) + 1
-    own = np.split(hit, cuts) if len(hit) else []
+    to = _doc_part(ids[hit], ks[hit], table.column("parts")[0].as_py())
+    order = np.argsort(to, kind="stable")
+    own = np.split(hit[order], np.flatnonzero(np.diff(to[order])) + 1) if len(hit) else []
     return pa.table(
         {
-            "doc_id": pa.array([int(ids[w[0]]) for w in own], pa.int64()), "k": pa.array([int(ks[w[0]]) for w in own], pa.int64()),
-            "starts": pa.array([pos[w].astype(np.int32).tobytes() for w in own], pa.binary()),
+            "to": pa.array(np.unique(to), pa.int64()),
+            "payload": pa.array([_listed(ids[w], ks[w], pos[w]) for w in own], pa.binary()),
+        }
+    )
+
+
+def _listed(ids: np.ndarray, ks: np.ndarray, pos: np.ndarray) -> bytes:
+    """One value for starts: the documents once, then each start's document and place, in that order."""
+    docs, owner = np.unique(np.stack([ids, ks], axis=1), axis=0, return_inverse=True)
+    owner = owner.reshape(-1)
+    order = np.lexsort((pos, owner))
+    head = np.array([len(docs), len(pos)], dtype=np.int64)
+    return b"".join(x.tobytes() for x in (head, docs, owner[order].astype(np.int32), pos[order].astype(np.int32)))
+
+
+def _starts_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d, n = np.frombuffer(raw, np.int64, 2).tolist()
+    docs = np.frombuffer(raw, np.int64, 2 * d, 16).reshape(d, 2)
+    owner = np.frombuffer(raw, np.int32, n, 16 + 16 * d)
+    return docs[owner, 0], docs[owner, 1], np.frombuffer(raw, np.int32, n, 16 + 16 * d + 4 * n)
+
+
+def _doc_part(ids: np.ndarray, ks: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the documents that one belongs to when starts are brought together."""
+    return (mix(ids.view(np.uint64) * ODD + ks.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def document_starts(table: pa.Table) -> pa.Table:
+    """Starts that the groups found in one part of the documents, per document."""
+    ids, ks, pos = (np.concatenate(x) for x in zip(*map(_starts_of, table.column("payload").to_pylist()), strict=True))
+    order = np.lexsort((pos, ks, ids))
+    ids, ks, pos = ids[order], ks[order], pos[order]
+    first = np.ones(len(ids), dtype=bool)
+    first[1:] = (ids[1:] != ids[:-1]) | (ks[1:] != ks[:-1])
+    at = np.flatnonzero(first)
+    return pa.table(
+        {
+            "doc_id": pa.array(ids[at], pa.int64()), "k": pa.array(ks[at], pa.int64()),
+            "starts": pa.array([w.tobytes() for w in np.split(pos, at[1:])], pa.binary()),
         }
     )
 
@@ -203,6 +240,7 @@ def repeat_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = grams.agg(F.sum(F.size("grams"))).first()[0] or 0
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * (width - GRAM + 1) // 2 * SUFFIX_BYTES // GROUP_BYTES))
     dealt = stored(suffix_groups(keyed, grams, groups, width), "suffixes")
+    release(spark)
     decided = dealt.filter("part < 0").select("doc_id", "k", F.col("payload").alias("starts"))
     left = dealt.filter("part >= 0").select("part", "payload")
     for deep in (False, True):
@@ -217,7 +255,10 @@ def repeat_starts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             top += count
         large = F.col("part").isin(list(parts))
         left = stored(left.filter(~large).unionByName(_divided(left.filter(large), parts, deep)), "suffixes")
-    return decided.unionByName(left.groupBy("part").applyInArrow(subtree_repeats, RESULT))
+    found = left.withColumn("parts", F.lit(groups)).groupBy("part").applyInArrow(subtree_repeats, "to bigint, payload binary")
+    starts = stored(decided.unionByName(found.groupBy("to").applyInArrow(document_starts, RESULT)), "starts")
+    discard(dealt)
+    return starts
 
 
 def _covered(n: int, starts: list[bytes], width: int) -> np.ndarray:
