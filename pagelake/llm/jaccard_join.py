@@ -7,8 +7,8 @@ shingles. A meeting stands if lengths allow the threshold (length filter) and so
 places (positional filter); each pair's sets are then bounded by how they fall on 64 fixed ranges of hashes (suffix filter),
 and what is left is counted exactly, once per pair.
 
-No group is expanded into all its pairs. First each document meets the smallest set of each of its prefix shingles
-and is verified against the two with the most in common; that links groups of copies. Then only members of different components meet, component against component, and every such pair that
+No group is expanded into all its pairs. First each document meets one leader of each of its prefix shingles, the set
+that shares most with others, and is verified against the two with the most in common; that links groups of copies. Then only members of different components meet, component against component, and every such pair that
 passes the filters is verified. So components are exact and no pair that could join two of them is left out.
 
 Nulls and texts without words have an empty set and no links; with fewer words than a shingle the whole
@@ -209,7 +209,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     meetings = stored(postings.join(often, "token"), "meetings")
     discard(prefixes)
 
-    leaders = meetings.groupBy("token").agg(F.min(F.struct("n", "doc_id", "at")).alias("lead"))
+    # A text that others were edited from shares most of its prefix with many; edited ones have rare shingles of their own.
+    lists = meetings.groupBy("token").agg(F.log2(F.count(F.lit(1)).cast("double")).alias("size"))
+    central = meetings.join(lists, "token").groupBy("doc_id").agg(F.round(F.sum("size"), 3).alias("central"))
+    leaders = meetings.join(central, "doc_id").groupBy("token").agg(F.max_by(F.struct("n", "doc_id", "at"), F.struct("central", -F.col("doc_id"))).alias("lead"))
     led = meetings.join(leaders, "token").filter(F.col("doc_id") != F.col("lead.doc_id")).filter(
         _possible(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), percent)
     )
@@ -222,12 +225,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     marked = cut(
         meetings.join(comp, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp"))
     )
-    groups = marked.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    groups = marked.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("room"))
     several = groups.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     groups = groups.join(several, "token")
-    left, right = (groups.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "least", "most")]) for s in "ab")
+    left, right = (groups.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "least", "most", "room")]) for s in "ab")
     apart = left.join(right, "token").filter("comp_a < comp_b").filter(
         (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
+        & (F.least("room_a", "room_b") * (100 + percent) >= (F.col("least_a") + F.col("least_b")) * percent)
     ).select("token", "comp_a", "comp_b")
     members = lambda s: marked.select("token", F.col("comp").alias(f"comp_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "at")])
     rest = apart.join(members("a"), ["token", "comp_a"]).join(members("b"), ["token", "comp_b"]).filter(
