@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelake.llm.words import FOLDED, ODD, Block, hashes, mix, text_blocks, windows, words
+from pagelake.llm.words import FOLDED, ODD, Block, forget, hashes, mix, text_blocks, windows, words
 from pagelake.operators.components import components
 from pagelake.session import cut, discard, release, stored
 
@@ -75,6 +75,7 @@ def _figures(texts: DataFrame) -> DataFrame:
     """Per document its set's size, two sums that tell sets apart and its counts by range; besides, slices of each task's shingle counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         names = ["doc_id", "n", "s1", "s2", "spread", "slice", "cells", "counts"]
         counts = np.zeros(CELLS, np.int32)
         for batch in batches:
@@ -127,6 +128,7 @@ def _prefixes(texts: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(rarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         classes = shared.value
         for batch in batches:
             sizes, prefixes = [], []
@@ -161,6 +163,7 @@ def _verified(pairs: DataFrame, sets_of: DataFrame, spreads: DataFrame, percent:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out = []
             for block in text_blocks(batch.column(1)):
@@ -170,6 +173,7 @@ def _verified(pairs: DataFrame, sets_of: DataFrame, spreads: DataFrame, percent:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "own"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

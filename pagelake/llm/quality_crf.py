@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagelake.llm.words import BLANKS, Block, Spans, byte_set, hashes, mix, text_blocks, windows, words
+from pagelake.llm.words import BLANKS, Block, Spans, byte_set, forget, hashes, mix, text_blocks, windows, words
 
 #: Labelled documents the weights are fitted on, at most; chosen by the hash of their id.
 FIT_DOCS = 3_000
@@ -220,6 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = texts.join(F.broadcast(ids), "_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             own, flat = [], []
             for block in text_blocks(batch.column(1)):
@@ -247,6 +248,7 @@ def _figures(rows: DataFrame, chain: Chain, share: float, min_words: int, repeat
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             base: list[list[np.ndarray]] = [[] for _ in names]
             content: list[int] = []

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from pagelake.llm.words import ODD, hashes, mix, text_blocks, windows, words
+from pagelake.llm.words import ODD, forget, hashes, mix, text_blocks, windows, words
 from pagelake.session import cut, discard, release, stored
 
 WIDTH = 50
@@ -66,6 +66,7 @@ def shared_grams(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, k, grams): of each document the smallest grams of its windows that other documents have too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             grams = []
             for block in text_blocks(batch.column(2)):
@@ -107,6 +108,7 @@ def suffix_groups(keyed: DataFrame, grams: DataFrame, groups: int, width: int =
     """(part, doc_id, k, payload): suffixes of a task by group ``part``; part -1: window starts that are decided already."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         names = ["part", "doc_id", "k", "payload"]
         for batch in batches:
             ids, ks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -157,6 +159,7 @@ def _divided(groups: DataFrame, parts: dict[int, tuple[int, int]], deep: bool) -
     """Groups dealt to several by their suffixes' next longer prefix; parts: group -> (first new group, how many)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, ks, owner, pos, mid, full = _unpacked(raw)
@@ -287,6 +290,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = _keyed(docs, id_col, text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rows = [(n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for kept, n in _cut_rows(batch, 1, 2, width)]
             n, gone, sha = zip(*rows, strict=True) if rows else ((), (), ())
@@ -308,6 +312,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = StructType([joined.schema["row"], StructField("new", StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             new = [b" ".join(kept).decode() if len(kept) < n else None for kept, n in _cut_rows(batch, 1, 2, width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], ["row", "new"])

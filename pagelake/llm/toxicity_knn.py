@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagelake.llm.words import FOLDED, NOT_ALNUM, Block, Spans, hashes, text_blocks, words
+from pagelake.llm.words import FOLDED, NOT_ALNUM, Block, Spans, forget, hashes, text_blocks, words
 from pagelake.session import cut
 
 EXAMPLES = 10_000
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = _sample(docs, labels, id_col, text_col, examples)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for r, text in enumerate(batch.column(2).to_pylist()):
                 found = Counter(WORD.findall((text or "").encode().lower())) or {b"": 1}
@@ -210,6 +211,7 @@ def _scored(rows: DataFrame, index: Index, k: int) -> DataFrame:
             yield index.score(index.vote(near, cosine)), ",".join(f"{index.ids[i]}:{s:.3f}" for i, s in zip(near[:3].tolist(), cosine[:3].tolist(), strict=True))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             made = [x for block in text_blocks(batch.column(1)) for x in block_scores(block)]
             score = np.array([s for s, _ in made], dtype=float)

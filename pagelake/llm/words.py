@@ -169,6 +169,15 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return done
 
 
+_HELD: list[ChunkCache] = []
+
+
+def forget() -> None:
+    """Empties all chunk caches of this worker: tasks of operators without one start with it, as workers serve many."""
+    for cache in _HELD:
+        cache.known.clear()
+
+
 class ChunkCache:
     """Values of text chunks by hash, filled by ``make`` (list of chunk texts to list of values).
 
@@ -177,6 +186,7 @@ class ChunkCache:
 
     def __init__(self, make: Callable[[list[bytes]], list], limit: int = 300_000) -> None:
         self.make, self.limit, self.known = make, limit, {}
+        _HELD.append(self)
 
     def values(self, block: Block, spans: Spans, keys: np.ndarray) -> tuple[list, np.ndarray]:
         """(values of the distinct chunks, the place of each chunk's value among them)."""
