@@ -15,7 +15,8 @@ table gives an empty result. Ties of equal length go by doc_id and piece. Furthe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows of one length that a task numbers at most, about.
 RANK_ROWS = 16_384
-#: Steps of one search for a filling; beyond it the best filling found stands.
+#: Steps of one search for a filling of the first incumbent; beyond it the best filling found stands.
 NODES = 20_000
+#: Branches of the search for a plan; beyond it the best plan found stands.
+STEPS = 60_000
 #: Unicode blanks outside ASCII: a text with one is tokenized as a whole, as its blank runs may go over chunk borders.
 WIDE_BLANKS = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -104,25 +107,26 @@ def token_pieces(
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that are needed whatever the packing: total size, and large items that share with small ones only."""
-    best = -(-sum(s * n for s, n in counts.items()) // capacity)
-    for small in sorted({0} | {s for s in counts if 2 * s <= capacity}):
-        alone = sum(n for s, n in counts.items() if s > capacity - small)
-        half = [(s, n) for s, n in counts.items() if capacity - small >= s > capacity / 2]
-        rest = sum(s * n for s, n in counts.items() if small <= s <= capacity / 2)
-        room = sum((capacity - s) * n for s, n in half)
-        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(rest - room) // capacity)))
-    return best
-
-
-def _filling(first: int, room: int, left: dict[int, int], spare: int, rank: int) -> list[int]:
-    """The filling of ``room`` beside an item ``first`` that wastes least, large items first.
-
-    ``spare`` is the waste all open sequences may still have without one more sequence: a filling
-    within its share is taken as soon as it is found only when it wastes nothing. Fillings that a
-    swap of some items by one that fits in their place would improve are dominated: taking lengths
-    in falling order and leaving a level as soon as an exact fit is known skips them. ``rank`` asks
-    for the next best one, for another branch.
-    """
+    by_size = np.zeros(capacity + 1, dtype=np.int64)
+    for s, n in counts.items():
+        by_size[s] += n
+    return _bound(by_size)
+
+
+def _bound(by_size: np.ndarray) -> int:
+    """``lower_bound`` of the counts by size, for all sizes at once that may be the least of the small items."""
+    capacity = len(by_size) - 1
+    rows = np.concatenate([[0], np.cumsum(by_size)])
+    sizes = np.concatenate([[0], np.cumsum(by_size * np.arange(capacity + 1))])
+    half, small = capacity // 2, np.arange(capacity // 2 + 1)
+    top = capacity + 1 - small
+    paired = rows[top] - rows[half + 1]
+    over = (sizes[half + 1] - sizes[small]) - (capacity * paired - (sizes[top] - sizes[half + 1]))
+    return int(max(-(-sizes[-1] // capacity), (rows[-1] - rows[top] + paired + np.maximum(0, -(-over // capacity))).max()))
+
+
+def _filling(room: int, left: dict[int, int], rank: int) -> list[int]:
+    """A filling of ``room`` of little waste, large items first, for the first incumbent; ``rank`` asks for the next best one."""
     sizes = sorted((s for s in left if s <= room), reverse=True)
     kept: list[tuple[int, int, list[int]]] = []
     nodes = 0
@@ -158,7 +162,7 @@ def _filling(first: int, room: int, left: dict[int, int], spare: int, rank: int)
 
     best: list[int] = []
     rest = room
-    for s in sizes:  # best fit: the incumbent
+    for s in sizes:
         while s <= rest and left[s] > best.count(s):
             best.append(s)
             rest -= s
@@ -167,12 +171,8 @@ def _filling(first: int, room: int, left: dict[int, int], spare: int, rank: int)
     return kept[min(rank, len(kept) - 1)][2]
 
 
-def completion_plan(counts: dict[int, int], capacity: int = CAPACITY, tries: int = 8) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences) by bin completion.
-
-    Each try lets one later choice be the second best filling; a try is cut off as soon as its waste
-    proves it no better than the incumbent, and the first that meets the lower bound ends the search.
-    """
+def _incumbent(counts: dict[int, int], capacity: int, tries: int) -> list[tuple[list[int], int]]:
+    """The best of a few greedy plans; each one after the first takes some second best fillings."""
     least = lower_bound(counts, capacity)
     total = sum(s * n for s, n in counts.items())
     best: list[tuple[list[int], int]] = []
@@ -181,18 +181,11 @@ def completion_plan(counts: dict[int, int], capacity: int = CAPACITY, tries: int
         left, plan, used, wasted, step = dict(counts), [], 0, 0, 0
         while left:
             first = max(left)
-            left[first] -= 1
-            if not left[first]:
-                del left[first]
-            spare = (fewest - 1) * capacity - total - wasted
-            filling = [first, *_filling(first, capacity - first, left, spare, int(attempt > 0 and step % (attempt + 1) == attempt))]
+            _take(left, [first], 1)
+            filling = [first, *_filling(capacity - first, left, int(attempt > 0 and step % (attempt + 1) == attempt))]
             left[first] = left.get(first, 0) + 1
-            need = {s: filling.count(s) for s in filling}
-            times = min(left[s] // n for s, n in need.items())
-            for s, n in need.items():
-                left[s] -= n * times
-                if not left[s]:
-                    del left[s]
+            times = min(left[s] // filling.count(s) for s in filling)
+            _take(left, filling, times)
             plan.append((filling, times))
             used, wasted, step = used + times, wasted + times * (capacity - sum(filling)), step + 1
             if best and wasted > (fewest - 1) * capacity - total:
@@ -205,6 +198,162 @@ def completion_plan(counts: dict[int, int], capacity: int = CAPACITY, tries: int
     return best
 
 
+def _take(left: dict[int, int], filling: list[int], times: int) -> None:
+    for s in filling:
+        left[s] -= times
+        if not left[s]:
+            del left[s]
+
+
+def _dominated(filling: list[int], left: dict[int, int], room: int, waste: int) -> bool:
+    """Whether one item left outside could take the place of items inside, or of the waste, at no loss.
+
+    That is an item as long as several items inside, or longer than some (or none) of them by the waste at most.
+    """
+    one, more = 1, 0  # sums of none or one item, and of several
+    for s in filling:
+        more |= (more | one & ~1) << s
+        one |= 1 << s
+    outside = 0
+    for s, n in left.items():
+        if s <= room and n > filling.count(s):
+            outside |= 1 << s
+    return bool(more & outside or any((one | more) << w & outside for w in range(1, waste + 1)))
+
+
+def _fillings(room: int, left: dict[int, int], spare: Callable[[], int], mixed: bool) -> Iterator[tuple[int, list[int] | None]]:
+    """(waste, filling) for every undominated filling of ``room``, least waste first, up to the waste ``spare()`` at that time.
+
+    The sums that the sizes up to each one can make are bits of a number, so the walk meets no dead end.
+    Of equal waste those with the longest item come first; for each dominated one None comes instead, for the
+    count of steps. If ``mixed``, those whose longest takes most of four fifths of the room come first, and
+    dominated ones too: they lose nothing, and leave long items for later levels.
+    """
+    sizes = sorted(s for s in left if s <= room)
+    full, sums = (1 << room + 1) - 1, [1]
+    for s in sizes:
+        now, n, k = sums[-1], min(left[s], room // s), 1
+        while n > 0:
+            k = min(k, n)
+            now |= now << k * s & full
+            n, k = n - k, 2 * k
+        sums.append(now)
+
+    def walk(end: int, rest: int, own: list[int]) -> Iterator[list[int]]:
+        if not rest:
+            yield own
+            return
+        end = bisect_right(sizes, rest, 0, end)
+        turn = bisect_right(sizes, rest * 4 // 5, 0, end) if mixed else end
+        for j in (*range(turn - 1, -1, -1), *range(turn, end)):
+            s = sizes[j]
+            for n in range(min(left[s], rest // s), 0, -1):
+                if sums[j] >> rest - n * s & 1:
+                    yield from walk(j, rest - n * s, own + [s] * n)
+
+    for waste in range(room + 1):
+        if waste > spare():
+            return
+        if sums[-1] >> room - waste & 1:
+            for own in walk(len(sizes), room - waste, []):
+                yield waste, None if not mixed and _dominated(own, left, room, waste) else own
+
+
+class _Search:
+    """Depth-first branch and bound; a level is one length that is the largest left, its branches (filling, times).
+
+    The best plan so far gives the waste all sequences together may have in a better one. A branch whose waste
+    goes beyond, or whose rest has a lower bound that makes it no better, is left. Branches of one filling go from
+    as many times as its lengths last down to once, and the filling is not taken again below for the same length.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int, best: list[tuple[list[int], int]]) -> None:
+        self.counts, self.capacity, self.best = counts, capacity, best
+        self.total = sum(s * n for s, n in counts.items())
+        self.least = lower_bound(counts, capacity)
+        self.fewest = sum(n for _, n in best)
+
+    def allowed(self) -> int:
+        return (self.fewest - 1) * self.capacity - self.total
+
+    def run(self, steps: int, mixed: Callable[[int], bool] = lambda level: False) -> bool:
+        """Searches ``steps`` branches; whether that was all of them. ``mixed`` gives the order of fillings at a level."""
+        left, by_size = dict(self.counts), np.zeros(self.capacity + 1, dtype=np.int64)
+        for s, n in left.items():
+            by_size[s] = n
+        plan: list[tuple[list[int], int]] = []
+        used = wasted = 0
+
+        def branches(gone: frozenset[tuple[int, ...]]) -> Iterator[tuple[int, list[int], int, frozenset[tuple[int, ...]]] | None]:
+            first = max(left)
+            rest = dict(left)
+            _take(rest, [first], 1)
+            before = wasted
+            for waste, own in _fillings(self.capacity - first, rest, lambda: self.allowed() - before, mixed(len(plan))):
+                if own is None or (key := tuple(own)) in gone:
+                    yield None
+                    continue
+                filling = [first, *own]
+                gone |= {key}
+                most = min(left[s] // filling.count(s) for s in own + [first])
+                for times in range(most, 0, -1):
+                    if before + waste * times <= self.allowed():
+                        yield waste, filling, times, gone
+
+        levels = [branches(frozenset())]
+        while levels:
+            if self.fewest <= self.least:
+                return True
+            if steps <= 0:
+                return False
+            steps -= 1
+            found = next(levels[-1], ())
+            if found == ():
+                levels.pop()
+                if plan:
+                    filling, times = plan.pop()
+                    for s in filling:
+                        left[s] = left.get(s, 0) + times
+                        by_size[s] += times
+                    used, wasted = used - times, wasted - times * (self.capacity - sum(filling))
+                continue
+            if found is None:
+                continue
+            waste, filling, times, gone = found
+            _take(left, filling, times)
+            for s in filling:
+                by_size[s] -= times
+            plan.append((filling, times))
+            used, wasted = used + times, wasted + times * waste
+            if not left and used < self.fewest:
+                self.best, self.fewest = list(plan), used
+            better = bool(left) and used + _bound(by_size) < self.fewest
+            levels.append(branches(gone if filling[0] in left else frozenset()) if better else iter(()))
+        return True
+
+
+def completion_plan(counts: dict[int, int], capacity: int = CAPACITY, tries: int = 8) -> list[tuple[list[int], int]]:
+    """(lengths of one sequence, how many such sequences) by bin completion with branch and bound.
+
+    The search ends at the lower bound, with the last branch (the plan is optimal then) or after ``STEPS``
+    branches. A third of them go to the plain order of fillings. As going back from the ends of a long plan
+    seldom comes near its first levels, the rest is shared by searches in other orders.
+    """
+    if not counts:
+        return []
+    search = _Search(counts, capacity, _incumbent(counts, capacity, tries))
+    depth = len(search.best)
+    orders = [lambda level, q=q, r=r: level % q == r for q in (2, 3, 4) for r in range(q)]
+    orders += [lambda level, q=q: level % q != 0 for q in (3, 4)]
+    orders += [lambda level, k=k: 16 * level >= k * depth for k in (15, 14, 13, 12, 10, 8, 4, 0)]
+    if search.run(STEPS // 3):
+        return search.best
+    for order in orders:
+        if search.run(STEPS * 2 // 3 // len(orders), order):
+            break
+    return search.best
+
+
 def _ranked(pieces: DataFrame, rows: int) -> DataFrame:
     """Adds ``rank`` from 0 within each length, numbered in blocks of ids so that no length meets in one task."""
     blocks = max(1, -(-rows // RANK_ROWS))

@@ -73,6 +73,24 @@ def test_plan_finds_the_exact_packing():
     assert packing.completion_plan({}, 10) == []
 
 
+def test_plan_goes_back_over_fillings():
+    """Triples that fill every sequence; greedy choices alone waste room."""
+    perfect = [
+        (100, 8, {27: 2, 38: 2, 35: 3, 37: 3, 24: 1, 39: 3, 31: 1, 30: 1, 40: 2, 25: 1, 22: 1, 20: 1, 41: 1, 28: 1, 36: 1}),
+        (100, 12, {32: 2, 44: 2, 24: 4, 33: 3, 21: 1, 46: 1, 28: 2, 36: 4, 35: 3, 45: 1, 29: 2, 26: 2, 31: 1, 34: 1, 38: 1, 40: 1, 47: 1, 23: 1, 37: 2, 39: 1}),
+    ]
+    for capacity, sequences, counts in perfect:
+        assert packing.lower_bound(counts, capacity) == sequences
+        assert sum(n for _, n in packing.completion_plan(counts, capacity)) == sequences
+
+
+def test_dominated_fillings():
+    assert packing._dominated([3, 4], {3: 1, 4: 1, 7: 1}, 7, 0)  # one item as long as two
+    assert packing._dominated([5], {5: 1, 6: 1}, 7, 2)  # a longer one fits in the place
+    assert packing._dominated([5], {5: 1, 2: 1}, 7, 2)  # not full
+    assert not packing._dominated([3, 4], {3: 2, 4: 2, 5: 1}, 7, 0)
+
+
 def test_packed_documents(table):
     library = Tokenizer.from_file(BYTES)
     rnd = random.Random(5)
