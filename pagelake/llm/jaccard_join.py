@@ -10,6 +10,7 @@ and what is left is counted exactly, once per pair.
 No group is expanded into all its pairs. First each document meets one leader of each of its prefix shingles, the set
 that shares most with others, and is verified against the two with the most in common; that links groups of copies. Then only members of different components meet, component against component, and every such pair that
 passes the filters is verified. So components are exact and no pair that could join two of them is left out.
+Pairs inside a component are met by ``links`` only, which counts the links of each distinct set.
 
 Nulls and texts without words have an empty set and no links; with fewer words than a shingle the whole
 sequence is the one shingle. Rows of one doc_id count as one node where each is the smallest of its equal
@@ -40,6 +41,8 @@ SLICE = 1 << 14
 RANGES = 64
 #: Leaders a document is verified against before components are known.
 LEADERS = 2
+#: Nodes of one shingle that meet in one block of ``links``, about.
+MEETING_ROWS = 1024
 
 
 def shingle_sets(block: Block, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +200,8 @@ def _verified(pairs: DataFrame, sets_of: DataFrame, spreads: DataFrame, percent:
     return edges
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, the least doc_id that links reach (itself included)."""
+def _met(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Texts; figures per row; (n, s1, s2, node) per set, its node the least doc_id; counts by range per node; nodes by prefix shingle that several have."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     figures = stored(_figures(texts), "shingle-figures")
     facts = figures.filter("slice is null").select("doc_id", "n", "s1", "s2", "spread")
@@ -212,6 +215,36 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     often = postings.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token")
     meetings = stored(postings.join(often, "token"), "meetings")
     discard(prefixes)
+    return texts, facts, equal, spreads, meetings
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per distinct set: doc_id (the least that has it), n_links, the other distinct sets that reach the threshold with it.
+
+    Every pair of sets that the filters leave is verified, also within a component, so this costs as much as there are
+    such pairs. Nodes of one shingle meet in blocks of ``MEETING_ROWS``, block with block, so no task holds a long list.
+    """
+    texts, _, equal, spreads, meetings = _met(docs, id_col, text_col, percent)
+    sizes = meetings.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEETING_ROWS)).cast("int").alias("blocks"))
+    dealt = meetings.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("doc_id", "n"), F.col("blocks")).cast("int"))
+    tile = lambda lo, hi, s: dealt.select(
+        "token", F.explode(F.sequence(lo, hi)).alias("other"), "block", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "at")]
+    )
+    left = tile(F.col("block"), F.col("blocks") - 1, "a").withColumnsRenamed({"block": "i", "other": "j"})
+    right = tile(F.lit(0), F.col("block"), "b").withColumnsRenamed({"other": "i", "block": "j"})
+    pairs = left.join(right, ["token", "i", "j"]).filter("doc_id_a < doc_id_b or (i < j and doc_id_a > doc_id_b)").filter(
+        _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)
+    )
+    pairs = cut(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct())
+    edges = _verified(pairs, texts, spreads, percent).distinct()
+    ends = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
+    sets = equal.select(F.col("node").alias("doc_id")).distinct()
+    return sets.join(ends, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, the least doc_id that links reach (itself included)."""
+    texts, facts, equal, spreads, meetings = _met(docs, id_col, text_col, percent)
 
     # A text that others were edited from shares most of its prefix with many; edited ones have rare shingles of their own.
     lists = meetings.groupBy("token").agg(F.log2(F.count(F.lit(1)).cast("double")).alias("size"))

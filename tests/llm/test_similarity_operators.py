@@ -129,6 +129,25 @@ def test_chain_of_near_copies_is_one_component(spark, table):
     assert {r["component_id"] for r in jaccard_join.linked(table(rows, SCHEMA)).collect()} == {r[2] for r in grouped(rows)}
 
 
+def test_links_of_distinct_sets_equal_brute_force(spark, table, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MEETING_ROWS", 4)
+    words = [f"t{i}" for i in range(120)]
+    rows = [r for r in corpus(13, 60) if r[0] != 5000]
+    rows += [(1000 + i, " ".join([*words[: 4 * i], f"n{i}", *words[4 * i + 1 :]]), "", "", 0) for i in range(12)]
+    rows += [(2000, rows[-1][1], "", "", 0), (None, rows[-1][1], "", "", 0)]
+    least = {}
+    for doc, text, *_ in rows:
+        own = text.lower().split()
+        grams = frozenset(tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))) if own else None
+        if grams and doc is not None:
+            least[grams] = min(doc, least.get(grams, doc))
+    expected = {d: sum(a != b and 100 * len(a & b) >= 80 * len(a | b) for b in least) for a, d in least.items()}
+    got = jaccard_join.links(table(rows, SCHEMA)).collect()
+    assert len(got) == len(expected) and {r["doc_id"]: r["n_links"] for r in got} == expected
+    assert max(expected.values()) >= 11 and min(expected.values()) == 0
+    assert jaccard_join.links(table([], SCHEMA)).count() == 0
+
+
 def test_simhash_rows(spark, table):
     rows = [(30, "d e f g h", 1), (10, "a b c d e f g", 1), (20, None, 1), (10, "a b c d e f g", 1), (None, "é a b", 1), (50, "a b c d e f g", 2), (100, "a b c d e f", 3)]
     docs = table(rows, "doc_id bigint, text string, fp bigint")
