@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, with production parameters."""
+"""The operators as registered queries over whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelake.llm import best_fit_packing, jaccard_join, language_id, license_scan, quality_crf, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity_knn
+from pagelake.llm import best_fit_packing, bpe_automaton, conversation_repair, hard_negatives, jaccard_join, language_id, license_scan, quality_crf, sentencepiece_bpe, sharding, simhash, substring_dedup, toxicity_knn
 from pagelake.llm.tables import table, tokenizer_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_sentencepiece")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@_query("op13_conversations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")), texts=False)

@@ -169,33 +169,44 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return done
 
 
-_HELD: list[ChunkCache] = []
+_HELD: list[ChunkCache | WordCache] = []
 
 
 def forget() -> None:
     """Empties all chunk caches of this worker: tasks of operators without one start with it, as workers serve many."""
     for cache in _HELD:
-        cache.known.clear()
+        cache.clear()
 
 
 class ChunkCache:
     """Values of text chunks by hash, filled by ``make`` (list of chunk texts to list of values).
 
-    Bounded: it starts anew when it holds ``limit`` values; what it holds changes speed only.
+    Bounded: two generations of ``limit`` values. Values asked for lately stay when the younger one is full and
+    takes the place of the older one; what is held changes speed only.
     """
 
     def __init__(self, make: Callable[[list[bytes]], list], limit: int = 300_000) -> None:
-        self.make, self.limit, self.known = make, limit, {}
+        self.make, self.limit, self.known, self.older = make, limit, {}, {}
         _HELD.append(self)
 
+    def clear(self) -> None:
+        self.known, self.older = {}, {}
+
     def values(self, block: Block, spans: Spans, keys: np.ndarray) -> tuple[list, np.ndarray]:
         """(values of the distinct chunks, the place of each chunk's value among them)."""
         distinct, place, which = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) > self.limit:
-            self.known.clear()
-        known, own = self.known, distinct.tolist()
+            self.known, self.older = {}, self.known
+        known, older, own = self.known, self.older, distinct.tolist()
         out = [known.get(k) for k in own]
-        missing = [i for i, v in enumerate(out) if v is None]
+        missing = []
+        for i, v in enumerate(out):
+            if v is None:
+                v = out[i] = older.get(own[i])
+                if v is None:
+                    missing.append(i)
+                else:
+                    known[own[i]] = v
         if missing:
             data = block.data.tobytes()
             at = place[missing]
@@ -203,3 +214,24 @@ class ChunkCache:
             for i, v in zip(missing, self.make(texts), strict=True):
                 out[i] = known[own[i]] = v
         return out, which
+
+
+class WordCache:
+    """Values of words, made one by one; bounded by two generations of ``limit`` values as ``ChunkCache``."""
+
+    def __init__(self, make: Callable[[str], tuple], limit: int) -> None:
+        self.make, self.limit, self.known, self.older = make, limit, {}, {}
+        _HELD.append(self)
+
+    def clear(self) -> None:
+        self.known, self.older = {}, {}
+
+    def values(self, words: list[str]) -> list[tuple]:
+        """The value of each word."""
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        known, older, make = self.known, self.older, self.make
+        for w in set(words).difference(known):
+            v = older.get(w)
+            known[w] = make(w) if v is None else v
+        return [known[w] for w in words]
