@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.session import cut
+from pagelake.session import discard, stored
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1000003)))).first()
-    )
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: no centre has an edge of its own and no node has two centres."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e"))
+    per = ends.select("e.*").groupBy("node").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("n"))
+    return per.filter((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("n") > 1))).isEmpty()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,17 +39,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes in ``edges`` (u, v); the component is its least node.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014), each round checkpointed, until
-    a round changes nothing.
+    Alternating large-star and small-star steps (Kiveris et al. 2014), each round written to the shared folder, until
+    the edges are stars around least nodes. Edges that are so from the start take no round.
     """
-    current = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = _digest(current)
-    while True:
-        current = cut(_star(_star(current, True), False))
-        after = _digest(current)
-        if after == before:
-            break
-        before = after
+    current = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "component-edges")
+    while not _settled(current):
+        before, current = current, stored(_star(_star(current, True), False), "component-edges")
+        discard(before, free=False)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -58,8 +58,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that ``stored`` wrote, once nothing reads it any more, and frees what earlier steps left.
+def discard(df: DataFrame, free: bool = True) -> None:
+    """Deletes a table that ``stored`` wrote, once nothing reads it any more, and, with ``free``, what earlier steps left.
 
     Spark drops shuffle files and checkpoints when the driver's JVM has collected what refers to them.
     """
@@ -70,7 +70,8 @@ def discard(df: DataFrame) -> None:
         if base in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
-    release(spark)
+    if free:
+        release(spark)
 
 
 def release(spark: SparkSession) -> None:
@@ -78,6 +79,9 @@ def release(spark: SparkSession) -> None:
 
     Plans are held from Python until its own collector has run, hence both, and once more for what the first round freed.
     """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
