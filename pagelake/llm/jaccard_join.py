@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from pagelake.llm.words import FOLDED, ODD, Block, forget, hashes, mix, text_blocks, windows, words
 from pagelake.operators.components import components
-from pagelake.session import cut, discard, release, stored
+from pagelake.session import discard, release, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -189,13 +189,14 @@ def _verified(pairs: DataFrame, sets_of: DataFrame, spreads: DataFrame, percent:
 
     side = lambda df, key, value, out: df.select(F.col("doc_id").alias(key), F.col(value).alias(out))
     met = pairs.join(side(spreads, "a", "spread", "x"), "a").join(side(spreads, "b", "spread", "y"), "b")
-    left = cut(met.select("a", "b", "x", "y").mapInArrow(bounded, "a bigint, b bigint"))
+    left = stored(met.select("a", "b", "x", "y").mapInArrow(bounded, "a bigint, b bigint"), "bounded-pairs")
     release(pairs.sparkSession)
     needed = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct()
     own = stored(sets_of.join(needed, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id bigint, own binary"), "sets")
     release(pairs.sparkSession)
     both = left.join(side(own, "a", "own", "x"), "a").join(side(own, "b", "own", "y"), "b")
-    edges = cut(both.select("a", "b", "x", "y").mapInArrow(count, "u bigint, v bigint"))
+    edges = stored(both.select("a", "b", "x", "y").mapInArrow(count, "u bigint, v bigint"), "links")
+    discard(left, free=False)
     discard(own)
     return edges
 
@@ -206,8 +207,8 @@ def _met(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[Dat
     figures = stored(_figures(texts), "shingle-figures")
     facts = figures.filter("slice is null").select("doc_id", "n", "s1", "s2", "spread")
     equal = facts.filter("doc_id is not null and n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    equal = cut(equal)
-    nodes = cut(equal.select(F.col("node").alias("doc_id"), F.col("n").cast("int").alias("n")).distinct())
+    equal = stored(equal, "equal-sets")
+    nodes = stored(equal.select(F.col("node").alias("doc_id"), F.col("n").cast("int").alias("n")).distinct(), "nodes")
     spreads = facts.join(nodes, ["doc_id", "n"], "left_semi").select("doc_id", "spread").distinct()
     prefixes = _prefixes(texts.filter("doc_id is not null"), _sketch(figures), percent)
     prefixes = stored(prefixes.join(nodes, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"]), "prefixes")
@@ -235,7 +236,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     pairs = left.join(right, ["token", "i", "j"]).filter("doc_id_a < doc_id_b or (i < j and doc_id_a > doc_id_b)").filter(
         _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)
     )
-    pairs = cut(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct())
+    pairs = stored(pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "pairs")
     edges = _verified(pairs, texts, spreads, percent).distinct()
     ends = edges.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
     sets = equal.select(F.col("node").alias("doc_id")).distinct()
@@ -255,13 +256,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     )
     tally = led.groupBy("doc_id", F.col("lead.doc_id").alias("lead")).agg(F.count(F.lit(1)).alias("common"))
     best = tally.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("common"), "lead"))).filter(F.col("rank") <= LEADERS)
-    first = cut(best.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct())
+    first = stored(best.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct(), "first-pairs")
     edges = _verified(first, texts, spreads, percent)
 
     comp = components(edges)
-    marked = cut(
-        meetings.join(comp, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp"))
+    marked = stored(
+        meetings.join(comp, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp")),
+        "marked-meetings",
     )
+    discard(meetings, free=False)
     groups = marked.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("room"))
     several = groups.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     groups = groups.join(several, "token")
@@ -274,9 +277,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     rest = apart.join(members("a"), ["token", "comp_a"]).join(members("b"), ["token", "comp_b"]).filter(
         _possible(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"), percent)
     )
-    rest = cut(
-        rest.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = stored(
+        rest.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "later-pairs"
     )
+    discard(marked, free=False)
     comp = components(edges.unionByName(_verified(rest, texts, spreads, percent)))
     named = equal.join(comp, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
     return facts.join(named, ["n", "s1", "s2"], "left").select(

@@ -105,13 +105,13 @@ class Model:
     def _run(self, text: str, longest: list[int]) -> list[int]:
         """Pieces of a text of known characters only."""
         n = len(text)
-        good = (1 << (n + 1)) - 1
+        failed: set[int] = set()
         out: list[int] = []
         at, token = 0, longest[0]
         while at < n:
             while token >= 0:
                 end = at + len(self.piece[token])
-                if good >> end & 1 and (not out or self.fits(out[-1], token)):
+                if end not in failed and (not out or self.fits(out[-1], token)):
                     break
                 token = self.next_shorter(token)
             if token >= 0:
@@ -120,15 +120,15 @@ class Model:
                 if at < n:
                     token = longest[at]
             else:
-                good &= ~(1 << at)
+                failed.add(at)
                 if not out:
                     raise ValueError("a text of known characters has no valid cut")
                 token = out.pop()
                 at -= len(self.piece[token])
         return out
 
-    def encode_chunk(self, text: str) -> list[int]:
-        """Ids of a chunk whose blanks are marks already."""
+    def encode_chunk(self, text: str) -> tuple[list[int], bool]:
+        """(ids of a chunk whose blanks are marks already, whether they are ordinary pieces only)."""
         longest = [-1] * len(text)
         for end, (token, size) in self.automaton.iter(text):
             start = end - size + 1
@@ -145,11 +145,11 @@ class Model:
             while end < len(text) and text[end] in self.ids:
                 end += 1
             if end - at == len(text):
-                return self._run(text, longest)
+                return self._run(text, longest), True
             part = text[at:end]
             out += self._run(part, [self._within(longest[at + i], end - at - i) for i in range(end - at)])
             at = end
-        return out
+        return out, False
 
     def _within(self, token: int, room: int) -> int:
         while token >= 0 and len(self.piece[token]) > room:
@@ -169,11 +169,12 @@ class Model:
         return b"".join(out)
 
     def chunk_values(self, texts: list[bytes]) -> list[tuple[bytes, int, bytes]]:
-        """(ids as text, their count, decoded text) per chunk."""
+        """(ids as text, their count, decoded text) per chunk; ordinary pieces decode to the chunk they were cut from."""
         out = []
         for t in texts:
-            ids = self.encode_chunk(t.decode().replace(" ", MARK))
-            out.append((" ".join(map(str, ids)).encode(), len(ids), self.decode_ids(ids)))
+            marked = t.decode().replace(" ", MARK)
+            ids, plain = self.encode_chunk(marked)
+            out.append((" ".join(map(str, ids)).encode(), len(ids), marked.replace(MARK, " ").encode() if plain else self.decode_ids(ids)))
         return out
 
 
