@@ -69,12 +69,14 @@ def new_tags(named: DataFrame, tags: DataFrame) -> DataFrame:
 def merge_ai_tags(analyses: DataFrame, tags: DataFrame, slide_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tags, slide_tags) after a tagging run.
 
-    Unconfirmed model tags of re-run pages go first; then each named tag is added where the page
+    Of several successful runs of a page the last one counts (by ``at`` where there is one), as it replaces what the others
+    left. Unconfirmed model tags of re-run pages go first; then each named tag is added where the page
     does not carry it yet. Manual and confirmed tags are never touched.
     """
+    analyses = one_per_key(analyses.filter(F.col("status") == "success"), ["slide_id"])
     named = analysis_tags(analyses)
     all_tags = tags.unionByName(new_tags(named, tags))
-    rerun = analyses.filter(F.col("status") == "success").select("slide_id").distinct()
+    rerun = analyses.select("slide_id")
     stale = slide_tags.filter((F.col("origin") == "ai") & ~F.col("is_confirmed")).join(rerun, "slide_id", "left_semi")
     kept = slide_tags.join(stale.select("slide_id", "tag_id", "origin"), ["slide_id", "tag_id", "origin"], "left_anti")
     wanted = (
@@ -147,7 +149,8 @@ def embedding_work(indexed: DataFrame, embeddings: DataFrame, model: str) -> Dat
 def build_embeddings(indexed: DataFrame, embeddings: DataFrame, model: str, embedder: Embedder) -> DataFrame:
     """New rows (slide_id, model, source_hash, status, embedding) for pages whose text changed.
 
-    Blank texts give status EMPTY_TEXT and no vector.
+    Blank texts give status EMPTY_TEXT and no vector, texts that the embedder has no vector for status failed; such a page
+    is tried again next time.
     """
     work = embedding_work(indexed, embeddings, model)
     blank = is_blank(F.col("text"))
@@ -159,12 +162,13 @@ def build_embeddings(indexed: DataFrame, embeddings: DataFrame, model: str, embe
             )
 
     made = work.filter(~blank).mapInPandas(run, "slide_id bigint, source_hash string, embedding array<float>")
-    good = made.select("slide_id", F.lit(model).alias("model"), "source_hash", F.lit("success").alias("status"), "embedding")
+    status = F.when(F.coalesce(F.size("embedding") > 0, F.lit(False)), "success").otherwise("failed")
+    done = made.select("slide_id", F.lit(model).alias("model"), "source_hash", status.alias("status"), F.when(status == "success", F.col("embedding")).alias("embedding"))
     empty = work.filter(blank).select(
         "slide_id", F.lit(model).alias("model"), "source_hash", F.lit("EMPTY_TEXT").alias("status"),
         F.lit(None).cast("array<float>").alias("embedding"),
     )
-    return good.unionByName(empty)
+    return done.unionByName(empty)
 
 
 def merge_embeddings(embeddings: DataFrame, made: DataFrame) -> DataFrame:

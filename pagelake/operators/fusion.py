@@ -12,6 +12,7 @@ from pagelake.functions.text import is_blank, strip
 from pagelake.operators import recall
 from pagelake.operators.ranks import top_k
 from pagelake.operators.scope import favorites_of, scoped_slides, scoped_versions
+from pagelake.operators.search_index import SearchIndex
 
 LISTS = (
     ("text", c.WEIGHT_TEXT),
@@ -25,18 +26,20 @@ LISTS = (
 class Corpus:
     """The tables a search reads.
 
-    index: slide_id, version_id, page_no, title, created_at, tokens, n_tokens
-    elements: slide_id, version_id, element_index, tokens, n_tokens
+    index: slide_id, version_id, page_no, title, created_at; tokens and n_tokens where there is no page_index
+    elements: slide_id, version_id, element_index, tokens, n_tokens, or their index
+    page_index: the pages' inverted index, which then serves the text searches
     """
 
     index: DataFrame
-    elements: DataFrame
+    elements: DataFrame | SearchIndex
     embeddings: DataFrame
     element_embeddings: DataFrame
     presentations: DataFrame
     versions: DataFrame
     slide_tags: DataFrame
     favorites: DataFrame
+    page_index: SearchIndex | None = None
 
     def scope(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
         return scoped_versions(self.presentations, self.versions, user_id, superuser, include_historical)
@@ -157,7 +160,7 @@ def recall_lists(
     with_text = queries.filter(~is_blank(F.col("query")))
     scope_of = lambda vectors: scope.select("version_id") if "version_id" in vectors.columns else pages
     return {
-        "text": recall.text_recall(with_text, corpus.index, scope).select("query_id", "slide_id", "rank"),
+        "text": recall.text_recall(with_text, corpus.page_index or corpus.index, scope).select("query_id", "slide_id", "rank"),
         "vector": recall.vector_recall(with_text, corpus.embeddings, scope_of(corpus.embeddings), filter_first).select(
             "query_id", "slide_id", "rank"
         ),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.constants import IN_PROGRESS
 from pagelake.functions.scalar import owner_label, status_group
-from pagelake.operators.changes import one_per_key
+from pagelake.operators.changes import change_order, one_per_key
 from pagelake.operators.scope import live, modifiable_by, scoped_slides, trashed, visible_to
 
 # --- lists ----------------------------------------------------------------------------------
@@ -123,18 +123,24 @@ def remove_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame
 def patch(table: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Sets the allowed columns where the change row holds a value; other columns of it are ignored.
 
-    A column named in the change's array ``set_null``, where there is one, becomes null. Of several changes of a
-    key the last by ``at`` counts, or by value where they have no time.
+    A column named in the change's array ``set_null``, where there is one, becomes null. Changes of one key add up: per
+    column the last by ``at`` that sets or clears it counts, or the greatest row where they have no time.
     """
     named = [c for c in columns if c in changes.columns]
-    last = one_per_key(changes, [key])
-    cleared = F.coalesce(F.col("set_null"), F.array()) if "set_null" in changes.columns else F.array().cast("array<string>")
-    staged = last.select(key, cleared.alias("_null"), *[F.col(c).alias(f"_new_{c}") for c in named])
-    df = table.join(staged, key, "left")
-    for c in columns:
-        value = F.coalesce(f"_new_{c}", c) if c in named else F.col(c)
-        if c in table.columns:
-            df = df.withColumn(c, F.when(F.coalesce(F.array_contains("_null", c), F.lit(False)), F.lit(None)).otherwise(value))
+    cleared = F.coalesce(F.col("set_null"), F.array().cast("array<string>")) if "set_null" in changes.columns else F.array().cast("array<string>")
+    order = change_order(changes, [key])
+
+    def last(c: str) -> Column:
+        value = F.col(c) if c in named else F.lit(None).cast(table.schema[c].dataType)
+        clears = F.array_contains(cleared, c)
+        own = F.struct(clears.alias("clears"), F.when(~clears, value).alias("value"))
+        return F.max_by(own, F.when(clears | value.isNotNull(), order)).alias(f"_new_{c}")
+
+    present = [c for c in columns if c in table.columns]
+    df = table.join(changes.groupBy(key).agg(*[last(c) for c in present]), key, "left")
+    for c in present:
+        new = F.col(f"_new_{c}")
+        df = df.withColumn(c, F.when(new.isNull(), F.col(c)).otherwise(new["value"]))
     return df.select(*table.columns)
 
 

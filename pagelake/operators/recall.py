@@ -5,28 +5,23 @@ Every list has the form (query_id, slide_id, score or distance, rank).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.constants import LIST_DEPTH
 from pagelake.functions.text import tokens
+from pagelake.operators.block_join import block_count, block_join
 from pagelake.operators.indexing import index_totals
 from pagelake.operators.ranks import top_k
+from pagelake.operators.search_index import B, K1, SearchIndex, index_recall
 from pagelake.session import cut
 
-# BM25 parameters
-K1 = 1.2
-B = 0.75
-
-# Query vectors that travel with one scan of the items, in bytes; more queries take more scans.
-SHIPPED_BYTES = 16 << 20
-# Queries and items whose distances a task holds at a time: 16 MB of numbers.
-QUERY_TILE = 1024
-ITEM_TILE = 2048
+# Items whose distances to a strip of queries a task holds at a time.
+ITEM_TILE = 8192
 
 
 def query_terms(queries: DataFrame, words: Iterable[str] | None = None) -> DataFrame:
@@ -69,23 +64,27 @@ def _scores(queries: DataFrame, index: DataFrame, keys: list[str], totals: DataF
 
 
 def text_recall(
-    queries: DataFrame, index: DataFrame, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH, words: Iterable[str] | None = None
+    queries: DataFrame, index: DataFrame | SearchIndex, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH, words: Iterable[str] | None = None
 ) -> DataFrame:
     """Pages holding all query tokens, best BM25 first, ties by page id.
 
-    ``index``: pages with tokens and n_tokens, or their postings (``indexing.clustered_postings``; then give
-    ``totals``, as pages without a word are not in them). Scope applies before the cut and to the collection statistics; ``totals`` (n_docs, avg_tokens)
+    ``index``: a ``SearchIndex``, which reads the batch's words only and skips blocks that cannot matter; or pages with tokens and n_tokens,
+    or their postings (``indexing.clustered_postings``; then give ``totals``, as pages without a word are not in them). Scope applies before the cut and to the collection statistics; ``totals`` (n_docs, avg_tokens)
     saves the pass over the index when the caller keeps them.
     """
+    if isinstance(index, SearchIndex):
+        return index_recall(queries, index, scope, depth, words)
     scoped = index.join(scope.select("version_id"), "version_id", "left_semi")
     scored = _scores(queries, scoped, ["slide_id"], index_totals(scoped) if totals is None else totals, words)
     return top_k(scored, ["query_id"], [F.col("score").desc(), F.col("slide_id")], depth)
 
 
 def element_text_recall(
-    queries: DataFrame, elements: DataFrame, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH, words: Iterable[str] | None = None
+    queries: DataFrame, elements: DataFrame | SearchIndex, scope: DataFrame, totals: DataFrame | None = None, depth: int = LIST_DEPTH, words: Iterable[str] | None = None
 ) -> DataFrame:
     """As ``text_recall`` over elements; a page scores as its best element."""
+    if isinstance(elements, SearchIndex):
+        return index_recall(queries, elements, scope, depth, words)
     scoped = elements.join(scope.select("version_id"), "version_id", "left_semi")
     scored = _scores(queries, scoped, ["slide_id", "element_index"], index_totals(scoped) if totals is None else totals, words)
     best = scored.groupBy("query_id", "slide_id").agg(F.max("score").alias("score"))
@@ -95,87 +94,69 @@ def element_text_recall(
 # --- vectors --------------------------------------------------------------------------------
 
 
-def _unit(rows) -> np.ndarray:
-    matrix = np.asarray(rows, dtype=np.float64)
+def _unit(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1; those without a direction as not-a-number."""
+    column = column.cast(pa.large_list(pa.float64()))
+    matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
     norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.full_like(matrix, np.nan), where=norms > 0)
 
 
-class _Best:
-    """The k nearest pages of each query of a tile so far, nearest first, ties by page."""
-
-    def __init__(self, unit: np.ndarray, k: int) -> None:
-        self.unit, self.k = unit, k
-        self.distance, self.page = np.full((len(unit), 0), np.inf), np.zeros((len(unit), 0), dtype=np.int64)
+class _Items:
+    """A block's vectors, sorted by page."""
 
-    def add(self, vectors: np.ndarray, owners: np.ndarray) -> None:
-        """Items of one tile; a page counts at its nearest item."""
+    def __init__(self, rows: pa.Table) -> None:
+        owners = rows.column("id").to_numpy()
         order = np.argsort(owners, kind="stable")
-        pages, first = np.unique(owners[order], return_index=True)
-        raw = np.round(1.0 - self.unit @ vectors[order].T, 6) + 0.0
-        near = np.fmin.reduceat(np.where(np.isnan(raw), np.inf, raw), first, axis=1)
-        old = {"d": self.distance, "p": self.page}
-        both = np.concatenate([old["d"], near], axis=1)
-        page = np.concatenate([old["p"], np.broadcast_to(pages, near.shape)], axis=1)
-        rank = np.lexsort((both, page), axis=1)  # a page met before and now: the nearer one stays
-        both, page = np.take_along_axis(both, rank, 1), np.take_along_axis(page, rank, 1)
-        again = np.zeros(page.shape, dtype=bool)
-        again[:, 1:] = page[:, 1:] == page[:, :-1]
-        both[again] = np.inf
-        rank = np.lexsort((page, both), axis=1)[:, : self.k]
-        self.distance, self.page = np.take_along_axis(both, rank, 1), np.take_along_axis(page, rank, 1)
+        self.unit = _unit(rows.column("embedding").combine_chunks())[order]
+        self.owners = owners[order]
 
+    def tiles(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(vectors, pages, first row of each page) of some whole pages at a time."""
+        pages, first = np.unique(self.owners, return_index=True)
+        lo = 0
+        while lo < len(pages):
+            hi = max(int(np.searchsorted(first, first[lo] + ITEM_TILE)), lo + 1)
+            end = first[hi] if hi < len(pages) else len(self.owners)
+            yield self.unit[first[lo] : end], pages[lo:hi], first[lo:hi] - first[lo]
+            lo = hi
 
-_FOUND = "query_id bigint, slide_id bigint, distance double"
 
+_FOUND = "query_id bigint, slide_id bigint, distance double"
 
-def _scan(query_rows: list, items: DataFrame, k: int) -> DataFrame:
-    """Each task's k nearest pages per query, from one pass over its items."""
-    ids = np.array([r["query_id"] for r in query_rows])
-    shipped = items.sparkSession.sparkContext.broadcast((ids, _unit([r["embedding"] for r in query_rows])))
-
-    def scan(batches):
-        q_ids, q_unit = shipped.value
-        tiles = [_Best(q_unit[i : i + QUERY_TILE], k) for i in range(0, len(q_unit), QUERY_TILE)]
-        for pdf in batches:
-            for at in range(0, len(pdf), ITEM_TILE):
-                own = pdf.iloc[at : at + ITEM_TILE]
-                vectors, owners = _unit(list(own["embedding"])), own["slide_id"].to_numpy()
-                for tile in tiles:
-                    tile.add(vectors, owners)
-        for n, tile in enumerate(tiles):
-            row, col = np.nonzero(np.isfinite(tile.distance))
-            yield pd.DataFrame({"query_id": q_ids[n * QUERY_TILE + row], "slide_id": tile.page[row, col], "distance": tile.distance[row, col]})
 
-    return items.mapInPandas(scan, _FOUND)
+def _nearest(items: _Items, asked: pa.Table, k: int) -> pa.Table:
+    """The k nearest pages of a block for each query of a strip, ties by page."""
+    unit, ids = _unit(asked.column("embedding").combine_chunks()), asked.column("id").to_numpy()
+    distance, page = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+    for vectors, pages, first in items.tiles():
+        raw = np.round(1.0 - unit @ vectors.T, 6) + 0.0
+        near = np.fmin.reduceat(np.where(np.isnan(raw), np.inf, raw), first, axis=1)
+        if near.shape[1] > 2 * k:
+            # pages beyond the k-th distance of the tile cannot matter; all that tie with it stay until the pages decide
+            worst = np.partition(near, k - 1, axis=1)[:, k - 1].max()
+            some = np.flatnonzero((near <= worst).any(axis=0))
+            near, pages = near[:, some], pages[some]
+        distance = np.concatenate([distance, near], axis=1)
+        page = np.concatenate([page, np.broadcast_to(pages, near.shape)], axis=1)
+        rank = np.lexsort((page, distance), axis=1)[:, :k]
+        distance, page = np.take_along_axis(distance, rank, 1), np.take_along_axis(page, rank, 1)
+    row, col = np.nonzero(np.isfinite(distance))
+    return pa.table({"query_id": ids[row], "slide_id": page[row, col], "distance": distance[row, col]})
 
 
 def nearest_pages(queries: DataFrame, items: DataFrame, k: int = LIST_DEPTH) -> DataFrame:
     """(query_id, slide_id, distance, rank): the k pages nearest to each query vector by cosine.
 
     Exact. ``items`` (slide_id, embedding) may hold many rows per page; a page counts at its
-    nearest row. Distances are rounded to 6 decimals, ties go to the lower page id. Query vectors travel to the
-    items, ``SHIPPED_BYTES`` of them with each scan, so the items are never shuffled or copied. A task holds the
-    shipped vectors, the distances of one tile and k rows per shipped query, whatever the sizes of either side.
+    nearest row. Distances are rounded to 6 decimals, ties go to the lower page id. Blocks of items and strips of queries meet in
+    keyed groups (``block_join``), so no row of either side passes the driver and the plan does not depend on
+    their numbers; a task holds one block, one tile of distances and k rows per query of a strip. All vectors have one length.
     """
-    wanted = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    vectors = items.select("slide_id", "embedding").filter(F.col("embedding").isNotNull())
-    found, rows, size = [], [], 0
-    for r in wanted.toLocalIterator():
-        rows.append(r)
-        size += 8 * len(r["embedding"])
-        if size >= SHIPPED_BYTES:
-            found.append(_scan(rows, vectors, k))
-            rows, size = [], 0
-    if rows:
-        found.append(_scan(rows, vectors, k))
-    if not found:
-        return items.sparkSession.createDataFrame([], _FOUND + ", rank int")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    best = every.groupBy("query_id", "slide_id").agg(F.min("distance").alias("distance"))
-    return top_k(best, ["query_id"], [F.col("distance"), F.col("slide_id")], k)
+    asked = queries.select(F.col("query_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
+    vectors = items.select(F.col("slide_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.size("embedding") > 0)
+    near = block_join(vectors, asked, F.col("id"), block_count(vectors), _Items, lambda held, strip: _nearest(held, strip, k), _FOUND)
+    return top_k(near, ["query_id"], [F.col("distance"), F.col("slide_id")], k)
 
 
 def successful(embeddings: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 from functools import wraps
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,13 +180,12 @@ def favorites_list(v):
 
 @query
 def text_recall(v):
-    postings, totals = v.stored_postings(USER)
-    return recall.text_recall(v.queries, postings, v.scope(USER), totals)
+    return recall.text_recall(v.queries, v.page_search, v.scope(USER))
 
 
 @query
 def element_text_recall(v):
-    return recall.element_text_recall(v.queries, v.stored_elements(USER), v.scope(USER))
+    return recall.element_text_recall(v.queries, v.element_search, v.scope(USER))
 
 
 def _scope_pages(v):
@@ -207,7 +209,7 @@ def element_vector_recall(v):
 
 @query
 def rrf_fuse(v):
-    lists = fusion.recall_lists(v.queries, v.corpus(USER), USER)
+    lists = fusion.recall_lists(v.queries, v.corpus(), USER)
     fused = fusion.rrf_fuse(lists)
     return fused.select(
         "query_id", "slide_id", F.round("score", 6).alias("score"), "text_rank", "vector_rank", "element_text_rank", "element_vector_rank"
@@ -216,40 +218,40 @@ def rrf_fuse(v):
 
 @query
 def hybrid_search(v):
-    return _flat(fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, favorite_user_id=USER))
+    return _flat(fusion.hybrid_search(v.queries, v.corpus(), user_id=USER, favorite_user_id=USER))
 
 
 @query
 def hybrid_historical(v):
-    corpus = v.corpus(superuser=True, include_historical=True)
+    corpus = v.corpus()
     return _flat(fusion.hybrid_search(v.queries, corpus, superuser=True, include_historical=True, filter_first=False))
 
 
 @query
 def hybrid_tag_boost(v):
-    return _flat(fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, tag_ids=TAGS))
+    return _flat(fusion.hybrid_search(v.queries, v.corpus(), user_id=USER, tag_ids=TAGS))
 
 
 @query
 def hybrid_favorites(v):
-    return _flat(fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, favorite_user_id=USER, favorite_only=True))
+    return _flat(fusion.hybrid_search(v.queries, v.corpus(), user_id=USER, favorite_user_id=USER, favorite_only=True))
 
 
 @query
 def hybrid_filter_only(v):
     blank = v.queries.withColumn("query", F.lit("  "))
-    return _flat(fusion.hybrid_search(blank, v.corpus(USER), user_id=USER, tag_ids=TAGS, favorite_user_id=USER))
+    return _flat(fusion.hybrid_search(blank, v.corpus(), user_id=USER, tag_ids=TAGS, favorite_user_id=USER))
 
 
 @query
 def search_sorted_page(v):
-    hits = fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, topn=20)
+    hits = fusion.hybrid_search(v.queries, v.corpus(), user_id=USER, topn=20)
     return fusion.page_of(fusion.resorted(hits, "title"), 2, 10, "sorted_position").select("query_id", "sorted_position", "slide_id")
 
 
 @query
 def search_by_presentation(v):
-    hits = fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, topn=40)
+    hits = fusion.hybrid_search(v.queries, v.corpus(), user_id=USER, topn=40)
     grouped = fusion.search_by_presentation(hits, 1, 20)
     pages = F.array_join(F.transform("slides", lambda s: s["slide_id"].cast("string")), ",")
     return grouped.select("query_id", "presentation_id", "file_rank", "n_hits", pages.alias("slide_ids"))
@@ -257,7 +259,7 @@ def search_by_presentation(v):
 
 @query
 def tag_facets(v):
-    hits = fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, topn=c.FACET_DEPTH)
+    hits = fusion.hybrid_search(v.queries, v.corpus(), user_id=USER, topn=c.FACET_DEPTH)
     return fusion.tag_facets(hits, v.slide_tags, v.tags)
 
 
@@ -268,7 +270,7 @@ def compose_match(v):
     asked = v.queries.withColumn("query", F.when(item % 5 == 4, F.lit(" ")).otherwise(F.col("query")))
     outline = asked.select(item.alias("item_no"), F.when(item % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit("part "), item.cast("string"))).alias("section"), "query")
     named = asked.filter(~text.is_blank(F.col("query")))
-    best = fusion.hybrid_search(named, v.corpus(USER), user_id=USER, topn=1)
+    best = fusion.hybrid_search(named, v.corpus(), user_id=USER, topn=1)
     return fusion.compose_match(outline, best).select("item_no", "section", "slide_id", "presentation_title", "page_no", "score", "matched")
 
 
@@ -276,7 +278,7 @@ def compose_match(v):
 def compose_totals(v):
     item = F.col("query_id")
     outline = v.queries.select(item.alias("item_no"), F.concat(F.lit("part "), item.cast("string")).alias("section"), "query")
-    best = fusion.hybrid_search(v.queries, v.corpus(USER), user_id=USER, topn=1)
+    best = fusion.hybrid_search(v.queries, v.corpus(), user_id=USER, topn=1)
     return fusion.compose_totals(fusion.compose_match(outline, best))
 
 
@@ -439,9 +441,15 @@ def validate_sources(v):
 
 @query
 def parse_packages(v):
-    parsed = source_packages.parse_packages(v.packages)
+    """Packages, some of them cut off in the middle and some that are archives of another kind."""
+    other = io.BytesIO()
+    with zipfile.ZipFile(other, "w") as archive:
+        archive.writestr("word/document.xml", "<document/>")
+    half = F.substring(F.col("content"), F.lit(1), (F.length("content") / 2).cast("int"))
+    spoiled = F.when(F.col("file_id") % 17 == 3, half).when(F.col("file_id") % 17 == 5, F.lit(other.getvalue())).otherwise(F.col("content"))
+    parsed = source_packages.parse_packages(v.packages.withColumn("content", spoiled))
     return parsed.select(
-        "file_id", "page_no", F.md5(F.col("title").cast("binary")).alias("title_hash"), F.sha2("native_text", 256).alias("text_hash"), "notes_text",
+        "file_id", "parse_status", "page_no", F.md5(F.col("title").cast("binary")).alias("title_hash"), F.sha2("native_text", 256).alias("text_hash"), "notes_text",
         F.size("content.shapes").cast("bigint").alias("n_shapes"), F.size(text.table_cells(F.col("content.tables"))).cast("bigint").alias("n_cells"),
         F.size("content.pictures").cast("bigint").alias("n_pictures"), F.size("content.relationships").cast("bigint").alias("n_rels"),
     )
@@ -578,7 +586,12 @@ def embed_incremental(v):
     done = indexed.join(english, "slide_id", "left_semi").select(
         "slide_id", F.lit("m1").alias("model"), F.sha2("index_text", 256).alias("source_hash"), F.lit("success").alias("status")
     )
-    made = enrich.build_embeddings(indexed, done, "m1", enrich.hashed_bag())
+    bag = enrich.hashed_bag()
+
+    def moody(texts: pd.Series) -> pd.Series:  # has no vector for texts of an odd length
+        return pd.Series([None if len(t) % 2 else x for t, x in zip(texts, bag(texts), strict=True)], dtype=object)
+
+    made = enrich.build_embeddings(indexed, done, "m1", moody)
     return made.select("slide_id", "model", "source_hash", "status", F.size("embedding").cast("bigint").alias("dim"))
 
 
@@ -629,7 +642,7 @@ def merge_element_ocr(v):
     return merged.select(
         "slide_id", F.col("element_index").cast("bigint").alias("element_index"), F.md5(F.col("text").cast("binary")).alias("text_hash"),
         F.array_join("tokens", " ").alias("tokens"),
-    ).filter(F.col("tokens").like("read%twice") | F.col("text_hash").isNull())
+    )
 
 
 @query
@@ -798,12 +811,14 @@ def patch_slides(v):
     earlier = changes.select("slide_id", F.lit("draft").alias("title"), "page_no", F.lit(0).alias("at"))
     cleared = v.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("slide_id"), F.lit("x").alias("title"), F.lit(0).alias("page_no"))
     last = changes.withColumn("at", F.lit(1)).withColumn("set_null", F.array().cast("array<string>"))
+    noted = v.table("labels").select(F.col("doc_id").alias("slide_id"), F.concat(F.lit("seen "), F.col("quality").cast("string")).alias("user_note"), F.lit(3).alias("at"))
     every = (
         earlier.withColumn("set_null", F.array().cast("array<string>")).unionByName(last)
         .unionByName(cleared.withColumn("at", F.lit(2)).withColumn("set_null", F.array(F.lit("title"))))
+        .unionByName(noted, allowMissingColumns=True)
     )
-    pages = v.slides.select("slide_id", "version_id", "title", "page_no")
-    return library.patch_slides(pages, every, v.presentations, v.versions, user_id=USER).select("slide_id", "title", "page_no")
+    pages = v.slides.select("slide_id", "version_id", "title", "page_no", F.lit("none").alias("user_note"))
+    return library.patch_slides(pages, every, v.presentations, v.versions, user_id=USER).select("slide_id", "title", "page_no", "user_note")
 
 
 @query

@@ -576,8 +576,9 @@ SELECT doc_id AS file_id, 'f' || doc_id || CASE doc_id % 6 WHEN 5 THEN '.key' WH
   CASE doc_id % 6 WHEN 1 THEN 'CORRUPT_ZIP' WHEN 3 THEN 'INVALID_PPT' WHEN 4 THEN 'INVALID_ZIP' WHEN 5 THEN 'UNSUPPORTED_EXTENSION' END AS error
 FROM documents"""
     out["parse_packages"] = sql(
-        """SELECT file_id, page_no, md5(title) AS title_hash, sha256(native_text) AS text_hash, CASE WHEN page_no = 1 THEN 'note ' || file_id ELSE '' END AS notes_text,
-  n_shapes, n_cells, CASE WHEN page_no = 1 THEN 1 ELSE 0 END AS n_pictures, CASE WHEN page_no = 1 THEN 4 ELSE 1 END AS n_rels FROM pack_pages""",
+        """SELECT file_id, 'success' AS parse_status, page_no, md5(title) AS title_hash, sha256(native_text) AS text_hash, CASE WHEN page_no = 1 THEN 'note ' || file_id ELSE '' END AS notes_text,
+  n_shapes, n_cells, CASE WHEN page_no = 1 THEN 1 ELSE 0 END AS n_pictures, CASE WHEN page_no = 1 THEN 4 ELSE 1 END AS n_rels FROM pack_pages WHERE file_id % 17 NOT IN (3, 5)
+UNION ALL SELECT doc_id, 'failed', NULL, NULL, NULL, NULL, NULL, 0, NULL, NULL FROM docs WHERE doc_id % 17 IN (3, 5)""",
         BLOCKS,
     )
     out["part_closure"] = sql(
@@ -624,7 +625,8 @@ WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.slide_id = w.slide_id AND k.tag_i
     )
     out["embed_incremental"] = sql(
         """SELECT s.slide_id, 'm1' AS model, sha256(concat_ws(chr(10), nullif(s.title, ''), nullif(s.native_text, ''), nullif(t.txt, ''))) AS source_hash,
-  'success' AS status, CAST(64 AS BIGINT) AS dim
+  CASE WHEN length(concat_ws(chr(10), nullif(s.title, ''), nullif(s.native_text, ''), nullif(t.txt, ''))) % 2 = 1 THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN length(concat_ws(chr(10), nullif(s.title, ''), nullif(s.native_text, ''), nullif(t.txt, ''))) % 2 = 0 THEN CAST(64 AS BIGINT) END AS dim
 FROM scoped s LEFT JOIN table_texts t USING (slide_id) JOIN docs d ON d.doc_id = s.slide_id WHERE d.lang <> 'en'""",
         scope(None),
     )
@@ -647,9 +649,8 @@ FROM slides s LEFT JOIN embeddings e ON e.vec_id = s.slide_id LEFT JOIN (SELECT
 FROM slides LEFT JOIN labels l ON l.doc_id = slide_id"""
     )
     out["merge_element_ocr"] = sql(
-        """SELECT slide_id, element_index, md5('read ' || slide_id || ' twice') AS text_hash,
-  array_to_string(regexp_extract_all('read ' || slide_id || ' twice', '[\\p{L}\\p{N}]+'), ' ') AS tokens
-FROM elements WHERE element_type = 'picture' AND coalesce(txt, '') = ''"""
+        rf"""SELECT slide_id, element_index, md5(body) AS text_hash, array_to_string(regexp_extract_all(lower(body), '{PAT}'), ' ') AS tokens
+FROM (SELECT *, CASE WHEN element_type = 'picture' AND coalesce(txt, '') = '' THEN 'read ' || slide_id || ' twice' ELSE txt END AS body FROM elements)"""
     )
     nibble = lambda x: f"strpos('0123456789abcdef', substr({x}, i, 1)) - 1"
     digits_apart = lambda a, b: f"list_sum([bit_count(xor({nibble(a)}, {nibble(b)})) for i in range(1, 17)])"
@@ -733,7 +734,8 @@ WHERE NOT EXISTS (SELECT 1 FROM events e WHERE event_type = 'view' AND e.user_id
     out["folder_delete"] = sql("SELECT presentation_id, nullif(folder_id, 0) AS folder_id FROM presentations")
     out["set_current"] = sql("SELECT presentation_id, current_version_id - 1 AS current_version_id FROM presentations")
     out["patch_slides"] = sql(
-        """SELECT slide_id, CASE WHEN p.owner_id IS DISTINCT FROM 0 THEN s.title WHEN slide_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL
+        """SELECT slide_id, coalesce(CASE WHEN p.owner_id = 0 THEN (SELECT min('seen ' || quality) FROM labels WHERE doc_id = slide_id) END, 'none') AS user_note,
+  CASE WHEN p.owner_id IS DISTINCT FROM 0 THEN s.title WHEN slide_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN NULL
   WHEN slide_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'good page ' || slide_id ELSE s.title END AS title, page_no
 FROM slides s LEFT JOIN versions v USING (version_id) LEFT JOIN presentations p USING (presentation_id)"""
     )

@@ -16,16 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions.text import first_line, fingerprint
+from pagelake.operators import search_index
 from pagelake.operators.dedup import signature64
 from pagelake.operators.fusion import Corpus
-from pagelake.operators.indexing import ai_tag_text, clustered_postings, extract_elements, index_text, index_totals, token_index
+from pagelake.operators.indexing import ai_tag_text, extract_elements, index_text, token_index
 from pagelake.operators.scope import scoped_slides, scoped_versions
-from pagelake.session import stored
+from pagelake.operators.search_index import SearchIndex
+from pagelake.session import scratch_path, stored
 from pagelake.sources.tables import spread
 
 MOVED = 1_000_000_000_000
 LINES_PER_PAGE = 8
 SOURCES = 20
+_KEPT: dict[tuple[str, str, str], str] = {}
 
 
 def minute(n):
@@ -286,26 +289,40 @@ class Views:
     def scope(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
         return scoped_versions(self.presentations, self.versions, user_id, superuser, include_historical)
 
-    def stored_index(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
-        """Page index of the scope, built and written once, as an index build leaves it."""
-        columns = ("slide_id", "version_id", "page_no", "title", "created_at", "tokens", "n_tokens")
-        return stored(self.page_index(user_id, superuser, include_historical).select(*columns), "page-index")
+    def _kept(self, name: str) -> str:
+        """A folder that all searches of one session over one corpus share, as a deployment keeps its indexes."""
+        key = self.spark.sparkContext.applicationId, self.sf_dir, name
+        if key not in _KEPT:
+            _KEPT[key] = scratch_path(self.spark, name)
+        return _KEPT[key]
 
-    def stored_postings(self, user_id=None, superuser=False, include_historical=False) -> tuple[DataFrame, DataFrame]:
-        """(postings, totals) of the page index, both as an index build leaves them."""
-        index = self.stored_index(user_id, superuser, include_historical)
-        return stored(clustered_postings(index, ["slide_id", "version_id"]), "page-postings"), stored(index_totals(index), "page-totals")
+    @cached_property
+    def page_rows(self) -> DataFrame:
+        """Pages of all versions without their texts."""
+        pages = self.scoped(superuser=True, include_historical=True)
+        return pages.select("slide_id", "version_id", "page_no", "title", "created_at")
 
-    def stored_elements(self, user_id=None, superuser=False, include_historical=False) -> DataFrame:
-        columns = ("slide_id", "version_id", "element_index", "tokens", "n_tokens")
-        elements = extract_elements(self.scoped(user_id, superuser, include_historical))
-        return stored(token_index(elements, "text").select(*columns), "element-index")
+    @cached_property
+    def page_search(self) -> SearchIndex:
+        """One index over the pages of all versions; a search brings its scope."""
+        path, keys = self._kept("page-search"), ("slide_id",)
+        if search_index.exists(self.spark, path):
+            return search_index.read_index(self.spark, path, keys)
+        index = self.page_index(superuser=True, include_historical=True).select("slide_id", "version_id", "tokens", "n_tokens")
+        return search_index.build_index(index, path, keys)
 
-    def corpus(self, user_id=None, superuser=False, include_historical=False) -> Corpus:
+    @cached_property
+    def element_search(self) -> SearchIndex:
+        path, keys = self._kept("element-search"), ("slide_id", "element_index")
+        if search_index.exists(self.spark, path):
+            return search_index.read_index(self.spark, path, keys)
+        elements = extract_elements(self.scoped(superuser=True, include_historical=True))
+        return search_index.build_index(token_index(elements, "text").select("slide_id", "element_index", "version_id", "tokens", "n_tokens"), path, keys)
+
+    def corpus(self) -> Corpus:
         return Corpus(
-            self.stored_index(user_id, superuser, include_historical),
-            self.stored_elements(user_id, superuser, include_historical),
-            self.slide_embeddings, self.element_embeddings, self.presentations, self.versions, self.slide_tags, self.favorites,
+            self.page_rows, self.element_search, self.slide_embeddings, self.element_embeddings,
+            self.presentations, self.versions, self.slide_tags, self.favorites, self.page_search,
         )
 
     # --- packages ---------------------------------------------------------------------------

@@ -33,13 +33,16 @@ _FACTS = (
 
 
 def _parts_of(content: bytes) -> Iterator[tuple[str | None, int | None, bytes | None, bool]]:
-    """(part, size, XML bytes, whether it is damaged); an archive that cannot be opened is one damaged part without a name."""
+    """(part, size, XML bytes, whether it is damaged); an archive that cannot be opened, or has no presentation part,
+    has a damaged part without a name."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except (*_BROKEN, TypeError):
         yield None, None, None, True
         return
     with archive:
+        if "ppt/presentation.xml" not in archive.namelist():
+            yield None, None, None, True
         for info in archive.infolist():
             if not info.filename.endswith((".xml", ".rels")):
                 yield info.filename, info.file_size, None, False
@@ -199,8 +202,8 @@ def parse_packages(files: DataFrame) -> DataFrame:
     """One row per page: file_id, page_no, title, native_text, notes_text, fingerprint, content, part, parse_status.
 
     ``files``: file_id, content. A listed page whose part is absent comes out empty. parse_status is
-    failed for a page whose part is damaged or no XML; an archive that cannot be opened, or whose list of pages
-    cannot be read, gives one failed row without a page. Archives are opened once; what they state is kept in the
+    failed for a page whose part is damaged or no XML; a file that lists no page, for whatever reason, gives one failed row
+    without a page. Archives are opened once; what they state is kept in the
     shared folder for the joins that follow.
     """
     facts = cut(part_facts(package_parts(files)))
@@ -248,8 +251,8 @@ def parse_packages(files: DataFrame) -> DataFrame:
         content.alias("content"),
         F.when(F.coalesce("xml_ok", F.lit(True)), "success").otherwise("failed").alias("parse_status"),
     )
-    lists = F.col("part").isNull() | F.col("part").isin("ppt/presentation.xml", "ppt/_rels/presentation.xml.rels")
-    lost = facts.filter(lists & ~F.col("xml_ok")).select("file_id").distinct()
+    # every archive states something, if only that it has no presentation part
+    lost = facts.select("file_id").distinct().join(order.select("file_id"), "file_id", "left_anti")
     failed = lost.select(
         *[F.col("file_id") if f.name == "file_id" else F.lit("failed").alias(f.name) if f.name == "parse_status" else F.lit(None).cast(f.dataType).alias(f.name) for f in parsed.schema.fields]
     )

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagelake.functions.text import fingerprint
+from pagelake.operators import search_index
 from pagelake.operators.indexing import extract_elements, index_text, token_index
 from pagelake.sources.tables import append_batch, latest_batch
 
+PAGE_KEYS = ("slide_id",)
+ELEMENT_KEYS = ("slide_id", "element_index")
+
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes what has arrived and stops; call again to go on from the checkpoint."""
@@ -24,32 +28,65 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 
 
 def stream_slides(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """New pages into the page index and element tables below ``target``.
+    """New pages into the page, element and index tables below ``target``.
 
     The stream holds raw pages (slide_id, version_id, page_no, title, native_text, notes_text,
-    ai_summary, content, presentation_title). Each micro-batch lands in its own partition, so a
-    retried batch replaces itself; readers take each version's last batch (``read_slides``).
+    ai_summary, content, presentation_title) and, where it knows it, ``run_id``, the parse run that made them. Each
+    micro-batch lands in its own partition, so a retried batch replaces itself. A run may arrive in any number of batches; a version
+    belongs to the run that delivered it last (``read_slides``). With run_id the batch also becomes a segment of the search
+    indexes (``page_search``, ``element_search``), without one pages replace each other one by one and nothing is indexed.
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
         pages = token_index(index_text(batch)).withColumn("fingerprint", fingerprint(F.col("native_text")))
         append_batch(pages.drop("content", "index_text"), f"{target}/slides", batch_id)
+        runs = ["run_id"] if "run_id" in batch.columns else []
         elements = token_index(extract_elements(batch), "text")
+        if runs:
+            elements = elements.join(batch.select("slide_id", *runs), "slide_id")
         append_batch(elements, f"{target}/elements", batch_id)
+        if runs and not batch.isEmpty():
+            landed = lambda name: batch.sparkSession.read.parquet(f"{target}/{name}").filter(F.col("batch_id") == batch_id)
+            # pages last: a batch's versions belong to its run once all of it can be found
+            search_index.append_segment(landed("elements"), f"{target}/index/elements", ELEMENT_KEYS, batch_id, landed("slides"))
+            search_index.append_segment(landed("slides"), f"{target}/index/pages", PAGE_KEYS, batch_id)
 
     return run_available(stream, land, checkpoint)
 
 
-def read_slides(spark: SparkSession, target: str, key: str = "version_id") -> DataFrame:
-    """Pages as last delivered: a version's last batch replaces all its pages, so none of an older parse stays.
-    With key ``slide_id`` each page is replaced by itself; use it when a micro-batch may hold part of a version."""
-    return latest_batch(spark.read.parquet(f"{target}/slides"), key)
+def read_slides(spark: SparkSession, target: str) -> DataFrame:
+    """Pages as last delivered. With ``run_id`` those of each version's last run, whatever number of batches it took; none of an
+    older parse stays. Without it each page's last delivery, as nothing tells which pages a version has lost."""
+    rows = spark.read.parquet(f"{target}/slides")
+    if "run_id" in rows.columns:
+        last = rows.groupBy("version_id").agg(F.max_by("run_id", "batch_id").alias("run_id"))
+        rows = rows.join(last, ["version_id", "run_id"], "left_semi")
+    return latest_batch(rows, "slide_id")
+
+
+def read_elements(spark: SparkSession, target: str) -> DataFrame:
+    """Elements of the pages' last deliveries; a page redelivered without elements has none."""
+    rows = spark.read.parquet(f"{target}/slides")
+    if "run_id" in rows.columns:
+        last = rows.groupBy("version_id").agg(F.max_by("run_id", "batch_id").alias("run_id"))
+        rows = rows.join(last, ["version_id", "run_id"], "left_semi")
+    live = rows.groupBy("slide_id").agg(F.max("batch_id").alias("batch_id"))
+    return spark.read.parquet(f"{target}/elements").join(live, ["slide_id", "batch_id"], "left_semi").drop("batch_id")
+
+
+def page_search(spark: SparkSession, target: str) -> search_index.SearchIndex:
+    """The index of all pages that live; base and later segments are merged while reading."""
+    return search_index.read_index(spark, f"{target}/index/pages", PAGE_KEYS)
+
+
+def element_search(spark: SparkSession, target: str) -> search_index.SearchIndex:
+    return search_index.read_index(spark, f"{target}/index/elements", ELEMENT_KEYS)
 
 
-def read_elements(spark: SparkSession, target: str, key: str = "version_id") -> DataFrame:
-    """Elements of the pages' last batches; a page redelivered without elements has none."""
-    last = spark.read.parquet(f"{target}/slides").groupBy(key).agg(F.max("batch_id").alias("batch_id"))
-    return spark.read.parquet(f"{target}/elements").join(last, [key, "batch_id"], "left_semi").drop("batch_id")
+def compact_indexes(spark: SparkSession, target: str) -> None:
+    """Rewrites both indexes as one segment each; for times when the stream stands."""
+    search_index.compact(spark, f"{target}/index/pages", PAGE_KEYS)
+    search_index.compact(spark, f"{target}/index/elements", ELEMENT_KEYS)
 
 
 def stream_new_files(stream: DataFrame, known: DataFrame, delay: str = "1 day", time: str = "arrived_at") -> DataFrame:
