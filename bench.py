@@ -12,6 +12,8 @@ from pagelake.session import local_session
 
 HEADLINE = (
     "reindex_all",
+    "index_build",
+    "element_index_build",
     "text_recall",
     "vector_recall",
     "hybrid_search",

@@ -31,7 +31,7 @@ from pagelake.sources.tables import bucket as bucket_of
 K1 = 1.2
 B = 0.75
 
-BUCKETS = 32
+BUCKETS = 16
 # Documents of a block, about.
 DOCS = 512
 # Blocks of a query that are scored before it has a threshold.
@@ -70,18 +70,17 @@ def _append(df: DataFrame, path: str, parts: list[str]) -> None:
 def _write_segment(
     postings: DataFrame, totals: DataFrame, delivered: DataFrame, path: str, keys: tuple[str, ...], segment: int, compacted: bool
 ) -> None:
-    """Postings (token, block, keys, version_id, run_id, n_tokens, tf) and what belongs beside them as one segment; ``delivered``
-    names the versions and runs that it holds."""
+    """Postings (bucket, token, block, keys, version_id, run_id, n_tokens, tf), dealt by bucket and block, and what belongs beside them as one
+    segment; ``delivered`` names the versions and runs that it holds."""
     spark = postings.sparkSession
-    marked = postings.withColumn("bucket", bucket_of(F.col("token"), BUCKETS)).withColumn("segment", F.lit(segment).cast("bigint"))
-    # a frequent token's postings fall into as many ranges as they need
-    laid = marked.repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block", *keys)
-    _append(laid, f"{path}/postings", ["segment", "bucket"])
+    marked = postings.withColumn("segment", F.lit(segment).cast("bigint"))
+    # by token within a file, so that the scan of some words passes over the rest
+    _append(marked.sortWithinPartitions("bucket", "token", "block"), f"{path}/postings", ["segment", "bucket"])
     own = spark.read.schema(marked.schema).parquet(f"{path}/postings").filter(F.col("segment") == segment)
     maxima = own.groupBy("segment", "bucket", "token", "block").agg(F.max("tf").alias("max_tf"), F.min("n_tokens").alias("min_tokens"))
-    _append(maxima.repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token"), f"{path}/maxima", ["segment", "bucket"])
+    _append(maxima.sortWithinPartitions("bucket", "token"), f"{path}/maxima", ["segment", "bucket"])
     counts = own.groupBy("segment", "bucket", "token", "version_id", "run_id").agg(F.count(F.lit(1)).alias("df"))
-    _append(counts.repartitionByRange("bucket", "token").sortWithinPartitions("bucket", "token"), f"{path}/counts", ["segment", "bucket"])
+    _append(counts.sortWithinPartitions("bucket", "token"), f"{path}/counts", ["segment", "bucket"])
     _append(totals.withColumn("segment", F.lit(segment).cast("bigint")).coalesce(1), f"{path}/totals", ["segment"])
     listed = delivered.select("version_id", "run_id", F.lit(compacted).alias("compacted"), F.lit(segment).cast("bigint").alias("segment"))
     _append(listed.coalesce(1), f"{path}/versions", ["segment"])
@@ -95,12 +94,16 @@ def append_segment(docs: DataFrame, path: str, keys: Iterable[str], segment: int
     """
     keys = tuple(keys)
     run = F.col("run_id").cast("string") if "run_id" in docs.columns else F.lit(f"segment {segment}")
-    rows = _blocks(docs.withColumn("run_id", run).select(*keys, "version_id", "run_id", "n_tokens", "tokens"), keys, segment)
-    group = ["block", *keys, "version_id", "run_id", "n_tokens"]
-    flat = rows.select(*group, F.explode("tokens").alias("token")).groupBy("token", *group).agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    totals = docs.withColumn("run_id", run).groupBy("version_id", "run_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    docs = stored(docs.withColumn("run_id", run).select(*keys, "version_id", "run_id", "n_tokens", "tokens"), "documents-to-index")
+    rows = _blocks(docs, keys, segment)
+    flat = rows.select("block", *keys, "version_id", "run_id", "n_tokens", F.explode("tokens").alias("token"))
+    # one shuffle: a frequent token's postings are dealt by their blocks, and the count finds them together
+    dealt = flat.withColumn("bucket", bucket_of(F.col("token"), BUCKETS)).repartition("bucket", "block")
+    counted = dealt.groupBy("bucket", "token", "block", *keys, "version_id", "run_id", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    totals = docs.groupBy("version_id", "run_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     held = totals if delivered is None else delivered.select("version_id", F.col("run_id").cast("string").alias("run_id"))
-    _write_segment(flat, totals, held.select("version_id", "run_id").distinct(), path, keys, segment, False)
+    _write_segment(counted, totals, held.select("version_id", "run_id").distinct(), path, keys, segment, False)
+    discard(docs, free=False)
 
 
 def drop_versions(versions: DataFrame, path: str, segment: int) -> None:
@@ -140,10 +143,10 @@ def compact(spark: SparkSession, path: str, keys: Iterable[str]) -> int:
     segment = max(segments) + 1
     live = live_versions(spark, path)
     alive = lambda name: spark.read.parquet(f"{path}/{name}").join(live, ["version_id", "run_id"]).filter(F.col("segment") >= F.col("since"))
-    postings = alive("postings").select("token", *keys, "version_id", "run_id", "n_tokens", "tf")
+    postings = alive("postings").select("bucket", "token", *keys, "version_id", "run_id", "n_tokens", "tf")
     docs = _blocks(postings.select(*keys, "n_tokens").distinct(), keys, segment).select(*keys, "block")
     totals = alive("totals").groupBy("version_id", "run_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    _write_segment(postings.join(docs, list(keys)), stored(totals, "live-totals"), stored(live, "live-versions"), path, keys, segment, True)
+    _write_segment(postings.join(docs, list(keys)).repartition("bucket", "block"), stored(totals, "live-totals"), stored(live, "live-versions"), path, keys, segment, True)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in ("postings", "maxima", "counts", "totals"):
         for old in segments:
@@ -191,8 +194,9 @@ def search(queries: DataFrame, index: SearchIndex, scope: DataFrame, depth: int,
     asked = asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("token")).withColumn("bucket", bucket_of(F.col("token"), BUCKETS))
     asked = stored(asked, "query-words")
     wanted = asked.select("bucket", "token").distinct()
-    buckets = sorted(r[0] for r in wanted.select("bucket").distinct().collect())  # BUCKETS numbers at most
-    named = [r[0] for r in wanted.select("token").limit(NAMED + 1).collect()]
+    some = wanted.limit(NAMED + 1).collect()
+    named = [r["token"] for r in some]
+    buckets = sorted({r["bucket"] for r in some} if len(some) <= NAMED else {r[0] for r in wanted.select("bucket").distinct().collect()})  # BUCKETS numbers at most
 
     def held(table: DataFrame) -> DataFrame:
         own = table.filter(F.col("bucket").isin(buckets))
@@ -230,8 +234,7 @@ def search(queries: DataFrame, index: SearchIndex, scope: DataFrame, depth: int,
     threshold = last.select("query_id", F.col("score").alias("threshold"))
     rest = blocks.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(threshold, "query_id", "left")
     open_blocks = rest.filter(F.col("threshold").isNull() | (F.col("bound") + F.lit(SLACK) >= F.col("threshold")))
-    later = stored(exact(open_blocks), "later-hits")
-    every = found.unionByName(later)
+    every = found.unionByName(exact(open_blocks))
     if len(index.keys) > 1:
         every = every.groupBy("query_id", "slide_id").agg(F.max("score").alias("score"))
     rounds = first.select("query_id", "block", F.lit(1).alias("round")).unionByName(open_blocks.select("query_id", "block", F.lit(2).alias("round")))

@@ -12,18 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake import constants as c
-from pagelake.functions import scalar, text
+from pagelake.functions import scalar, segment, text
 from pagelake.operators import dedup, enrich, fusion, indexing, jobs, library, packages, quality, recall, versions
 from pagelake.operators.scope import any_tag, favorites_of, scoped_slides, text_bearing
 from pagelake.plans.views import MOVED, Views
 from pagelake.session import scratch_path, stored
-from pagelake.sources import bulk, files
+from pagelake.sources import bulk, files, tables
 from pagelake.sources import packages as source_packages
 from pagelake.sources.tables import replace_by_key
 from pagelake.streaming import ingest
 from pagelake.streaming import jobs as job_stream
 
 USER = 0
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+IDEOGRAPHS = "".join(chr(0x4E00 + i) for i in range(len(LETTERS)))
 TAGS = ["tag-quality", "tag-toxic", "tag-fr"]
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +78,33 @@ def corpus_totals(v):
     return totals.select("n_docs", F.round("avg_tokens", 6).alias("avg_tokens"))
 
 
+@query
+def index_build(v):
+    """What the kept page index holds per version."""
+    held = v.page_search.postings.groupBy("version_id").agg(F.count(F.lit(1)).alias("n_postings"))
+    return v.page_search.totals.join(held, "version_id").select("version_id", "n_docs", "n_tokens", "n_postings")
+
+
+@query
+def element_index_build(v):
+    held = v.element_search.postings.groupBy("version_id").agg(F.count(F.lit(1)).alias("n_postings"))
+    return v.element_search.totals.join(held, "version_id", "left").select("version_id", "n_docs", "n_tokens", "n_postings")
+
+
+@query
+def segmented_words(v):
+    """Passages written in ideographs, one for each letter and without blanks, cut with their own words as the dictionary file."""
+    ideographs = lambda c: F.translate(F.lower(c), LETTERS, IDEOGRAPHS)
+    passages = v.table("benchmark")
+    words = passages.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word")).groupBy("word").count()
+    path = scratch_path(v.spark, "dictionary")
+    words.select(F.concat_ws(" ", ideographs(F.col("word")), F.col("count").cast("string"), F.lit("n"))).write.text(path)
+    known = segment.frequencies(tables.read_dictionary(v.spark, path))
+    run = ideographs(F.regexp_replace("text", "[^A-Za-z]", ""))
+    cut = passages.select("item_id", segment.best_path_tokens(run, known).alias("tokens"))
+    return cut.select("item_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_hash"))
+
+
 @query
 def reindex_all(v):
     index = indexing.reindex(v.scoped(superuser=True), v.slide_tags, v.tags)
@@ -886,6 +915,19 @@ def stream_ingest(v):
     return slides.join(n_elements, "slide_id", "left").fillna(0, ["n_elements"])
 
 
+@query
+def stream_search(v):
+    """Words found in what a stream has indexed: a first run in two batches, then a run that replaces every third version by shorter pages."""
+    pages = v.document_pages(v.documents)
+    again = pages.filter((F.col("version_id") % 3 == 0) & (F.col("slide_id") % 7 != 3)).withColumn("native_text", text.first_line(F.col("native_text")))
+    base = scratch_path(v.spark, "stream-search")
+    for run, rows in (("one", pages.filter("slide_id % 2 = 0")), ("one", pages.filter("slide_id % 2 <> 0")), ("two", again)):
+        arriving = v.finished(rows).withColumn("presentation_title", F.lit(None).cast("string")).withColumn("run_id", F.lit(run))
+        arriving.write.mode("append").parquet(f"{base}/in")
+        ingest.stream_slides(v.spark.readStream.schema(arriving.schema).parquet(f"{base}/in"), f"{base}/tables", f"{base}/state")
+    return recall.text_recall(v.queries, ingest.page_search(v.spark, f"{base}/tables"), v.scope(USER))
+
+
 @query
 def stream_dedup(v):
     """Uploads arrive as a stream; those whose content is a benchmark passage are known."""

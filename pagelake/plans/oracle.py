@@ -420,6 +420,34 @@ BENCH_FILES = "bench_files AS (SELECT -item_id - 1 AS file_id, sha256(text) AS s
 KEY = "job_type || ':' || target_id || ':' || substr(sha256(concat_ws('|', job_type, CAST(target_id AS VARCHAR), stage)), 1, 16)"
 
 
+_LETTERS = "'abcdefghijklmnopqrstuvwxyz', '" + "".join(chr(0x4E00 + i) for i in range(26)) + "'"
+#: Best paths from the end: ``s`` holds the scores of the next places, one place more each step; then the cuts from the start.
+SEGMENTED = f"""
+WITH RECURSIVE runs AS (SELECT item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), {_LETTERS}) AS run FROM benchmark),
+words AS (
+  SELECT translate(w, {_LETTERS}) AS word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS w FROM benchmark) GROUP BY 1),
+costs AS (SELECT word, length(word) AS l, ln(freq) - (SELECT ln(sum(freq)) FROM words) AS c FROM words),
+places AS (SELECT item_id, run, unnest(range(1, length(run) + 1)) AS pos FROM runs),
+arcs AS (
+  SELECT item_id, pos, list({{'l': l, 'c': c}}) AS own
+  FROM (SELECT p.*, n.l AS size, substr(run, pos, n.l) AS part FROM places p CROSS JOIN (SELECT DISTINCT l FROM costs) n WHERE pos + n.l - 1 <= length(run)) x
+    JOIN costs ON word = part GROUP BY item_id, pos),
+every_place AS (SELECT p.item_id, p.pos, coalesce(own, []) AS own FROM places p LEFT JOIN arcs a ON a.item_id = p.item_id AND a.pos = p.pos),
+best(item_id, pos, s, l) AS (
+  SELECT item_id, length(run) + 1, [CAST(0 AS DOUBLE)], CAST(0 AS BIGINT) FROM runs
+  UNION ALL
+  SELECT item_id, pos, list_prepend(x.s, s)[1:64], x.l FROM (
+    SELECT b.item_id, e.pos, b.s, list_reverse_sort(list_append(
+      [{{'s': round(o.c + b.s[o.l], 9), 'l': o.l}} FOR o IN e.own],
+      {{'s': round(b.s[1] - (SELECT ln(sum(freq)) FROM words), 9), 'l': CAST(1 AS BIGINT)}}))[1] AS x
+    FROM best b JOIN every_place e ON e.item_id = b.item_id AND e.pos = b.pos - 1)),
+cuts(item_id, pos, l) AS (
+  SELECT item_id, pos, l FROM best WHERE pos = 1 AND l > 0
+  UNION ALL SELECT b.item_id, b.pos, b.l FROM cuts c JOIN best b ON b.item_id = c.item_id AND b.pos = c.pos + c.l AND b.l > 0)
+SELECT r.item_id, count(c.pos) AS n_tokens, sha256(coalesce(string_agg(substr(r.run, c.pos, c.l), ' ' ORDER BY c.pos), '')) AS tokens_hash
+FROM runs r LEFT JOIN cuts c ON c.item_id = r.item_id GROUP BY r.item_id"""
+
+
 def oracle() -> dict[str, str]:
     out: dict[str, str] = {}
     out["fingerprint"] = sql("SELECT slide_id, fingerprint FROM slides")
@@ -756,6 +784,32 @@ FROM slides s LEFT JOIN versions v USING (version_id) LEFT JOIN presentations p
 FROM slides s LEFT JOIN table_texts t USING (slide_id) LEFT JOIN (SELECT slide_id, count(*) AS n FROM elements GROUP BY slide_id) e USING (slide_id)
 WHERE s.slide_id >= 0 OR s.slide_id % 2 <> 0"""
     )
+    out["index_build"] = sql(
+        f"""SELECT version_id, count(*) AS n_docs, sum(n) AS n_tokens, sum(n_distinct) AS n_postings
+FROM (SELECT version_id, len(w) AS n, len(list_distinct(w)) AS n_distinct
+  FROM (SELECT s.version_id, regexp_extract_all(lower(i.index_text), '{PAT}') AS w FROM indexed i JOIN scoped s USING (slide_id))) GROUP BY version_id""",
+        scope(None, True), INDEX,
+    )
+    out["element_index_build"] = sql(
+        f"""SELECT version_id, count(*) AS n_docs, sum(len(w)) AS n_tokens, nullif(sum(len(list_distinct(w))), 0) AS n_postings
+FROM (SELECT e.version_id, regexp_extract_all(lower(coalesce(e.txt, '')), '{PAT}') AS w FROM elements e JOIN scoped s USING (slide_id)) GROUP BY version_id""",
+        scope(None, True),
+    )
+    out["segmented_words"] = SEGMENTED
+    out["stream_search"] = sql(
+        "SELECT query_id, slide_id, score, rank FROM stream_list",
+        scope(),
+        """
+stream_docs AS (
+  SELECT s.slide_id, concat_ws(chr(10), nullif(s.title, ''), nullif(CASE WHEN s.version_id % 3 = 0 THEN s.title ELSE s.native_text END, ''),
+    nullif(CASE WHEN s.version_id % 3 = 0 THEN f.txt ELSE t.txt END, '')) AS txt
+  FROM scoped s LEFT JOIN table_texts t USING (slide_id)
+    LEFT JOIN (SELECT slide_id, string_agg(cell, ' ' ORDER BY k) AS txt FROM cells WHERE cell <> '' AND n = 1 GROUP BY slide_id) f USING (slide_id)
+  WHERE NOT (s.version_id % 3 = 0 AND s.slide_id % 7 = 3))""",
+        WORDS,
+        bm25("stream", "stream_docs", "slide_id"),
+        ranked("stream_list", "stream_hits", "score DESC"),
+    )
     out["stream_dedup"] = "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM benchmark)"
     out["stream_job_state"] = sql(
         """SELECT target_type, target_id, job_id AS seq, status, progress

@@ -37,6 +37,8 @@ def stream_slides(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
     indexes (``page_search``, ``element_search``), without one pages replace each other one by one and nothing is indexed.
     """
 
+    spark = stream.sparkSession  # a batch's own session plans without adaptive execution
+
     def land(batch: DataFrame, batch_id: int) -> None:
         pages = token_index(index_text(batch)).withColumn("fingerprint", fingerprint(F.col("native_text")))
         append_batch(pages.drop("content", "index_text"), f"{target}/slides", batch_id)
@@ -46,7 +48,7 @@ def stream_slides(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
             elements = elements.join(batch.select("slide_id", *runs), "slide_id")
         append_batch(elements, f"{target}/elements", batch_id)
         if runs and not batch.isEmpty():
-            landed = lambda name: batch.sparkSession.read.parquet(f"{target}/{name}").filter(F.col("batch_id") == batch_id)
+            landed = lambda name: spark.read.parquet(f"{target}/{name}").filter(F.col("batch_id") == batch_id)
             # pages last: a batch's versions belong to its run once all of it can be found
             search_index.append_segment(landed("elements"), f"{target}/index/elements", ELEMENT_KEYS, batch_id, landed("slides"))
             search_index.append_segment(landed("slides"), f"{target}/index/pages", PAGE_KEYS, batch_id)

@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from pagelake.operators import packages
+from pagelake.operators import packages, recall, search_index
 from pagelake.plans.views import package_bytes
 from pagelake.sources import files, tables
 from pagelake.sources import packages as source
@@ -139,11 +139,42 @@ def test_streamed_pages_replace_earlier_ones(spark, table, tmp_path):
 
     arrive([page(1, "old words", ["a", "b"]), page(2, "stay", ["c"])])
     arrive([page(1, "new", [])])
-    got = {r.slide_id: r.native_text for r in ingest.read_slides(spark, target, "slide_id").collect()}
+    got = {r.slide_id: r.native_text for r in ingest.read_slides(spark, target).collect()}
     assert got == {1: "new", 2: "stay"}
-    assert {(r.slide_id, r.text) for r in ingest.read_elements(spark, target, "slide_id").collect()} == {(2, "c")}
-    assert {r.slide_id: r.native_text for r in ingest.read_slides(spark, target).collect()} == {1: "new"}  # the version's last batch
-    assert ingest.read_elements(spark, target).count() == 0
+    assert {(r.slide_id, r.text) for r in ingest.read_elements(spark, target).collect()} == {(2, "c")}
+
+
+def test_a_run_over_two_batches_replaces_the_former_run(spark, table, tmp_path):
+    source_dir, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    page = lambda n, body, run, version=1: (n, version, n, "t", body, None, None, "deck", ([("textbox", body)], [], []), run)
+
+    def arrive(rows):
+        table(rows, RAW + ", run_id string").coalesce(1).write.mode("append").parquet(source_dir)
+        ingest.stream_slides(spark.readStream.schema(RAW + ", run_id string").parquet(source_dir), target, state)
+
+    def found(word):
+        asked = table([(1, word)], "query_id bigint, query string")
+        scope = table([(1,), (2,)], "version_id int")
+        pages = recall.text_recall(asked, ingest.page_search(spark, target), scope)
+        elements = recall.element_text_recall(asked, ingest.element_search(spark, target), scope)
+        assert {r.slide_id for r in pages.collect()} == {r.slide_id for r in elements.collect()}
+        return {r.slide_id: r.score for r in pages.collect()}
+
+    arrive([page(1, "red apple", "a"), page(2, "red pear", "a"), page(9, "red", "x", 2)])
+    arrive([page(3, "red plum", "a")])
+    assert set(found("red")) == {1, 2, 3, 9}  # one run, two batches
+    arrive([page(1, "blue apple", "b"), page(4, "blue", "b")])
+    assert set(found("red")) == {9} and set(found("blue")) == {1, 4}
+    before = {w: found(w) for w in ("red", "blue")}
+    ingest.compact_indexes(spark, target)
+    assert {w: found(w) for w in before} == before
+    arrive([page(5, "blue sky", "b")])  # the compacted run goes on
+    assert set(found("blue")) == {1, 4, 5}
+    assert {r.slide_id for r in ingest.read_slides(spark, target).collect()} == {1, 4, 5, 9}
+    assert {r.slide_id for r in ingest.read_elements(spark, target).collect()} == {1, 4, 5, 9}
+    search_index.drop_versions(table([(1,)], "version_id int"), f"{target}/index/pages", 50)
+    search_index.drop_versions(table([(1,)], "version_id int"), f"{target}/index/elements", 50)
+    assert set(found("red")) == {9} and not found("blue")
 
 
 def test_streamed_job_state_does_not_regress(spark, table, tmp_path):
@@ -204,3 +235,14 @@ def test_damaged_packages_become_failed_rows(spark, table):
     assert {(r.file_id, r.page_no, r.native_text, r.parse_status) for r in got} == {(1, 1, "Größe", "success"), (1, 2, "", "failed"), (2, None, None, "failed")}
     place = next(r for r in got if r.page_no == 1).content.pictures[0].position
     assert (place.x, place.y) == (10, None)
+
+
+def test_files_that_list_no_page_fail(table):
+    other = io.BytesIO()
+    with zipfile.ZipFile(other, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", "<a/>")
+    empty = io.BytesIO()
+    zipfile.ZipFile(empty, "w").close()
+    rows = [(1, bytearray(package_bytes(TEXT, 1))), (2, bytearray(other.getvalue())), (3, bytearray(empty.getvalue())), (4, bytearray(b"PK")), (5, None)]
+    got = source.parse_packages(table(rows, "file_id bigint, content binary")).select("file_id", "page_no", "parse_status").collect()
+    assert {tuple(r) for r in got} == {(1, 1, "success"), (1, 2, "success"), (2, None, "failed"), (3, None, "failed"), (4, None, "failed"), (5, None, "failed")}

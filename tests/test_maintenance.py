@@ -139,3 +139,37 @@ def test_a_long_relationship_chain_is_followed(table):
     rels = table([(1, f"p/{i}.xml", f"{(i + 1) % n}.xml", "Internal") for i in range(n)], "file_id bigint, part string, target string, target_mode string")
     got = packages.part_closure(table([(1, "p/0.xml")], "file_id bigint, part string"), rels, parts)
     assert got.count() == n
+
+
+def test_patches_of_different_columns_add_up(table):
+    pages = table([(1, "old", "a"), (2, "old", "b")], "slide_id bigint, title string, user_note string")
+    changes = table(
+        [(1, "new", None, None, 1), (1, None, "noted", None, 2), (1, "newer", None, None, 3), (1, None, None, ["user_note"], 4), (2, None, "c", None, 1), (2, None, None, ["title"], 0)],
+        "slide_id bigint, title string, user_note string, set_null array<string>, at int",
+    )
+    got = {r.slide_id: (r.title, r.user_note) for r in library.patch(pages, changes, "slide_id", ["title", "user_note"]).collect()}
+    assert got == {1: ("newer", None), 2: (None, "c")}
+
+
+def test_last_tagging_run_counts(table):
+    analysis = "struct<summary:string,topics:array<string>,page_purpose:array<string>,content_types:array<string>,visual_styles:array<string>,use_cases:array<string>,confidence:double>"
+    run = lambda at, topic, status="success": (1, ("s", [topic], [], [], [], [], 0.5), status, at)
+    analyses = table([run(1, "first"), run(2, "second"), run(3, "third", "failed")], f"slide_id bigint, analysis {analysis}, status string, at int")
+    tags = table([], "tag_id string, name string, category string, source string, status string")
+    none = table([], "slide_id bigint, tag_id string, origin string, confidence double, is_confirmed boolean")
+    _, merged = enrich.merge_ai_tags(analyses, tags, none)
+    assert [r.tag_id for r in merged.collect()] == ["tag-second"]
+
+
+def test_texts_without_a_vector_fail_and_are_tried_again(table):
+    pages = table([(1, "good"), (2, "bad"), (3, " ")], "slide_id bigint, index_text string")
+    none = table([], "slide_id bigint, model string, source_hash string, status string, embedding array<float>")
+
+    def embed(texts):
+        import pandas as pd
+
+        return pd.Series([[1.0] if t == "good" else None for t in texts], dtype=object)
+
+    made = enrich.build_embeddings(pages, none, "m", embed)
+    assert {r.slide_id: r.status for r in made.collect()} == {1: "success", 2: "failed", 3: "EMPTY_TEXT"}
+    assert {r.slide_id for r in enrich.embedding_work(pages, made, "m").collect()} == {2, 3}
