@@ -54,7 +54,7 @@ def _cache(path: str) -> ChunkCache:
             found = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-        _CACHES[path] = ChunkCache(make, 500_000)
+        _CACHES[path] = ChunkCache(make, 250_000)
     return _CACHES[path]
 
 
