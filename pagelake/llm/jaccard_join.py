@@ -257,9 +257,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     tally = led.groupBy("doc_id", F.col("lead.doc_id").alias("lead")).agg(F.count(F.lit(1)).alias("common"))
     best = tally.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("common"), "lead"))).filter(F.col("rank") <= LEADERS)
     first = stored(best.select(F.least("doc_id", "lead").alias("a"), F.greatest("doc_id", "lead").alias("b")).distinct(), "first-pairs")
+    release(docs.sparkSession)
     edges = _verified(first, texts, spreads, percent)
 
     comp = components(edges)
+    release(docs.sparkSession)
     marked = stored(
         meetings.join(comp, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("comp")),
         "marked-meetings",
@@ -280,7 +282,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     rest = stored(
         rest.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "later-pairs"
     )
-    discard(marked, free=False)
+    discard(marked)
     comp = components(edges.unionByName(_verified(rest, texts, spreads, percent)))
     named = equal.join(comp, "node", "left").select("n", "s1", "s2", F.coalesce("component", "node").alias("component_id"))
     return facts.join(named, ["n", "s1", "s2"], "left").select(
