@@ -111,6 +111,35 @@ def test_toxicity_odd_rows(table):
     assert toxicity_knn.score_documents(docs.limit(0), index).count() == 0
 
 
+def filled(markup):
+    """A template's shortest text: optional regions left out, a word or as many as must be for replaceable ones."""
+    markup = re.sub(r"<<var;[^>]*match=\.\{(\d+),\d+\}>>", lambda m: "someone " * int(m[1]), markup)
+    markup = re.sub(r"<<var;[^>]*match=([^|>]*)[^>]*>>", r"\1", markup)
+    while "<<beginOptional>>" in markup:
+        markup = re.sub(r"<<beginOptional>>((?!<<beginOptional>>).)*?<<endOptional>>", " ", markup, flags=re.S)
+    return markup
+
+
+def test_licences_are_read_to_their_end(table):
+    parts = {"mit": "mit-grant", "isc": "isc-grant", "bsd": "bsd-conditions", "zlib": "zlib-disclaimer"}
+    texts, expected = [], []
+    for whole, part in parts.items():
+        own = filled(TEMPLATES[whole]).split()
+        start = len(filled(TEMPLATES[part]).split())
+        texts.append("Copyright 2020. " + " ".join(own) + " The end")
+        expected.append({whole, part})
+        texts.append(" ".join(own[:start]))
+        expected.append({part})
+        for at in (start + 1, (start + len(own)) // 2, len(own) - 1):  # one mandatory word behind the first part is another one
+            texts.append(" ".join([*own[:at], "banana", *own[at + 1 :]]))
+            expected.append({part})
+        texts.append(" ".join(own[:start]) + " THE AUTHOR ACCEPTS ALL LIABILITY")
+        expected.append({part})
+    rows = license_scan.scan_documents(table(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    for r in rows:
+        assert set(r["labels"].split(",")) == expected[r["doc_id"]], texts[r["doc_id"]][:80]
+
+
 def test_licence_base_equals_brute_force(table):
     texts = [None, "", "CC-BY cc by", "xcc by", "general, Public\nLICENSE all rights  reserved", "é cc by"] + noisy(9)
     rnd = random.Random(1)
