@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagelake import constants as c
-from pagelake.operators import fusion, quality, recall
+from pagelake.operators import block_join, fusion, quality, recall
 from pagelake.operators.enrich import hashed_bag, merge_ai_tags, merge_embeddings, merge_ocr_text, normalize_analyses, build_embeddings
 from pagelake.operators.indexing import clustered_postings, index_totals, token_index
 
@@ -60,8 +61,7 @@ def test_postings_score_as_tokens(table):
 
 
 def test_nearest_pages_equal_brute_force_in_small_tiles(table, monkeypatch):
-    monkeypatch.setattr(recall, "SHIPPED_BYTES", 200)
-    monkeypatch.setattr(recall, "QUERY_TILE", 4)
+    monkeypatch.setattr(block_join, "STRIP", 4)
     monkeypatch.setattr(recall, "ITEM_TILE", 30)
     rows = [(i % 23, [float((i * 7) % 11) - 5, float((i * 3) % 5) - 2, 1.0]) for i in range(200)] + [(99, [0.0, 0.0, 0.0])]
     asked_rows = [(i, [1.0, float(i), -1.0]) for i in range(19)]
@@ -74,15 +74,13 @@ def test_nearest_pages_equal_brute_force_in_small_tiles(table, monkeypatch):
             best[page] = min(best.get(page, 9.0), round(1 - float(unit(v) @ unit(e)), 6) + 0.0)
         expected |= {(q, page, d) for d, page in sorted((d, p) for p, d in best.items())[:5]}
     assert {(r.query_id, r.slide_id, r.distance) for r in got} == expected
+    side = lambda x: pa.table({"id": pa.array([i for i, _ in x], pa.int64()), "embedding": pa.array([v for _, v in x], pa.list_(pa.float64()))})
+    tiled = recall._nearest(recall._Items(side(rows)), side(asked_rows), 5).to_pylist()
+    assert {(r["query_id"], r["slide_id"], r["distance"]) for r in tiled} == expected
 
 
-def test_many_queries_stay_within_the_stated_bound():
-    """A tile of distances is 16 MB; a task keeps k rows per shipped query beside the vectors."""
-    assert recall.QUERY_TILE * recall.ITEM_TILE * 8 <= 16 << 20
-    best = recall._Best(np.eye(5000, 8)[:, :8] + 0.1, 10)
-    for i in range(3):
-        best.add(np.eye(8) + i, np.arange(8) + 8 * i)
-    assert best.distance.shape == best.page.shape == (5000, 10)
+def test_a_tile_of_distances_stays_within_its_bound():
+    assert block_join.STRIP * recall.ITEM_TILE * 8 <= 16 << 20
 
 
 def test_postfilter_keeps_rank_gaps(table):
