@@ -38,6 +38,8 @@ DOCS = 512
 FIRST = 4
 # Words of a batch that reach the scan by name; batches of more words are read by bucket.
 NAMED = 1000
+# Segment numbers of a stream's batch: its own, and room for compactions and tombstones before the next one.
+STEP = 1024
 # Scores are compared rounded, bounds are not.
 SLACK = 1e-5
 
@@ -60,7 +62,7 @@ def _blocks(docs: DataFrame, keys: tuple[str, ...], segment: int) -> DataFrame:
     classed = docs.withColumn("_class", length)
     sizes = classed.groupBy("_class").agg(F.ceil(F.count(F.lit(1)) / F.lit(DOCS)).alias("_parts"))
     part = F.pmod(F.xxhash64(*keys), F.col("_parts"))
-    return classed.join(sizes, "_class").withColumn("block", F.lit(segment << 40) + F.col("_class") * F.lit(1 << 32) + part).drop("_class", "_parts")
+    return classed.join(sizes, "_class").withColumn("block", F.lit(segment << 31) + F.col("_class") * F.lit(1 << 24) + part).drop("_class", "_parts")
 
 
 def _append(df: DataFrame, path: str, parts: list[str]) -> None:
@@ -106,8 +108,14 @@ def append_segment(docs: DataFrame, path: str, keys: Iterable[str], segment: int
     discard(docs, free=False)
 
 
-def drop_versions(versions: DataFrame, path: str, segment: int) -> None:
+def next_segment(spark: SparkSession, path: str) -> int:
+    """The number behind the last segment's."""
+    return spark.read.parquet(f"{path}/versions").agg(F.max("segment")).first()[0] + 1
+
+
+def drop_versions(versions: DataFrame, path: str) -> None:
     """Takes versions out of the index: tombstones, runs without a document."""
+    segment = next_segment(versions.sparkSession, path)
     listed = versions.select("version_id", F.lit(f"dropped {segment}").alias("run_id"), F.lit(False).alias("compacted"), F.lit(segment).cast("bigint").alias("segment"))
     _append(listed.distinct().coalesce(1), f"{path}/versions", ["segment"])
 
@@ -140,7 +148,7 @@ def compact(spark: SparkSession, path: str, keys: Iterable[str]) -> int:
     """
     keys = tuple(keys)
     segments = [r[0] for r in spark.read.parquet(f"{path}/versions").select("segment").distinct().collect()]
-    segment = max(segments) + 1
+    segment = next_segment(spark, path)
     live = live_versions(spark, path)
     alive = lambda name: spark.read.parquet(f"{path}/{name}").join(live, ["version_id", "run_id"]).filter(F.col("segment") >= F.col("since"))
     postings = alive("postings").select("bucket", "token", *keys, "version_id", "run_id", "n_tokens", "tf")

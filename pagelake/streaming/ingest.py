@@ -50,8 +50,8 @@ def stream_slides(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
         if runs and not batch.isEmpty():
             landed = lambda name: spark.read.parquet(f"{target}/{name}").filter(F.col("batch_id") == batch_id)
             # pages last: a batch's versions belong to its run once all of it can be found
-            search_index.append_segment(landed("elements"), f"{target}/index/elements", ELEMENT_KEYS, batch_id, landed("slides"))
-            search_index.append_segment(landed("slides"), f"{target}/index/pages", PAGE_KEYS, batch_id)
+            search_index.append_segment(landed("elements"), f"{target}/index/elements", ELEMENT_KEYS, batch_id * search_index.STEP, landed("slides"))
+            search_index.append_segment(landed("slides"), f"{target}/index/pages", PAGE_KEYS, batch_id * search_index.STEP)
 
     return run_available(stream, land, checkpoint)
 

@@ -172,8 +172,8 @@ def test_a_run_over_two_batches_replaces_the_former_run(spark, table, tmp_path):
     assert set(found("blue")) == {1, 4, 5}
     assert {r.slide_id for r in ingest.read_slides(spark, target).collect()} == {1, 4, 5, 9}
     assert {r.slide_id for r in ingest.read_elements(spark, target).collect()} == {1, 4, 5, 9}
-    search_index.drop_versions(table([(1,)], "version_id int"), f"{target}/index/pages", 50)
-    search_index.drop_versions(table([(1,)], "version_id int"), f"{target}/index/elements", 50)
+    search_index.drop_versions(table([(1,)], "version_id int"), f"{target}/index/pages")
+    search_index.drop_versions(table([(1,)], "version_id int"), f"{target}/index/elements")
     assert set(found("red")) == {9} and not found("blue")
 
 
