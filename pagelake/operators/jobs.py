@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.scalar import duration_ms, duration_text, idempotency_key
+from pagelake.session import stored
 
 LIST_LIMIT = 100
 
@@ -25,17 +26,20 @@ def list_jobs(jobs: DataFrame, *, target_id=None, job_type: str | None = None, s
 def with_targets(jobs: DataFrame, versions: DataFrame, slides: DataFrame, presentations: DataFrame) -> DataFrame:
     """Adds target_name, target_parent_id, target_parent_name and target_page_no.
 
-    A version is named by its file, a page by its title; both by the file they belong to.
+    A version is named by its file, a page by its title; both by the file they belong to. Only targets of the jobs are
+    named: their ids are written first, so that Spark knows their size and leaves pages where they lie when it is small.
     """
+    wanted = stored(jobs.select("target_type", F.col("target_id").cast("bigint").alias("target_id")).distinct(), "job-targets")
+    asked = lambda kind, column: wanted.filter(F.col("target_type") == kind).select(F.col("target_id").alias(column))
     files = presentations.select("presentation_id", F.col("title").alias("p_title"))
     known_versions = versions.select("version_id", "presentation_id", F.nullif("original_filename", F.lit("")).alias("v_name"))
-    by_version = known_versions.join(files, "presentation_id", "left").select(
+    by_version = known_versions.join(asked("version", "version_id"), "version_id", "left_semi").join(files, "presentation_id", "left").select(
         F.lit("version").alias("target_type"), F.col("version_id").cast("bigint").alias("target_id"), F.col("v_name").alias("target_name"),
         F.col("presentation_id").alias("target_parent_id"), F.col("p_title").alias("target_parent_name"),
         F.lit(None).cast("bigint").alias("target_page_no"),
     )
     by_slide = (
-        slides.select("slide_id", "version_id", "page_no", "title")
+        slides.select("slide_id", "version_id", "page_no", "title").join(asked("slide", "slide_id"), "slide_id", "left_semi")
         .join(known_versions, "version_id", "left").join(files, "presentation_id", "left")
         .select(
             F.lit("slide").alias("target_type"), F.col("slide_id").alias("target_id"), F.nullif("title", F.lit("")).alias("target_name"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.constants import IN_PROGRESS
 from pagelake.functions.scalar import owner_label, status_group
 from pagelake.operators.changes import change_order, one_per_key
-from pagelake.operators.scope import live, modifiable_by, scoped_slides, trashed, visible_to
+from pagelake.operators.ranks import BLOCK, in_ranges, running_total
+from pagelake.operators.scope import live, modifiable_by, scoped_slides, scoped_versions, trashed, visible_to
+from pagelake.session import stored
 
 # --- lists ----------------------------------------------------------------------------------
 
@@ -70,12 +74,43 @@ def library_list(
     return df.orderBy(order, "presentation_id")
 
 
-def browse_pages(slides, presentations, versions, *, user_id=None, superuser=False, page: int = 1, page_size: int = 48) -> DataFrame:
-    """One screen of all current pages: newest file first, then page number."""
+class PageDirectory(NamedTuple):
+    """Pages in ranges of (version, page number), and how many pages of each version lie in each range."""
+
+    pages: DataFrame
+    counts: DataFrame
+
+
+def page_directory(slides: DataFrame, width: int = BLOCK) -> PageDirectory:
+    """Kept beside the pages; serves every scope, as it is sorted by version."""
+    pages = in_ranges(slides, ["version_id", "page_no", "slide_id"], "page_range", width)
+    counts = pages.groupBy("version_id", "page_range").agg(F.count(F.lit(1)).alias("n_pages"))
+    return PageDirectory(pages, stored(counts, "page-counts"))
+
+
+def browse_pages(directory: PageDirectory, presentations, versions, *, user_id=None, superuser=False, page: int = 1, page_size: int = 48) -> DataFrame:
+    """One screen of all current pages: newest file first, then page number.
+
+    Counts of the ranges give the place of each range in the caller's scope; only the ranges that the screen
+    meets are read, however deep it lies. These are no more than the pages of a screen.
+    """
     dated = presentations.select(F.col("presentation_id"), F.col("created_at").alias("presentation_created_at"))
-    df = scoped_slides(slides, presentations, versions, user_id, superuser).join(dated, "presentation_id")
-    ordered = df.orderBy(F.col("presentation_created_at").desc(), "presentation_id", "page_no", "slide_id")
-    return ordered.offset((page - 1) * page_size).limit(page_size)
+    scope = scoped_versions(presentations, versions, user_id, superuser).join(dated, "presentation_id")
+    order = [F.col("presentation_created_at").desc(), F.col("presentation_id"), F.col("page_range")]
+    places = running_total(scope.join(directory.counts, "version_id"), [], order, F.col("n_pages"), "last")
+    first, last = (page - 1) * page_size, page * page_size
+    met = stored(places.withColumn("before", F.col("last") - F.col("n_pages")).filter((F.col("before") < last) & (F.col("last") > first)), "met-ranges")
+    ranges = [r["page_range"] for r in met.select("page_range").distinct().collect()]
+    of_range = Window.partitionBy("presentation_id", "page_range").orderBy("page_no", "slide_id")
+    shown = directory.pages.filter(F.col("page_range").isin(ranges)).join(met.drop("n_pages", "last"), ["version_id", "page_range"])
+    placed = shown.withColumn("position", F.col("before") + F.row_number().over(of_range))
+    return placed.filter((F.col("position") > first) & (F.col("position") <= last)).drop("before", "page_range").orderBy("position")
+
+
+def scoped_page_count(directory: PageDirectory, presentations, versions, *, user_id=None, superuser=False) -> int:
+    """How many pages the caller can browse, from the directory's counts."""
+    counted = scoped_versions(presentations, versions, user_id, superuser).join(directory.counts, "version_id")
+    return counted.agg(F.sum("n_pages")).first()[0] or 0
 
 
 def versions_nested(presentations: DataFrame, versions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.constants import STRUCTURAL_PREFIXES
 from pagelake.functions.scalar import rels_part, resolved_part
-from pagelake.session import cut
+from pagelake.session import cut, scratch_path
 
 
 def is_structural(part: Column) -> Column:
@@ -31,16 +31,24 @@ def part_closure(roots: DataFrame, relationships: DataFrame, parts: DataFrame) -
 
     A frontier join per relationship step; parts already reached are left out, so cycles end and
     the last frontier is empty. Rounds follow the depth of the relationship graph, not its size.
+    Each round writes its frontier only, all rounds below one folder that is read as a whole.
     """
+    spark = roots.sparkSession
     edges = cut(part_edges(relationships, parts))
-    reached = cut(roots.select("file_id", F.col("part").alias("root"), "part"))
-    frontier = reached
-    while True:
+    base, rounds = scratch_path(spark, "closure"), []
+
+    def written(rows: DataFrame) -> DataFrame:
+        rounds.append(f"{base}/round={len(rounds)}")
+        rows.write.parquet(rounds[-1])
+        return spark.read.schema(rows.schema).parquet(rounds[-1])
+
+    first = roots.select("file_id", F.col("part").alias("root"), "part").distinct()
+    frontier = written(first)
+    while not frontier.isEmpty():
         step = frontier.join(edges, ["file_id", "part"]).select("file_id", "root", F.col("next").alias("part")).distinct()
-        frontier = cut(step.join(reached, ["file_id", "root", "part"], "left_anti"))
-        if frontier.isEmpty():
-            return reached
-        reached = cut(reached.unionByName(frontier))
+        reached = spark.read.schema(first.schema).parquet(*rounds)
+        frontier = written(step.join(reached, ["file_id", "root", "part"], "left_anti"))
+    return spark.read.schema(first.schema).parquet(*rounds)
 
 
 def kept_parts(roots: DataFrame, relationships: DataFrame, parts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.constants import NEAR_DISTANCE, SUGGEST_JACCARD
 from pagelake.operators.hamming import near_pairs
-from pagelake.operators.ranks import blocked_rank
+from pagelake.operators.ranks import blocked_rank, ranged_rank
 from pagelake.operators.scope import live
 from pagelake.session import cut
 
@@ -309,7 +309,7 @@ def assign_versions(files: DataFrame, versions: DataFrame, presentations: DataFr
     bad = child.join(parents, "parent_presentation_id", "left_anti")
     highest = versions.groupBy(F.col("presentation_id").alias("parent_presentation_id")).agg(F.max("version_no").alias("last_no"))
     counts = good.groupBy("parent_presentation_id").agg(F.count(F.lit(1)).alias("n_files"))
-    ranked = blocked_rank(good, ["parent_presentation_id"], "file_id", "nth")
+    ranked = ranged_rank(good, ["parent_presentation_id"], ["file_id"], "nth")
     numbered = (
         ranked.join(highest, "parent_presentation_id", "left").join(counts, "parent_presentation_id")
         .withColumn("version_no", F.coalesce("last_no", F.lit(0)) + F.col("nth"))

@@ -17,7 +17,7 @@ from pagelake.operators import dedup, enrich, fusion, indexing, jobs, library, p
 from pagelake.operators.scope import any_tag, favorites_of, scoped_slides, text_bearing
 from pagelake.plans.views import MOVED, Views
 from pagelake.session import scratch_path, stored
-from pagelake.sources import bulk, files, tables
+from pagelake.sources import bulk, files, snapshots, tables
 from pagelake.sources import packages as source_packages
 from pagelake.sources.tables import replace_by_key
 from pagelake.streaming import ingest
@@ -163,12 +163,18 @@ def library_list(v):
 
 @query
 def browse_pages(v):
-    shown = library.browse_pages(
-        v.slides.select("slide_id", "version_id", "page_no"), v.presentations, v.versions, user_id=USER, page=2, page_size=48
-    )
+    shown = library.browse_pages(v.directory, v.presentations, v.versions, user_id=USER, page=2, page_size=48)
     return shown.select("slide_id", "presentation_id", "page_no")
 
 
+@query
+def browse_pages_deep(v):
+    """A screen a third of the way into the caller's pages; the counts tell which it is."""
+    shown = library.scoped_page_count(v.directory, v.presentations, v.versions, user_id=USER)
+    deep = library.browse_pages(v.directory, v.presentations, v.versions, user_id=USER, page=shown // 3 // 48 + 1, page_size=48)
+    return deep.select("position", "slide_id", "presentation_id", "page_no")
+
+
 @query
 def presentation_versions_nested(v):
     nested = library.versions_nested(v.presentations, v.versions)
@@ -521,6 +527,18 @@ def replace_pages(v):
     return replace_by_key(pages, again, ["version_id"])
 
 
+@query
+def snapshot_merges(v):
+    """Two merges into a snapshot table: all pages, then a re-parse of some versions; read back as of both."""
+    pages = v.page_keys
+    again = pages.filter(F.col("version_id") % 3 == 0).withColumn("fingerprint", F.sha2("fingerprint", 256))
+    path = scratch_path(v.spark, "snapshots")
+    for rows in (pages, again):
+        snapshots.merge_snapshot(rows, path, "version_id")
+    first, last = (snapshots.read_snapshot(v.spark, path, n).withColumn("snapshot", F.lit(n)) for n in snapshots.snapshots(v.spark, path))
+    return first.unionByName(last).select("snapshot", "slide_id", "version_id", "page_no", "fingerprint")
+
+
 @query
 def bulk_generate(v):
     pool = v.documents.select(F.col("doc_id").alias("slide_id"), "lang", "n_chars")

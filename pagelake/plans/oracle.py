@@ -485,6 +485,10 @@ WHERE NOT p.deleted AND (p.visibility = 'team' OR p.owner_id = 0)"""
     out["browse_pages"] = sql(
         "SELECT slide_id, presentation_id, page_no FROM scoped ORDER BY presentation_id % 5 DESC, presentation_id, page_no, slide_id LIMIT 48 OFFSET 48", scope()
     )
+    out["browse_pages_deep"] = sql(
+        "SELECT position, slide_id, presentation_id, page_no FROM (SELECT *, row_number() OVER (ORDER BY presentation_id % 5 DESC, presentation_id, page_no, slide_id) AS position, "
+        "count(*) OVER () // 3 // 48 AS screen FROM scoped) WHERE position > screen * 48 AND position <= screen * 48 + 48", scope()
+    )
     out["presentation_versions_nested"] = sql(
         "SELECT presentation_id, string_agg(version_no || ':' || version_id || ':' || status, ',' ORDER BY version_no) AS versions FROM versions GROUP BY presentation_id"
     )
@@ -623,6 +627,10 @@ FROM (SELECT file_id, page_no, true AS has_one FROM pack_pages)""",
     out["replace_pages"] = sql(
         "SELECT slide_id, version_id, page_no, CASE WHEN version_id % 3 = 0 THEN sha256(fingerprint) ELSE fingerprint END AS fingerprint FROM slides"
     )
+    out["snapshot_merges"] = sql(
+        "SELECT 1 AS snapshot, slide_id, version_id, page_no, fingerprint FROM slides UNION ALL "
+        "SELECT 2, slide_id, version_id, page_no, CASE WHEN version_id % 3 = 0 THEN sha256(fingerprint) ELSE fingerprint END FROM slides"
+    )
     out["bulk_generate"] = """
 WITH pool AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS nth, count(*) OVER () AS size FROM documents)
 SELECT nth + k * size AS slide_id, doc_id AS source_slide_id, nth + k * size AS page_no, lang FROM pool CROSS JOIN (SELECT unnest(range(0, 3)) AS k)"""

@@ -20,6 +20,7 @@ from pagelake.operators import search_index
 from pagelake.operators.dedup import signature64
 from pagelake.operators.fusion import Corpus
 from pagelake.operators.indexing import ai_tag_text, extract_elements, index_text, token_index
+from pagelake.operators.library import PageDirectory, page_directory
 from pagelake.operators.scope import scoped_slides, scoped_versions
 from pagelake.operators.search_index import SearchIndex
 from pagelake.session import scratch_path, stored
@@ -116,6 +117,11 @@ class Views:
         """Stored key columns of all pages, as an ingest leaves them."""
         return stored(self.slides.select("slide_id", "version_id", "page_no", "fingerprint"), "page-keys")
 
+    @cached_property
+    def directory(self) -> PageDirectory:
+        """The page directory as an ingest leaves it."""
+        return page_directory(self.slides.select("slide_id", "version_id", "page_no"))
+
     @cached_property
     def signed_slides(self) -> DataFrame:
         """Stored key columns and signatures of all pages."""

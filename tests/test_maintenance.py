@@ -1,8 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import enrich, jobs, library, packages, quality
-from pagelake.operators.ranks import blocked_rank
+from pagelake.operators.ranks import blocked_rank, in_ranges, ranged_rank, running_total
 from pagelake.operators.versions import file_dedup
+from pagelake.sources import snapshots
 
 
 def pres(table):
@@ -173,3 +175,68 @@ def test_texts_without_a_vector_fail_and_are_tried_again(table):
     made = enrich.build_embeddings(pages, none, "m", embed)
     assert {r.slide_id: r.status for r in made.collect()} == {1: "success", 2: "failed", 3: "EMPTY_TEXT"}
     assert {r.slide_id for r in enrich.embedding_work(pages, made, "m").collect()} == {2, 3}
+
+
+def test_sparse_ids_share_sampled_ranges(table):
+    rows = [("k" if i % 3 else "j", i * 1_000_003) for i in range(2_000)]
+    sparse = table(rows, "k string, o bigint")
+    assert in_ranges(sparse, ["o"], width=100).select("range").distinct().count() <= 20
+    got = ranged_rank(sparse, ["k"], ["o"], width=100).collect()
+    for key in "kj":
+        own = sorted((r.o, r.rn) for r in got if r.k == key)
+        assert [rn for _, rn in own] == list(range(1, len(own) + 1))
+    summed = running_total(sparse, [], [F.col("o").desc()], F.lit(2), "total", width=64).collect()
+    assert [r.total for r in sorted(summed, key=lambda r: -r.o)] == [2 * (i + 1) for i in range(2_000)]
+    assert ranged_rank(sparse.limit(0), [], ["o"]).count() == 0
+
+
+def test_screens_of_a_directory_equal_slices_of_all_pages(table):
+    pages = [(1000 * v + p, v, p * 7) for v in range(1, 6) for p in range([1, 50, 3, 200, 17][v - 1])]
+    slides = table(pages, "slide_id bigint, version_id int, page_no bigint")
+    files = table(
+        [(i, f"f{i}", 0, "private", None if i == 3 else f"2024-01-0{i % 2 + 1}", i, None) for i in range(1, 6)],
+        "presentation_id int, title string, owner_id bigint, visibility string, c string, current_version_id int, d string",
+    )
+    files = files.withColumn("deleted_at", F.col("d").cast("timestamp")).withColumn("created_at", F.col("c").cast("timestamp")).drop("c", "d")
+    versions = table([(i, i) for i in range(1, 6)], "version_id int, presentation_id int")
+    directory = library.page_directory(slides, width=40)
+    assert library.scoped_page_count(directory, files, versions, user_id=0) == len(pages)
+    everything = sorted(pages, key=lambda r: (r[1] == 3, r[1] % 2 == 0, r[1], r[2]))  # odd days are later, no date comes last
+    for page, size in ((1, 10), (2, 48), (6, 48), (28, 10), (9, 48)):
+        got = [(r.position, r.slide_id) for r in library.browse_pages(directory, files, versions, user_id=0, page=page, page_size=size).collect()]
+        assert got == [(i + 1, r[0]) for i, r in enumerate(everything)][(page - 1) * size : page * size]
+
+
+def test_a_snapshot_is_seen_whole_or_not_at_all(spark, table, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "version_id int, t string"
+    state = lambda n=None: sorted((r.version_id, r.t) for r in snapshots.read_snapshot(spark, path, n).collect())
+    with pytest.raises(FileNotFoundError):
+        state()
+    assert snapshots.merge_snapshot(table([(1, "a"), (1, "b"), (2, "c"), (None, "n")], schema), path, "version_id", buckets=2) == 1
+    with monkeypatch.context() as broken:  # the write dies between its files and its manifest
+        broken.setattr(snapshots, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            snapshots.merge_snapshot(table([(1, "half")], schema), path, "version_id")
+    first = [(1, "a"), (1, "b"), (2, "c"), (None, "n")]
+    assert sorted(((r.version_id, r.t) for r in snapshots.read_snapshot(spark, path).collect()), key=str) == sorted(first, key=str)
+    before = snapshots.read_snapshot(spark, path)
+    assert snapshots.merge_snapshot(table([(1, "z", 5), (None, "m", 6), (7, "new", 7)], schema + ", extra int"), path, "version_id", start=1) == 2
+    with pytest.raises(snapshots.WriteConflict):
+        snapshots.merge_snapshot(table([(2, "late")], schema), path, "version_id", start=1)
+    rows = {(r.version_id, r.t, r.extra) for r in snapshots.read_snapshot(spark, path).collect()}
+    assert rows == {(1, "z", 5), (None, "m", 6), (7, "new", 7), (2, "c", None)}
+    assert before.count() == 4 and snapshots.read_snapshot(spark, path, 1).count() == 4
+    assert snapshots.merge_snapshot(table([], schema), path, "version_id") == 3 and snapshots.read_snapshot(spark, path).count() == 4
+    snapshots.expire(spark, path, keep=1)
+    assert snapshots.snapshots(spark, path) == [3] and snapshots.read_snapshot(spark, path).count() == 4
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, path, 1)
+
+
+def test_the_closure_writes_each_row_once(spark, table):
+    n = 25
+    parts = table([(1, f"p/{i}.xml") for i in range(n)], "file_id bigint, part string")
+    rels = table([(1, f"p/{i}.xml", f"{(i + s) % n}.xml", "Internal") for i in range(n) for s in (1, 1)], "file_id bigint, part string, target string, target_mode string")
+    got = packages.part_closure(table([(1, "p/0.xml"), (1, "p/20.xml"), (1, "p/20.xml")], "file_id bigint, part string"), rels, parts)
+    assert got.count() == got.distinct().count() == 2 * n
+    assert sum(spark.read.parquet(f).count() for f in got.inputFiles()) == 2 * n

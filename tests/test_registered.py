@@ -19,7 +19,7 @@ QUICK = (
     "fingerprint", "scoped_slides_user", "library_list", "extract_elements", "text_recall", "vector_recall_postfilter", "hybrid_filter_only",
     "duplicate_groups", "similar_slides", "suggest_versions", "match_versions_exact", "match_versions", "assign_versions", "parse_packages", "merge_ai_tags",
     "job_durations", "favorites_changed", "eval_recall_ndcg", "stream_job_state", "job_collapse", "job_latest", "hard_delete_cascade", "patch_slides",
-    "file_dedup", "stream_dedup", "merge_ocr",
+    "file_dedup", "stream_dedup", "merge_ocr", "browse_pages_deep", "snapshot_merges",
 )
 
 
