@@ -1,51 +1,51 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded sample of labelled documents (``EXAMPLES``); their vectors hold the words whose
-presence goes with the label (chi-square, at most ``VOCABULARY`` words), weighted by TF-IDF and of length
-one. The index keeps postings by word, cut into blocks of example numbers, and each block's largest
-weight. A text's blocks are visited by falling bound and left once none can reach the k-th
-best cosine, so the neighbours are exact. Votes weigh by closeness; a logistic map fitted on the
-examples themselves (each judged without itself) makes votes probabilities. Everything is
-bounded by the two parameters, so the index goes to all tasks as one value; documents are scored where they lie.
-
-Nulls and empty texts, and texts without a word of the vocabulary, get the share of toxic ones among such examples.
-Repeated texts get equal scores. Without labels every score is 0. Ties between
-neighbours go to the smaller doc_id. Columns of any name pass through ``keep_clean`` untouched.
+Examples are a bounded sample of labelled documents (``EXAMPLES`` rows, ``EXAMPLE_BYTES`` of text). Their vectors hold all
+their words, weighted by TF-IDF times the word's correlation with the label, of length one; words that do not go with
+label 1 keep the share ``FLOOR`` of their TF-IDF, since with plain weights a few insults in a page drown in its topic.
+The index keeps postings by word, cut into blocks of example numbers, and the largest weight of each word in each block it
+occurs in. A text's blocks are visited by falling bound and left once none can reach the k-th best cosine,
+so the neighbours are exact. Votes weigh by closeness; a logistic map fitted on examples (each judged without itself)
+makes votes probabilities. The index is bounded by the two parameters and goes to all tasks as one value;
+documents are scored where they lie, by all of their words that an example has.
+
+Nulls and empty texts, and texts without a word of any example, get the share of toxic ones among such examples.
+Repeated texts get equal scores; of several rows of a labelled doc_id the greatest text is the example. Texts over
+``LONGEST`` bytes are scored whole but are no examples. Without labels, or with labels of one kind only, every score is that kind's share. Ties
+between neighbours go to the smaller doc_id. Columns of any name pass through ``keep_clean`` untouched.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagelake.llm.words import FOLDED, NOT_ALNUM, Block, Spans, forget, hashes, text_blocks, words
+from pagelake.llm.words import FOLDED, NOT_ALNUM, Block, forget, hashes, text_blocks, words
 from pagelake.session import cut
 
-EXAMPLES = 10_000
-VOCABULARY = 1_000
-#: Fewest examples with a word, and the chi-square it needs (one chance in a hundred thousand).
-MIN_EXAMPLES = 5
-MIN_CHI2 = 19.5
+#: Labelled documents that serve as examples, bytes of their texts together, and of one of them.
+EXAMPLES = 5_000
+EXAMPLE_BYTES = 32 << 20
+LONGEST = 1 << 20
+#: Examples that the map from votes to probabilities is fitted on.
+CALIBRATION = 2_000
+#: Part of a word's TF-IDF that it keeps without any correlation with the label.
+FLOOR = 0.01
 NEIGHBOURS = 15
 BLOCK = 128
 FOLDS = 5
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def word_hash(texts: list[bytes]) -> np.ndarray:
-    """Hashes that the words have inside texts."""
-    ends = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    block = Block(0, data, ends)
-    return hashes(block, Spans(ends[:-1], ends[1:], np.arange(len(texts) + 1)), FOLDED)
+def _runs(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers lo..hi-1 of all pairs, one after the other."""
+    n = hi - lo
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 @dataclass
@@ -53,14 +53,16 @@ class Index:
     """Postings in block order and block maxima over unit vectors of the examples."""
 
     keys: np.ndarray  # sorted word hashes
-    idf: np.ndarray
+    idf: np.ndarray  # weight of each word
     labels: np.ndarray
     ids: np.ndarray
     empty_share: float
-    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # per word and block, into postings
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    top: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # per word and block
+    cells: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first cell of each word; a cell is a word in a block
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # first posting of each cell
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    top: np.ndarray = field(default_factory=lambda: np.zeros(0))
     slope: float = 1.0
     shift: float = 0.0
 
@@ -69,36 +71,49 @@ class Index:
         return w / np.sqrt((w * w).sum())
 
     def build(self, examples: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """examples: (terms, counts) in the order of ``ids``; those of the same words lie together."""
+        """examples: (terms, counts) in the order of ``ids``; the closer like ones lie, the tighter the bounds."""
         blocks = -(-max(len(examples), 1) // BLOCK)
         term = np.concatenate([t for t, _ in examples]) if examples else np.zeros(0, np.int64)
         own = np.repeat(np.arange(len(examples)), [len(t) for t, _ in examples])
         weight = np.concatenate([self.vector(t, c) for t, c in examples]) if examples else np.zeros(0)
         order = np.lexsort((own, term))
-        term, self.owner, self.weight = term[order], own[order], weight[order]
-        cell = term * blocks + self.owner // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(self.keys) * blocks + 1))
-        self.top = np.zeros(len(self.keys) * blocks)
-        np.maximum.at(self.top, cell, self.weight)
-        self.top = self.top.reshape(len(self.keys), blocks)
+        self.owner, self.weight = own[order], weight[order]
+        cell, first = np.unique(term[order] * blocks + self.owner // BLOCK, return_index=True)
+        self.start = np.append(first, len(order))
+        self.block = cell % blocks
+        self.cells = np.searchsorted(cell // blocks, np.arange(len(self.keys) + 1))
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
 
     def nearest(self, terms: np.ndarray, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above 0 and their cosines."""
-        blocks = self.top.shape[1]
-        bound = vector @ self.top[terms]
+        lo, hi = self.cells[terms], self.cells[terms + 1]
+        cells, q = _runs(lo, hi), np.repeat(vector, hi - lo)
+        own = self.block[cells]
+        bound = np.bincount(own, q * self.top[cells])
         order = np.argsort(-bound, kind="stable")
-        near, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(cosine) == k and bound[b] < cosine[-1] - 1e-12):
+        order = order[bound[order] > 0]
+        near, cosine, step = np.zeros(0, np.int64), np.zeros(0), 2
+        while len(order):
+            now = order[:step]
+            if len(cosine) == k:
+                now = now[bound[now] >= cosine[-1] - 1e-12]
+            if not len(now):
                 break
-            scores = np.zeros(BLOCK)
-            for t, q in zip(terms.tolist(), vector.tolist(), strict=True):
-                lo, hi = self.start[t * blocks + b], self.start[t * blocks + b + 1]
-                scores[self.owner[lo:hi] - b * BLOCK] += q * self.weight[lo:hi]
-            hit = np.flatnonzero(scores > 0)
-            near, cosine = np.concatenate([near, hit + b * BLOCK]), np.concatenate([cosine, np.round(scores[hit], 12)])
+            wanted = np.zeros(len(bound), dtype=bool)
+            wanted[now] = True
+            use = wanted[own]
+            first, last = self.start[cells[use]], self.start[cells[use] + 1]
+            at = _runs(first, last)
+            scores = np.bincount(self.owner[at], np.repeat(q[use], last - first) * self.weight[at])
+            scores = np.round(scores, 12)
+            if len(scores) > 4 * k:
+                hit = np.flatnonzero(scores >= max(np.partition(scores, -k)[-k], 1e-12))
+            else:
+                hit = np.flatnonzero(scores > 0)
+            near, cosine = np.concatenate([near, hit]), np.concatenate([cosine, scores[hit]])
             best = np.lexsort((self.ids[near], -cosine))[:k]
             near, cosine = near[best], cosine[best]
+            order, step = order[len(now) :], 2 * step
         return near, cosine
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -114,7 +129,9 @@ class Index:
     def calibrate(self, examples: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
         """Logistic map from votes to labels; each example votes without itself."""
         x, y = [], []
-        for i, (t, c) in enumerate(examples):
+        chosen = np.argsort(self.ids * np.int64(0x9E3779B97F4A7C1), kind="stable")[:CALIBRATION]
+        for i in chosen.tolist():
+            t, c = examples[i]
             near, cosine = self.nearest(t, self.vector(t, c), k + 1)
             other = near != i
             v = min(max(self.vote(near[other][:k], cosine[other][:k]), 1e-6), 1 - 1e-6)
@@ -135,59 +152,60 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, limi
     """(_id, toxic, text) of the sample: ids by hash, then their texts by a join with that bounded list."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("_id is not null and toxic in (0, 1)")
     known = known.filter(F.crc32(F.col("_id").cast("string")) % FOLDS != 0).groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("text"))
-    ids = texts.select("_id").distinct().join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    return texts.join(F.broadcast(ids), "_id").select("_id", "toxic", "text")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    short = texts.filter(F.octet_length("text") <= LONGEST)
+    ids = short.select("_id").distinct().join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(limit)
+    found = cut(short.join(F.broadcast(ids), "_id").groupBy("_id", "toxic").agg(F.max("text").alias("text")))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    within = found.select("_id", so_far.alias("bytes")).filter(F.col("bytes") <= EXAMPLE_BYTES).select("_id")
+    return found.join(F.broadcast(within), "_id")
+
+
+def _counted(block: Block, keys: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct word hashes of each row (places in ``keys``, where given, of the words found there) and their counts."""
+    found = words(block, NOT_ALNUM)
+    h, edges = hashes(block, found, FOLDED), found.first
+    if keys is not None:
+        at = np.searchsorted(keys, h)
+        hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h) if len(keys) else np.zeros(0, np.int64)
+        h, edges = at[hit], np.searchsorted(hit, edges)
+    for r in range(block.rows):
+        yield np.unique(h[edges[r] : edges[r + 1]], return_counts=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Index:
     """Index over at most ``examples`` labelled documents that are not held out (labels: doc_id, toxic)."""
-    sample = _sample(docs, labels, id_col, text_col, examples)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for r, text in enumerate(batch.column(2).to_pylist()):
-                found = Counter(WORD.findall((text or "").encode().lower())) or {b"": 1}
-                at = pa.array(np.full(len(found), r))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())],
-                    ["_id", "toxic", "word", "n"],
-                )
-
-    counted = cut(sample.mapInArrow(count, "_id bigint, toxic int, word string, n bigint").groupBy("_id", "toxic", "word").agg(F.max("n").alias("n")))
-    owners = counted.select("_id", "toxic").distinct().collect()
-    owners.sort(key=lambda r: r["_id"])
-    n, n1 = len(owners), sum(r["toxic"] for r in owners)
+            made = [x for block in text_blocks(batch.column(2)) for x in _counted(block)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([h.tobytes() for h, _ in made], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in made], pa.binary())],
+                ["_id", "toxic", "words", "counts"],
+            )
+
+    sample = _sample(docs, labels, id_col, text_col, examples).select("_id", "toxic", "text")
+    rows = sorted(sample.mapInArrow(count, "_id bigint, toxic int, words binary, counts binary").collect())
+    n, n1 = len(rows), sum(r["toxic"] for r in rows)
     if not n or n1 in (0, n):
         return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64), float(n1 / n) if n else 0.0)
-    a = F.col("with_1")
-    b = F.col("df") - a
-    c, d = F.lit(n1) - a, F.lit(n - n1) - b
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, 2) / (F.col("df") * (F.lit(n) - F.col("df")) * F.lit(float(n1) * (n - n1)))
-    picked = (
-        counted.filter("word <> ''").groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("toxic").cast("double").alias("with_1"))
-        .filter((F.col("df") >= MIN_EXAMPLES) & (F.col("df") < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-        .orderBy(F.desc("chi2"), "word").limit(VOCABULARY)
-    ).collect()
-    # Words that speak for the label; what speaks against it is the absence of these.
-    picked = [r for r in picked if r["with_1"] * n > r["df"] * n1]
-    keys = word_hash([r["word"].encode() for r in picked]) if picked else np.zeros(0, np.uint64)
-    order = np.argsort(keys)
-    term_of = {picked[i]["word"]: k for k, i in enumerate(order.tolist())}
-    chosen = counted.sparkSession.createDataFrame([(w, k) for w, k in term_of.items()], "word string, term bigint")
-    own: dict[int, list[tuple[int, int]]] = {}
-    for r in counted.join(F.broadcast(chosen), "word").select("_id", "term", "n").collect():
-        own.setdefault(r["_id"], []).append((r["term"], r["n"]))
-    label = {r["_id"]: r["toxic"] for r in owners}
-    # Examples of the same words lie together, so that block bounds are tight.
-    filled = sorted(own, key=lambda i: (sorted(own[i]), i))
-    bare = [r["toxic"] for r in owners if r["_id"] not in own]
-    index = Index(
-        keys[order], np.array([np.log((1 + n) / (1 + picked[i]["df"])) + 1 for i in order.tolist()]), np.array([label[i] for i in filled], dtype=float),
-        np.array(filled, dtype=np.int64), (sum(bare) + n1 / n) / (len(bare) + 1),
-    )
-    vectors = [tuple(np.array(x, dtype=np.int64) for x in zip(*sorted(own[i]), strict=True)) for i in filled]
+    bare = [r["toxic"] for r in rows if not r["words"]]
+    rows = [r for r in rows if r["words"]]
+    labels_of = np.array([r["toxic"] for r in rows], dtype=float)
+    lengths = np.array([len(r["words"]) // 8 for r in rows])
+    keys, term, df = np.unique(np.frombuffer(b"".join(r["words"] for r in rows), np.uint64), return_inverse=True, return_counts=True)
+    df = df.astype(float)
+    with_1 = np.bincount(term, np.repeat(labels_of, lengths), len(keys))
+    spread = df * (n - df) * n1 * (n - n1)
+    speaks = np.divide(with_1 * (n - df - n1 + with_1) - (df - with_1) * (n1 - with_1), np.sqrt(spread), out=np.zeros(len(keys)), where=spread > 0)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + np.maximum(speaks, 0))
+    vectors = list(zip(np.split(term, np.cumsum(lengths)[:-1]), [np.frombuffer(r["counts"], np.int32) for r in rows], strict=True))
+    # Examples with the same heaviest words lie together, so that block bounds are tight.
+    heavy = [t[np.argsort(-(1 + np.log(c)) * weight[t], kind="stable")[:4]].tolist() for t, c in vectors]
+    order = sorted(range(len(rows)), key=lambda i: (heavy[i], rows[i]["_id"]))
+    vectors = [vectors[i] for i in order]
+    index = Index(keys, weight, labels_of[order], np.array([rows[i]["_id"] for i in order], dtype=np.int64), (sum(bare) + n1 / n) / (len(bare) + 1))
     index.build(vectors)
     index.calibrate(vectors, neighbours)
     return index
@@ -197,13 +215,7 @@ def _scored(rows: DataFrame, index: Index, k: int) -> DataFrame:
     """rows: (row, text); adds score, predicted and the nearest examples as evidence."""
 
     def block_scores(block: Block) -> Iterator[tuple[float, str]]:
-        found = words(block, NOT_ALNUM)
-        h = hashes(block, found, FOLDED)
-        at = np.searchsorted(index.keys, h)
-        hit = np.flatnonzero(index.keys[np.minimum(at, len(index.keys) - 1)] == h) if len(index.keys) else np.zeros(0, np.int64)
-        terms, edges = at[hit], np.searchsorted(hit, found.first)
-        for r in range(block.rows):
-            own, counts = np.unique(terms[edges[r] : edges[r + 1]], return_counts=True)
+        for own, counts in _counted(block, index.keys):
             if not len(own):
                 yield index.empty_share, ""
                 continue
