@@ -39,6 +39,7 @@ CALIBRATION = 2_000
 FLOOR = 0.01
 NEIGHBOURS = 15
 BLOCK = 128
+FIRST_BLOCKS = 2
 FOLDS = 5
 
 
@@ -92,20 +93,19 @@ class Index:
         bound = np.bincount(own, q * self.top[cells])
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        near, cosine, step = np.zeros(0, np.int64), np.zeros(0), 2
+        near, cosine, step = np.zeros(0, np.int64), np.zeros(0), FIRST_BLOCKS
         while len(order):
-            now = order[:step]
-            if len(cosine) == k:
-                now = now[bound[now] >= cosine[-1] - 1e-12]
+            # Blocks by falling bound until there are k neighbours; all that these cannot rule out then follow together.
+            now = order[:step] if len(cosine) < k else order[bound[order] >= cosine[-1] - 1e-12]
             if not len(now):
                 break
             wanted = np.zeros(len(bound), dtype=bool)
             wanted[now] = True
-            use = wanted[own]
-            first, last = self.start[cells[use]], self.start[cells[use] + 1]
+            use = np.flatnonzero(wanted[own])
+            asked = cells[use]
+            first, last = self.start[asked], self.start[asked + 1]
             at = _runs(first, last)
-            scores = np.bincount(self.owner[at], np.repeat(q[use], last - first) * self.weight[at])
-            scores = np.round(scores, 12)
+            scores = np.bincount(self.owner[at], np.repeat(q[use], last - first) * self.weight[at]).round(12)
             if len(scores) > 4 * k:
                 hit = np.flatnonzero(scores >= max(np.partition(scores, -k)[-k], 1e-12))
             else:
