@@ -13,7 +13,7 @@ from pagelake.constants import NEAR_DISTANCE, SIMILAR_DEPTH
 from pagelake.functions.scalar import bit_distance, bits_to_hex
 from pagelake.functions.text import bound, tokens
 from pagelake.operators.components import components
-from pagelake.operators.hamming import near_pairs
+from pagelake.operators.hamming import near_links, near_pairs
 from pagelake.operators.ranks import top_k
 from pagelake.operators.scope import text_bearing
 from pagelake.session import cut
@@ -84,14 +84,14 @@ def similar_signature_pairs(signed: DataFrame, distance: int = NEAR_DISTANCE) ->
 def similar_clusters(signed: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
     """(slide_id, cluster_id, cluster_size, distance): chains of near signatures with at least two pages.
 
-    Works on distinct signatures; pages join back at the end. The cluster's id and
+    Works on distinct signatures and on links that join what their pairs join; pages join back at the end. The cluster's id and
     representative is its least page, ``distance`` is each page's distance to it.
     """
     reps = cut(collapsed(signed))
-    pairs = near_pairs(reps, distance=distance)
+    links = near_links(reps, distance=distance)
     first = reps.select(F.col("sig").alias("sig_a"), F.col("slide_id").alias("u"))
     second = reps.select(F.col("sig").alias("sig_b"), F.col("slide_id").alias("v"))
-    edges = pairs.join(first, "sig_a").join(second, "sig_b").select("u", "v")
+    edges = links.join(first, "sig_a").join(second, "sig_b").select("u", "v")
     found = components(edges)
     labelled = reps.join(found, reps.slide_id == found.node, "left").select(
         "sig", "slide_id", "copies", F.coalesce("component", "slide_id").alias("cluster_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.operators.components import components
 from pagelake.operators.dedup import similar_clusters, similar_slides
-from pagelake.operators.hamming import Blocking, near_pairs
+from pagelake.operators.hamming import Blocking, choose_blocking, near_links, near_pairs
 
 
 def apart(a, b):
@@ -113,3 +113,34 @@ def test_clusters_equal_union_find(table):
     got = {r.slide_id: (r.cluster_id, r.distance) for r in similar_clusters(df.select("slide_id", "sig")).collect()}
     assert got == {n: (c, apart(known[n], known[c])) for n, c in want.items()}
     assert df.filter(F.col("sig").isNull()).count() > 0
+
+
+@pytest.mark.parametrize("tile", [30, 75])
+def test_tiles_lose_no_pair_and_links_join_the_same(table, tile):
+    """Half of the signatures share all bits but the last twelve: their buckets are far above a tile."""
+    rng = random.Random(tile)
+    sigs = sorted({signed((0xABCDEF << 40) | rng.getrandbits(12)) for _ in range(150)} | set(planted(3, 150)))
+    df = table([(s,) for s in sigs], "sig bigint")
+    want = {(a, b, apart(a, b)) for i, a in enumerate(sigs) for b in sigs[i + 1 :] if apart(a, b) <= 4}
+    got = [tuple(r) for r in near_pairs(df, distance=4, tile=tile).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    links = [tuple(r) for r in near_links(df, distance=4, tile=tile).collect()]
+    assert union_find(links) == union_find([(a, b) for a, b, _ in want])
+    keyed = table([(k, s) for k in (1, 2) for s in sigs], "k int, sig bigint")
+    both = [(r.k, r.sig_a, r.sig_b) for r in near_pairs(keyed, keyed, on=["k"], distance=4, tile=tile).collect()]
+    near = {(a, b) for a, b, _ in want} | {(b, a) for a, b, _ in want} | {(s, s) for s in sigs}
+    assert len(both) == len(set(both)) and set(both) == {(k, a, b) for k in (1, 2) for a, b in near}
+
+
+def test_a_bucket_of_20000_signatures_gives_few_links(spark):
+    """All agree on the first block, about half of their 200 million pairs are near; 10 tiles meet in 55 groups."""
+    sigs = spark.range(20_000).select(F.shiftleft("id", 7).alias("sig"))
+    edges = near_links(sigs, distance=8, blocking=Blocking(8, 1)).collect()
+    assert len(edges) <= 55 * 2 * 2300
+    assert set(union_find([tuple(r) for r in edges]).values()) == {0}
+
+
+def test_blocking_follows_the_number_of_signatures(spark):
+    few, many = (spark.range(n).select(F.col("id").alias("sig")) for n in (1_000, 200_000))
+    assert len(choose_blocking([few], [], 8).blocks) == 9
+    assert len(choose_blocking([many], [], 8).blocks) == 11
