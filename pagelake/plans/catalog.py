@@ -953,7 +953,7 @@ def stream_dedup(v):
     arriving = docs.select(F.sha2("text", 256).alias("sha256"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60).alias("arrived_at"))
     known = v.table("benchmark").select(F.sha2("text", 256).alias("sha256"))
     base = scratch_path(v.spark, "stream-files")
-    for run in ("first", "again"):  # the second stream repeats all files, long after
+    for run in ("first", "again", "third"):  # the later streams repeat all files, long after
         ingest.land_new_files(arriving, known, f"{base}/files", f"{base}/state-{run}")
     return v.spark.read.parquet(f"{base}/files").select("sha256")
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pagelake.functions.text import fingerprint
 from pagelake.operators import search_index
 from pagelake.operators.indexing import extract_elements, index_text, token_index
+from pagelake.session import stored
 from pagelake.sources.tables import append_batch, latest_batch
+from pagelake.streaming import membership
 
 PAGE_KEYS = ("slide_id",)
 ELEMENT_KEYS = ("slide_id", "element_index")
@@ -100,21 +102,22 @@ def stream_new_files(stream: DataFrame, known: DataFrame, delay: str = "1 day",
 def land_new_files(stream: DataFrame, known: DataFrame, target: str, checkpoint: str, time: str = "arrived_at") -> StreamingQuery:
     """Lands files whose sha256 is neither known nor landed before, however long ago; of equal ones in a batch the first.
 
-    What has landed is the memory, so no state grows in the stream; a retried batch does not see itself.
+    What has landed is remembered in parts behind filters (``membership``, below ``target`` + "-met"), so no state grows in the
+    stream and a batch reads only parts that may hold its files. Each batch lands in a partition named by its stream's
+    checkpoint and its number: a retried batch replaces itself, another stream's batches stay. Files without a hash always land.
     """
-    spark = stream.sparkSession
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.join(known.select("sha256").distinct(), "sha256", "left_anti")
-        try:
-            landed = spark.read.parquet(target).filter(F.col("batch_id") != batch_id)
-            fresh = fresh.join(landed.select("sha256"), "sha256", "left_anti")
-        except AnalysisException as missing:
-            if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
+        delivery = f"{name}-{batch_id}"
         rest = [c for c in batch.columns if c != "sha256"]
-        first = fresh.groupBy("sha256").agg(F.min_by(F.struct(*rest), time).alias("f"))
-        append_batch(first.select("sha256", *[F.col("f")[c].alias(c) for c in rest]), target, batch_id)
+        fresh = batch.join(known.select("sha256").distinct(), "sha256", "left_anti")
+        first = stored(fresh.groupBy("sha256").agg(F.min_by(F.struct(*rest), time).alias("f")), "arrived")
+        met = membership.met_before(first.select("sha256"), f"{target}-met", delivery)
+        new = first if met is None else stored(first.join(met, "sha256", "left_anti"), "arrived")
+        rows = new.select("sha256", *[F.col("f")[c].alias(c) for c in rest], F.lit(delivery).alias("delivery"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("delivery").parquet(target)
+        membership.remember(new.select("sha256"), f"{target}-met", delivery)
 
     return run_available(stream, land, checkpoint)
 

@@ -9,7 +9,7 @@ from pagelake.plans.views import package_bytes
 from pagelake.sources import files, tables
 from pagelake.sources import packages as source
 from pagelake.sources.bulk import bulk_pages
-from pagelake.streaming import ingest, jobs
+from pagelake.streaming import ingest, jobs, membership
 
 TEXT = "\n".join(["First line", " second ", "a | b", "c | ", "", "x", "y", "z", "next page", "", "<&>"])
 
@@ -206,6 +206,33 @@ def test_streamed_files_land_once(spark, table, tmp_path):
     assert {(r.sha256, r.n) for r in spark.read.parquet(target).collect()} == {("a", 2), ("b", 5)}
 
 
+def test_streams_share_what_has_landed(spark, table, tmp_path):
+    """Streams of their own checkpoints number batches alike; neither loses nor repeats the other's files."""
+    target = str(tmp_path / "files")
+    schema = "sha256 string, arrived_at timestamp, n int"
+    none = table([], "sha256 string")
+    for run, ids in enumerate([range(0, 300), range(200, 500), [5, 499, 900]]):
+        src = str(tmp_path / f"in{run}")
+        table([(f"h{i}", i, run) for i in ids], "sha256 string, s bigint, n int").select("sha256", F.timestamp_seconds("s").alias("arrived_at"), "n").write.parquet(src)
+        ingest.land_new_files(spark.readStream.schema(schema).parquet(src), none, target, str(tmp_path / f"state{run}"))
+    got = sorted((int(r.sha256[1:]), r.n) for r in spark.read.parquet(target).collect())
+    assert got == [(i, 0 if i < 300 else 1) for i in range(500)] + [(900, 2)]
+
+
+def test_filters_leave_few_parts(spark, tmp_path):
+    memory = str(tmp_path / "met")
+    hashes = lambda lo, hi: spark.range(lo, hi).select(F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    assert membership.met_before(hashes(0, 9), memory, "a-0") is None
+    membership.remember(hashes(0, 4000), memory, "a-0")
+    membership.remember(hashes(4000, 5000), memory, "a-1")
+    assert membership.may_be_met(hashes(5000, 9000), memory, "a-2").count() < 40
+    met = membership.met_before(hashes(3990, 6000), memory, "a-2")
+    want = {r.sha256 for r in hashes(3990, 5000).collect()}
+    assert {r.sha256 for r in met.collect()} == want
+    again = membership.met_before(hashes(3990, 5000), memory, "a-1")  # a retried delivery does not meet itself
+    assert again.count() == 10
+
+
 def test_write_table_keeps_other_keys_of_a_bucket(spark, table, tmp_path):
     path = str(tmp_path / "t")
     old = spark.range(400).selectExpr("cast(id % 200 as int) version_id", "cast(id as string) t")
