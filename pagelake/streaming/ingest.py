@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagelake.functions.text import fingerprint
 from pagelake.operators import search_index
 from pagelake.operators.indexing import extract_elements, index_text, token_index
-from pagelake.session import stored
+from pagelake.session import discard, stored
 from pagelake.sources.tables import append_batch, latest_batch
 from pagelake.streaming import membership
 
@@ -118,6 +118,9 @@ def land_new_files(stream: DataFrame, known: DataFrame, target: str, checkpoint:
         rows = new.select("sha256", *[F.col("f")[c].alias(c) for c in rest], F.lit(delivery).alias("delivery"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("delivery").parquet(target)
         membership.remember(new.select("sha256"), f"{target}-met", delivery)
+        for table in (first, met, new):
+            if table is not None:
+                discard(table, free=False)
 
     return run_available(stream, land, checkpoint)
 

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import stored
+from pagelake.session import discard, stored
 from pagelake.sources.tables import bucket
 
 PARTS = 256
@@ -68,16 +68,19 @@ def may_be_met(hashes: DataFrame, memory: str, delivery: str) -> DataFrame | Non
 
 
 def met_before(hashes: DataFrame, memory: str, delivery: str) -> DataFrame | None:
-    """(sha256) of the distinct ``hashes`` that another delivery brought; None if none can be among them."""
-    maybe = may_be_met(hashes, memory, delivery)
-    if maybe is None:
+    """(sha256) of the distinct ``hashes`` that another delivery brought, a table to ``discard``; None if none can be among them."""
+    let_through = may_be_met(hashes, memory, delivery)
+    if let_through is None:
         return None
-    maybe = stored(maybe, "maybe-met")
+    maybe = stored(let_through, "maybe-met")
     parts = [r.part for r in maybe.select("part").distinct().collect()]  # at most PARTS numbers
     if not parts:
+        discard(maybe, free=False)
         return None
     held = hashes.sparkSession.read.parquet(f"{memory}/hashes").filter(F.col("part").isin(parts) & (F.col("delivery") != delivery))
-    return maybe.join(held.select("part", "sha256"), ["part", "sha256"], "left_semi").select("sha256")
+    met = stored(maybe.join(held.select("part", "sha256"), ["part", "sha256"], "left_semi").select("sha256"), "met")
+    discard(maybe, free=False)
+    return met
 
 
 def remember(hashes: DataFrame, memory: str, delivery: str) -> None:

@@ -133,7 +133,7 @@ def test_tiles_lose_no_pair_and_links_join_the_same(table, tile):
 
 
 def test_a_bucket_of_20000_signatures_gives_few_links(spark):
-    """All agree on the first block, about half of their 200 million pairs are near; 10 tiles meet in 55 groups."""
+    """All agree on the first block, 147,652,912 pairs of them are near; 10 tiles meet in 55 groups."""
     sigs = spark.range(20_000).select(F.shiftleft("id", 7).alias("sig"))
     edges = near_links(sigs, distance=8, blocking=Blocking(8, 1)).collect()
     assert len(edges) <= 55 * 2 * 2300
