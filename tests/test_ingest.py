@@ -5,7 +5,8 @@ import zipfile
 from pyspark.sql import functions as F
 
 from pagelake.operators import packages, recall, search_index
-from pagelake.plans.views import package_bytes
+from pagelake.plans import catalog
+from pagelake.plans.views import Views, package_bytes
 from pagelake.sources import files, tables
 from pagelake.sources import packages as source
 from pagelake.sources.bulk import bulk_pages
@@ -273,3 +274,15 @@ def test_files_that_list_no_page_fail(table):
     rows = [(1, bytearray(package_bytes(TEXT, 1))), (2, bytearray(other.getvalue())), (3, bytearray(empty.getvalue())), (4, bytearray(b"PK")), (5, None)]
     got = source.parse_packages(table(rows, "file_id bigint, content binary")).select("file_id", "page_no", "parse_status").collect()
     assert {tuple(r) for r in got} == {(1, 1, "success"), (1, 2, "success"), (2, None, "failed"), (3, None, "failed"), (4, None, "failed"), (5, None, "failed")}
+
+
+def test_a_table_in_many_files_arrives_as_a_stream(spark, table, tmp_path):
+    rows = table([(i, f"text {i}") for i in range(40)], "doc_id bigint, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    for layout in ("many", "one"):
+        seen = []
+        stream = catalog._stream(Views(spark, str(tmp_path / layout)), "documents")
+        ingest.run_available(stream, lambda batch, n: seen.extend(r.doc_id for r in batch.collect()), str(tmp_path / f"state-{layout}"))
+        assert sorted(seen) == list(range(40))
