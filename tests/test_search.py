@@ -6,6 +6,8 @@ from pagelake import constants as c
 from pagelake.operators import block_join, fusion, quality, recall
 from pagelake.operators.enrich import hashed_bag, merge_ai_tags, merge_embeddings, merge_ocr_text, normalize_analyses, build_embeddings
 from pagelake.operators.indexing import clustered_postings, index_totals, token_index
+from pagelake.operators.ranks import top_k
+from pagelake.operators.scope import scoped_slides
 
 PAGES = [
     (1, 2, 1, "Alpha", "alpha beta beta"),
@@ -166,3 +168,25 @@ def test_ocr_leaves_native_text_and_old_markdown(table):
     replies = table([(1, '{"md":"read"}'), (2, '{"md":" "}')], "slide_id bigint, raw string")
     got = {r.slide_id: (r.native_text, r.mineru_markdown) for r in merge_ocr_text(pages, replies).collect()}
     assert got == {1: ("n", "read"), 2: ("n", "old"), 3: ("n", "old")}
+
+
+def test_fused_lists_are_dealt_together(table):
+    rows = [(q, p, p) for q in range(30) for p in range(1, 6)]
+    ranked = top_k(table(rows, "query_id bigint, slide_id bigint, x int"), ["query_id"], [F.col("x")], 5).select("query_id", "slide_id", "rank")
+    fused = fusion.rrf_fuse({"text": ranked, "vector": ranked})
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert "hashpartitioning(query_id" in above and "slide_id" in above[above.index("hashpartitioning(query_id") :]
+    queries = table([(q, "x") for q in range(30)], "query_id bigint, query string").repartition(16, "query_id")
+    got = fused.join(queries, "query_id").groupBy("query_id").count().collect()
+    assert len(got) == 30 and {r["count"] for r in got} == {5}
+
+
+def test_scope_is_known_before_pages_are_planned(table):
+    decks = table([(1, "a", 1, "team", None, 2, 5), (2, "b", 1, "team", None, 4, 5)], "presentation_id int, title string, owner_id bigint, visibility string, deleted_at timestamp, current_version_id int, n int")
+    decks = decks.groupBy(*[x for x in decks.columns if x != "n"]).agg(F.sum("n").alias("n"))
+    pages = table([(1, 2), (2, 4), (3, 3)], "slide_id bigint, version_id int")
+    found = scoped_slides(pages, decks, table([], "version_id int, presentation_id int"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(r.slide_id for r in found.collect()) == [1, 2]
