@@ -74,6 +74,20 @@ def test_empty_index_and_scope(table, tmp_path):
     assert [tuple(r)[:2] for r in search_index.index_recall(queries, index, table([(1,)], "version_id int"), 5).collect()] == [(1, 1)]
 
 
+def test_words_are_counted_in_the_row_and_repeated_documents_meet(spark, table, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "TASK_TOKENS", 2)
+    rows = [(1, 1, ["b", "a", "b"], 3), (1, 1, ["b", "a", "b"], 3), (2, 1, [], 0), (3, 2, ["c"] * 40, 40), (4, 2, None, -1)]
+    docs = table(rows, DOCS)
+    words = {r.slide_id: r.w for r in docs.select("slide_id", search_index._counted(F.col("tokens")).alias("w")).collect()}
+    assert [(w.token, w.tf) for w in words[1]] == [("a", 1), ("b", 2)] and [w.tf for w in words[3]] == [40] and not words[2] and not words[4]
+    index = search_index.build_index(docs, str(tmp_path / "index"), ["slide_id"])
+    held = sorted((r.token, r.slide_id, r.version_id, r.n_tokens, r.tf) for r in index.postings.collect())
+    assert held == [("a", 1, 1, 3, 2), ("b", 1, 1, 3, 4), ("c", 3, 2, 40, 40)]
+    assert sorted(map(tuple, index.totals.collect())) == [(1, 3, 6), (2, 2, 39)]
+    plan = search_index._blocks(docs, ("slide_id",), 0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 # --- segmentation ---------------------------------------------------------------------------
 
 
