@@ -144,3 +144,15 @@ def test_blocking_follows_the_number_of_signatures(spark):
     few, many = (spark.range(n).select(F.col("id").alias("sig")) for n in (1_000, 200_000))
     assert len(choose_blocking([few], [], 8).blocks) == 9
     assert len(choose_blocking([many], [], 8).blocks) == 11
+
+
+def test_rows_of_block_choices_are_not_broadcast(spark, table, tmp_path):
+    rnd = random.Random(4)
+    sigs = [rnd.getrandbits(63) for _ in range(300)]
+    table([(s,) for s in sigs] + [(s ^ 5,) for s in sigs], "sig bigint").distinct().write.parquet(str(tmp_path / "sigs"))
+    stored = spark.read.parquet(str(tmp_path / "sigs"))
+    for near in (near_pairs(stored), near_pairs(stored, stored), near_links(stored), near_pairs(stored, tile=2)):
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        left, right = (i for i in (plan.find("SortMergeJoin [choice"), plan.find("BroadcastHashJoin [choice")))
+        assert left >= 0 and (right < 0 or left < right)
+    assert {(r.sig_a, r.sig_b) for r in near_pairs(stored).collect()} >= {(min(s, s ^ 5), max(s, s ^ 5)) for s in sigs}
