@@ -88,6 +88,24 @@ def test_words_are_counted_in_the_row_and_repeated_documents_meet(spark, table,
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_postings_stay_where_they_lie(spark, table, tmp_path, monkeypatch):
+    """One row per token and block with its maxima, written without a second pass; a search moves none of them to meet words, scope or live runs."""
+    monkeypatch.setattr(search_index, "DOCS", 4)
+    monkeypatch.setattr(search_index, "TASK_TOKENS", 16)
+    path, rows = str(tmp_path / "index"), documents(random.Random(3), 80)
+    index = search_index.build_index(table(rows, DOCS), path, ["slide_id"])
+    assert not (tmp_path / "index" / "maxima").exists()
+    held = {}
+    for r in index.postings.collect():
+        held.setdefault((r.bucket, r.token, r.block), []).append((r.tf, r.n_tokens))
+    maxima = sorted(tuple(r) for r in index.maxima.collect())
+    assert maxima == sorted((*k, max(tf for tf, _ in v), min(n for _, n in v)) for k, v in held.items())
+    assert sum(map(len, held.values())) == sum(len(set(r[2])) for r in rows)
+    queries, scope = table([(1, "w1 common"), (2, "w2")], "query_id bigint, query string"), table([(1,), (2,)], "version_id int")
+    plan = search_index.search(queries, index, scope, 3).scored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [version_id" in plan and "SortMergeJoin [version_id" not in plan
+
+
 # --- segmentation ---------------------------------------------------------------------------
 
 
