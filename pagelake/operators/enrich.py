@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -122,17 +123,34 @@ def enrichment_progress(slides: DataFrame) -> DataFrame:
 # --- vectors --------------------------------------------------------------------------------
 
 
+#: Words that ``hashed_bag`` hashes at once, and texts it holds vectors of; a longer text is hashed on its own.
+BAG_WORDS = 1 << 17
+BAG_TEXTS = 1 << 12
+
+
 def hashed_bag(dim: int = 64) -> Embedder:
     """A deterministic stand-in for a model: signed feature hashing of the words."""
 
+    def vectors(bags: list[list[str]]) -> list[list[float]]:
+        words = np.array(list(chain.from_iterable(bags)), dtype=object)
+        owner = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+        h = pd.util.hash_array(words)
+        sign = np.where((h >> np.uint64(32)) & np.uint64(1), 1.0, -1.0)
+        place = owner * dim + (h % np.uint64(dim)).astype(np.int64)
+        sums = np.bincount(place, weights=sign, minlength=len(bags) * dim).reshape(-1, dim)
+        norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return np.round(sums / np.maximum(norms, 1e-12), 7).tolist()
+
     def embed(texts: pd.Series) -> pd.Series:
-        rows = []
+        rows, bags, n = [], [], 0
         for text in texts:
-            vec = np.zeros(dim)
-            for h in pd.util.hash_array(np.array(text.lower().split(), dtype=object)) if text else ():
-                vec[int(h % dim)] += 1.0 if (int(h) >> 32) & 1 else -1.0
-            rows.append(np.round(vec / max(np.linalg.norm(vec), 1e-12), 7).tolist())
-        return pd.Series(rows)
+            bag = text.lower().split() if text else []
+            if bags and (n + len(bag) > BAG_WORDS or len(bags) == BAG_TEXTS):
+                rows += vectors(bags)
+                bags, n = [], 0
+            bags.append(bag)
+            n += len(bag)
+        return pd.Series(rows + vectors(bags) if bags else rows)
 
     return embed
 

@@ -1,9 +1,10 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagelake import constants as c
-from pagelake.operators import block_join, fusion, quality, recall
+from pagelake.operators import block_join, enrich, fusion, quality, recall
 from pagelake.operators.enrich import hashed_bag, merge_ai_tags, merge_embeddings, merge_ocr_text, normalize_analyses, build_embeddings
 from pagelake.operators.indexing import clustered_postings, index_totals, token_index
 from pagelake.operators.ranks import top_k
@@ -163,6 +164,25 @@ def test_vectors_only_for_changed_text(table):
     assert {r.slide_id: len(r.embedding) for r in merge_embeddings(old, made).collect()} == {1: 1, 2: 8}
 
 
+def test_the_bag_hashes_many_texts_at_once(monkeypatch):
+    texts = ["", None, "  ", "a A b", *(f"word{i} other word{i % 7}" for i in range(300)), "long " * 50]
+
+    def alone(text, dim):
+        vec = np.zeros(dim)
+        for h in pd.util.hash_array(np.array(text.lower().split(), dtype=object)) if text else ():
+            vec[int(h % dim)] += 1.0 if (int(h) >> 32) & 1 else -1.0
+        return np.round(vec / max(np.linalg.norm(vec), 1e-12), 7).tolist()
+
+    want, calls, plain = [alone(t, 16) for t in texts], [], pd.util.hash_array
+    monkeypatch.setattr(pd.util, "hash_array", lambda words: calls.append(len(words)) or plain(words))
+    assert hashed_bag(16)(pd.Series(texts)).tolist() == want and len(calls) == 1
+    monkeypatch.setattr(enrich, "BAG_WORDS", 40)
+    monkeypatch.setattr(enrich, "BAG_TEXTS", 5)
+    calls.clear()
+    assert hashed_bag(16)(pd.Series(texts)).tolist() == want and max(calls) == 50 and sorted(calls)[-2] <= 40
+    assert hashed_bag(16)(pd.Series([None, " "])).tolist() == [[0.0] * 16] * 2 and len(hashed_bag(16)(pd.Series([], dtype=object))) == 0
+
+
 def test_ocr_leaves_native_text_and_old_markdown(table):
     pages = table([(1, "n", None), (2, "n", "old"), (3, "n", "old")], "slide_id bigint, native_text string, mineru_markdown string")
     replies = table([(1, '{"md":"read"}'), (2, '{"md":" "}')], "slide_id bigint, raw string")
