@@ -9,16 +9,17 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.scalar import relation_name
 from pagelake.functions.text import fingerprint
-from pagelake.session import cut
+from pagelake.session import stored
 
 DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -32,6 +33,51 @@ _FACTS = (
 )
 
 
+_PARTS_TYPE = pa.schema([("file_id", pa.int64()), ("part", pa.string()), ("bytes", pa.int64()), ("xml", pa.binary()), ("damaged", pa.bool_())])
+_FACT_TYPE = pa.struct([
+    ("kind", pa.string()), ("n", pa.int32()), ("m", pa.int32()), ("name", pa.string()), ("text", pa.string()), ("target", pa.string()),
+    ("mode", pa.string()), ("place", pa.list_(pa.int64())),
+])
+_FACTS_TYPE = pa.schema([("file_id", pa.int64()), ("part", pa.string()), ("xml_ok", pa.bool_()), ("facts", pa.list_(_FACT_TYPE))])
+#: Rows of a batch that leaves a task, and its size: bytes of XML, or statements.
+BATCH_ROWS = 4096
+BATCH_BYTES = 1 << 22
+BATCH_FACTS = 1 << 14
+
+
+def _cells(batch: pa.RecordBatch, *columns: int) -> Iterator[tuple]:
+    """The batch's rows one by one, so that no second copy of it is held."""
+    return zip(*((value.as_py() for value in batch.column(c)) for c in columns))
+
+
+def _packed(rows: Iterable[tuple], schema: pa.Schema, size: Callable[[tuple], int], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most ``BATCH_ROWS`` rows that end with the row that reaches ``limit``."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) == BATCH_ROWS or total >= limit:
+            yield _batch(held, schema)
+            held, total = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _column(cells: tuple, kind: pa.DataType) -> pa.Array:
+    """An Arrow column; lists of structs come as lists of tuples, which go field by field."""
+    if not (pa.types.is_list(kind) and pa.types.is_struct(kind.value_type)):
+        return pa.array(cells, kind)
+    entries, fields = [e for cell in cells for e in cell], list(kind.value_type)
+    columns = zip(*entries) if entries else [()] * len(fields)
+    offsets = np.concatenate([[0], np.cumsum([len(cell) for cell in cells])]).astype(np.int32)
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(offsets), structs, type=kind)
+
+
 def _parts_of(content: bytes) -> Iterator[tuple[str | None, int | None, bytes | None, bool]]:
     """(part, size, XML bytes, whether it is damaged); an archive that cannot be opened, or has no presentation part,
     has a damaged part without a name."""
@@ -54,25 +100,25 @@ def _parts_of(content: bytes) -> Iterator[tuple[str | None, int | None, bytes |
 
 
 def package_parts(files: DataFrame) -> DataFrame:
-    """(file_id, part, bytes, xml, damaged) of all parts. XML stays bytes: its own declaration names the encoding."""
+    """(file_id, part, bytes, xml, damaged) of all parts. XML stays bytes: its own declaration names the encoding.
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file_id, content in zip(pdf["file_id"], pdf["content"]):
-                rows = pd.DataFrame(list(_parts_of(content)), columns=["part", "bytes", "xml", "damaged"])
-                rows["bytes"] = rows["bytes"].astype("Int64")
-                rows.insert(0, "file_id", file_id)
-                yield rows
+    Parts of many archives leave a task together, in batches bounded by rows and by bytes of XML.
+    """
 
-    return files.select("file_id", "content").mapInPandas(unpack, _PARTS)
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((file_id, *part) for file_id, content in _cells(batch, 0, 1) for part in _parts_of(content))
+            yield from _packed(rows, _PARTS_TYPE, lambda row: len(row[3] or b""), BATCH_BYTES)
+
+    return files.select(F.col("file_id").cast("bigint"), F.col("content").cast("binary")).mapInArrow(unpack, _PARTS)
 
 
 def _text(el) -> str:
     return "".join(t.text for t in el.iter(f"{DRAWING}t") if t.text)
 
 
-def _fact(kind, n=None, m=None, name=None, text=None, target=None, mode=None, place=None) -> dict:
-    return {"kind": kind, "n": n, "m": m, "name": name, "text": text, "target": target, "mode": mode, "place": place}
+def _fact(kind, n=None, m=None, name=None, text=None, target=None, mode=None, place=None) -> tuple:
+    return kind, n, m, name, text, target, mode, place
 
 
 def _whole(value: str) -> int | None:
@@ -91,31 +137,35 @@ def _place(pic) -> list | None:
     return read(off, ("x", "y")) + read(ext, ("cx", "cy"))
 
 
-def _facts(root) -> Iterator[dict]:
+def _facts(root) -> Iterator[tuple]:
     """What one XML part states, in document order."""
-    parent = {child: el for el in root.iter() for child in el}
-    for n, el in enumerate(root.iter(f"{DRAWING}p")):
+    found: dict[str, list] = {}
+    for el in root.iter():
+        found.setdefault(el.tag, []).append(el)
+    every = lambda tag: enumerate(found.get(tag, ()))
+    for n, el in every(f"{DRAWING}p"):
         yield _fact("para", n, text=_text(el).strip())
-    for n, el in enumerate(root.iter(f"{DECK}ph")):
-        if el.get("type", "body") in ("title", "ctrTitle"):
-            near = parent.get(el)
-            above = parent.get(near)
-            holder = above if above is not None and above.tag == f"{DECK}sp" else near
-            yield _fact("title", n, text=_text(holder).strip() if holder is not None else "")
-    for n, el in enumerate(root.iter(f"{DECK}sp")):
-        ph = el.find(f".//{DECK}ph")
+    titles = [(n, el) for n, el in every(f"{DECK}ph") if el.get("type", "body") in ("title", "ctrTitle")]
+    parent = {child: el for el in root.iter() for child in el} if titles else {}
+    for n, el in titles:
+        near = parent.get(el)
+        above = parent.get(near)
+        holder = above if above is not None and above.tag == f"{DECK}sp" else near
+        yield _fact("title", n, text=_text(holder).strip() if holder is not None else "")
+    for n, el in every(f"{DECK}sp"):
+        ph = el.find(f".//{DECK}ph") if f"{DECK}ph" in found else None
         kind = "textbox" if ph is None else "placeholder:" + ph.get("type", "body")
         yield _fact("shape", n, name=kind, text=_text(el).strip())
-    for n, table in enumerate(root.iter(f"{DRAWING}tbl")):
+    for n, table in every(f"{DRAWING}tbl"):
         for m, row in enumerate(table.iter(f"{DRAWING}tr")):
             for cell in row.iter(f"{DRAWING}tc"):
                 yield _fact("cell", n, m, text=_text(cell).strip())
-    for n, el in enumerate(root.iter(f"{DECK}pic")):
+    for n, el in every(f"{DECK}pic"):
         blip = el.find(f".//{DRAWING}blip")
         rid = None if blip is None else blip.get(f"{LINKS}embed") or blip.get(f"{LINKS}link")
         if rid:
             yield _fact("picture", n, name=rid, place=_place(el))
-    for n, el in enumerate(root.iter(f"{DECK}sldId")):
+    for n, el in every(f"{DECK}sldId"):
         if el.get(f"{LINKS}id"):
             yield _fact("slide", n, name=el.get(f"{LINKS}id"))
     for n, el in enumerate(root):
@@ -130,20 +180,21 @@ def part_facts(parts: DataFrame) -> DataFrame:
     """(file_id, part, xml_ok, facts): the statements of every XML part. Unreadable and damaged parts state
     nothing and are not ok; so is an archive that could not be opened, whose part is null."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for file_id, part, xml in zip(pdf["file_id"], pdf["part"], pdf["xml"]):
-                facts, ok = [], False
-                if xml is not None:
-                    try:
-                        facts, ok = list(_facts(ElementTree.fromstring(xml))), True
-                    except (ElementTree.ParseError, ValueError, LookupError):  # not well-formed, or of an unknown encoding
-                        pass
-                rows.append((file_id, part, ok, facts))
-            yield pd.DataFrame(rows, columns=["file_id", "part", "xml_ok", "facts"])
+    def statements(xml: bytes | None) -> tuple[bool, list]:
+        if xml is not None:
+            try:
+                return True, list(_facts(ElementTree.fromstring(xml)))
+            except (ElementTree.ParseError, ValueError, LookupError):  # not well-formed, or of an unknown encoding
+                pass
+        return False, []
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = ((file_id, part, *statements(xml)) for file_id, part, xml in _cells(batch, 0, 1, 2))
+            yield from _packed(rows, _FACTS_TYPE, lambda row: len(row[3]), BATCH_FACTS)
 
-    return parts.filter(F.col("xml").isNotNull() | F.col("damaged")).select("file_id", "part", "xml").mapInPandas(read, _FACTS)
+    xml = parts.filter(F.col("xml").isNotNull() | F.col("damaged"))
+    return xml.select(F.col("file_id").cast("bigint"), "part", "xml").mapInArrow(read, _FACTS)
 
 
 def _of_kind(kind: str):
@@ -206,7 +257,7 @@ def parse_packages(files: DataFrame) -> DataFrame:
     without a page. Archives are opened once; what they state is kept in the
     shared folder for the joins that follow.
     """
-    facts = cut(part_facts(package_parts(files)))
+    facts = stored(part_facts(package_parts(files)), "part-facts")
     rels = part_relationships(facts)
     order = slide_order(facts, rels)
     own_rels = rels.groupBy("file_id", "part").agg(

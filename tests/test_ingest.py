@@ -49,6 +49,37 @@ def test_closure_follows_cycles_and_skips_external(table):
     assert all(r.bytes > 0 for r in packages.page_weights(kept).collect())
 
 
+def test_parts_leave_in_batches_of_many_archives():
+    parts = [(f, *part) for f in range(40) for part in source._parts_of(package_bytes(TEXT, f))]
+    together = list(source._packed(iter(parts), source._PARTS_TYPE, lambda row: len(row[3] or b""), 1 << 22))
+    assert [b.num_rows for b in together] == [len(parts)] and len(set(together[0].column(0).to_pylist())) == 40
+    small = list(source._packed(iter(parts), source._PARTS_TYPE, lambda row: len(row[3] or b""), 2000))
+    xml = [sum(len(x or b"") for x in b.column(3).to_pylist()) for b in small]
+    assert len(small) > 10 and all(n - len(b.column(3)[b.num_rows - 1].as_py() or b"") < 2000 for n, b in zip(xml, small))
+    rows = lambda batches: [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert rows(together) == rows(small) == parts
+    assert list(source._packed(iter([]), source._PARTS_TYPE, len, 1)) == []
+
+
+def test_statements_go_to_arrow_field_by_field():
+    facts = [[source._fact("picture", 0, name="r", place=[1, None, 3, 4]), source._fact("cell", 1, 2, text="x")], [], [source._fact("rel", 0, target="t")]]
+    kind = source._FACTS_TYPE.field("facts").type
+    names = ["kind", "n", "m", "name", "text", "target", "mode", "place"]
+    made = source._column(tuple(facts), kind)
+    made.validate(full=True)
+    assert made.type == kind and made.to_pylist() == [[dict(zip(names, f)) for f in cell] for cell in facts]
+    assert source._column(([], []), kind).to_pylist() == [[], []]
+
+
+def test_packages_share_a_frame_and_differ_in_pages():
+    read = lambda text, n: {p: xml for p, _, xml, damaged in source._parts_of(package_bytes(text, n)) if not damaged}
+    one, two, other = read("a", 1), read(TEXT, 2), read("b", 300)
+    assert set(one) == set(other) == set(two) - {"ppt/slides/slide2.xml", "ppt/slides/_rels/slide2.xml.rels"}
+    assert {p for p in one if one[p] != other[p]} == {"ppt/slides/slide1.xml", "ppt/notesSlides/notesSlide1.xml"}
+    with zipfile.ZipFile(io.BytesIO(package_bytes("b", 300))) as z:
+        assert z.testzip() is None and len(z.namelist()) == len(set(z.namelist())) and z.read("ppt/media/image1.png")[4:] == (300).to_bytes(8, "big")
+
+
 def test_structure_check(table):
     ids = table([(1,), (2,), (3,)], "file_id bigint")
     refs = table([(1, 1), (2, 1), (2, 2), (3, 1)], "file_id bigint, page_no int")
