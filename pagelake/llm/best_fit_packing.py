@@ -14,18 +14,23 @@ table gives an empty result. Ties of equal length go by doc_id and piece. Furthe
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.words import BLANKS, ChunkCache, chunks, hashes, text_blocks
+from pagelake.llm.words import BLANKS, Block, Spans, chunks, hashes, hold, text_blocks
 from pagelake.session import cut
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one length that a task numbers at most, about.
@@ -38,10 +43,70 @@ STEPS = 60_000
 WIDE_BLANKS = rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
-_CACHES: dict[str, ChunkCache] = {}
+#: Chunks of one generation of a worker's cache, and new chunks that the library gets as one text.
+CACHED = 500_000
+JOINED = 1_000
+
+_CACHES: dict[str, IdCache] = {}
+
 
+class IdCache:
+    """Ids of text chunks by hash, held as arrays in the order of the hashes and filled by ``make`` (chunk texts to their ids in a row and their counts).
 
-def _cache(path: str) -> ChunkCache:
+    Bounded: two generations of ``limit`` chunks. Chunks asked for lately stay when the younger one is full and
+    takes the place of the older one; what is held changes speed only.
+    """
+
+    def __init__(self, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int) -> None:
+        self.make, self.limit = make, limit
+        self.clear()
+        hold(self)
+
+    def clear(self) -> None:
+        """A generation: hashes, place of the first id, count of ids, and the ids."""
+        self.known = self.older = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4"))
+
+    def _add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Puts new sorted keys into the younger generation."""
+        held, first, n, all_ids = self.known
+        at = np.searchsorted(held, keys)
+        place = len(all_ids) + np.cumsum(counts) - counts
+        self.known = np.insert(held, at, keys), np.insert(first, at, place), np.insert(n, at, counts), np.concatenate([all_ids, ids])
+
+    def values(self, block: Block, spans: Spans, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the block's chunks one after the other, and where those of each row begin."""
+        distinct, place, which = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.known[0]) > self.limit:
+            self.older = self.known
+            self.known = tuple(x[:0] for x in self.older)
+        missing = np.flatnonzero(~_held(self.known[0], distinct))
+        old = missing[_held(self.older[0], distinct[missing])]
+        if len(old):
+            held, first, n, ids = self.older
+            at = np.searchsorted(held, distinct[old])
+            self._add(distinct[old], n[at], ids[_runs(first[at], n[at])])
+            missing = np.setdiff1d(missing, old, assume_unique=True)
+        if len(missing):
+            data, at = block.data.tobytes(), place[missing]
+            ids, counts = self.make([data[a:b] for a, b in zip(spans.start[at].tolist(), spans.end[at].tolist(), strict=True)])
+            self._add(distinct[missing], counts, ids)
+        held, first, n, ids = self.known
+        at = np.searchsorted(held, distinct)[which]
+        own = n[at]
+        return ids[_runs(first[at], own)], np.concatenate([[0], np.cumsum(own)])[spans.first]
+
+
+def _held(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Whether sorted ``keys`` have each of ``asked``."""
+    return keys[np.minimum(np.searchsorted(keys, asked), len(keys) - 1)] == asked if len(keys) else np.zeros(len(asked), dtype=bool)
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n numbers from ``first`` on of all pairs, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _cache(path: str) -> IdCache:
     if path not in _CACHES:
         import os
 
@@ -49,13 +114,41 @@ def _cache(path: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        sizes = _sizes(tokenizer)
+        _CACHES[path] = IdCache(lambda texts: _encoded(tokenizer, sizes, texts), CACHED)
+    return _CACHES[path]
 
-        def make(texts: list[bytes]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-        _CACHES[path] = ChunkCache(make, 250_000)
-    return _CACHES[path]
+def _sizes(tokenizer: Tokenizer) -> np.ndarray:
+    """Bytes of each token: a character of a byte-level token is a byte of the text."""
+    known, added = tokenizer.get_vocab(), {t.content: len(t.content.encode()) for t in tokenizer.get_added_tokens_decoder().values()}
+    sizes = np.zeros(1 + max(known.values(), default=0), np.int64)
+    for token, i in known.items():
+        sizes[i] = added.get(token, len(token))
+    return sizes
+
+
+def _encoded(tokenizer: Tokenizer, sizes: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks one after the other, and their counts.
+
+    Chunks that begin with a blank and end without one go to the tokenizer many at a time as one text, in which they have
+    the ids they have alone; the bytes of each token tell where a chunk ends. Others, and texts in which that
+    fails, are encoded each.
+    """
+    joins = [i for i, t in enumerate(texts) if t and BLANKS[t[0]] and not BLANKS[t[-1]] and (t[-1] < 128 or not re.search(WIDE_BLANKS, t))]
+    groups = [joins[i : i + JOINED] for i in range(0, len(joins), JOINED)]
+    found: list[np.ndarray | None] = [None] * len(texts)
+    for own, e in zip(groups, tokenizer.encode_batch_fast([b"".join([texts[i] for i in own]).decode() for own in groups], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        ends, wanted = np.cumsum(sizes[ids]), np.cumsum([len(texts[i]) for i in own])
+        at = np.searchsorted(ends, wanted)
+        if len(ids) and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+            for i, x in zip(own, np.split(ids, at[:-1] + 1), strict=True):
+                found[i] = x
+    alone = [i for i, x in enumerate(found) if x is None]
+    for i, e in zip(alone, tokenizer.encode_batch_fast([texts[i].decode() for i in alone], add_special_tokens=False), strict=True):
+        found[i] = np.array(e.ids, dtype="<u4")
+    return np.concatenate(found), np.array([len(x) for x in found], dtype=np.int32)
 
 
 def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
@@ -64,18 +157,15 @@ def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
     The tokenizer splits no text within a run of other characters than blanks, so chunks (a blank run
     and what follows it) have the ids they have in the whole text.
     """
-    import re
-
     cache = _cache(path)
     for block in text_blocks(column):
         marks = np.array([m.start() for m in re.finditer(WIDE_BLANKS, block.data.tobytes())], dtype=np.int64)
         whole = np.zeros(block.rows, dtype=bool)
         whole[np.searchsorted(block.offsets, marks, side="right") - 1] = True
         spans = chunks(block, BLANKS, whole if len(marks) else None)
-        values, which = cache.values(block, spans, hashes(block, spans))
-        first, which = spans.first.tolist(), which.tolist()
-        for r in range(block.rows):
-            yield b"".join([values[k] for k in which[first[r] : first[r + 1]]])
+        ids, edges = cache.values(block, spans, hashes(block, spans))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
 
 
 def token_pieces(

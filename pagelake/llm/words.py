@@ -169,7 +169,12 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return done
 
 
-_HELD: list[ChunkCache | WordCache] = []
+_HELD: list = []
+
+
+def hold(cache) -> None:
+    """From now on ``forget`` empties this cache too (by its ``clear``)."""
+    _HELD.append(cache)
 
 
 def forget() -> None:
@@ -188,7 +193,7 @@ class ChunkCache:
 
     def __init__(self, make: Callable[[list[bytes]], list], limit: int = 300_000) -> None:
         self.make, self.limit, self.known, self.older = make, limit, {}, {}
-        _HELD.append(self)
+        hold(self)
 
     def clear(self) -> None:
         self.known, self.older = {}, {}
@@ -222,7 +227,7 @@ class WordCache:
 
     def __init__(self, make: Callable[[str], tuple], limit: int) -> None:
         self.make, self.limit, self.known, self.older = make, limit, {}, {}
-        _HELD.append(self)
+        hold(self)
 
     def clear(self) -> None:
         self.known, self.older = {}, {}

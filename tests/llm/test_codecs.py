@@ -50,6 +50,40 @@ def test_byte_tokens_equal_the_library():
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self):
+        self.inner, self.given = Tokenizer.from_file(BYTES), 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_new_chunks_are_encoded_together_as_they_are_alone(known):
+    rnd, library = random.Random(5), Counting()
+    sizes = packing._sizes(library.inner) if known else np.ones(50257, np.int64)
+    own = [(rnd.choice([" ", "\n", "\t \n"]) + "".join(rnd.choice("abé中'0.<|") for _ in range(rnd.randint(1, 12)))).encode() for _ in range(5000)]
+    odd = [b"", b"the", b"  ", b" a\xc2\xa0", b" a \n", b" <|endoftext|>", b" b"]
+    ids, counts = packing._encoded(library, sizes, own + odd)
+    alone = [library.inner.encode(t.decode(), add_special_tokens=False).ids for t in own + odd]
+    assert counts.tolist() == [len(x) for x in alone] and ids.tolist() == sum(alone, [])
+    if known:
+        assert library.given < 20
+
+
+def test_tokens_do_not_depend_on_what_a_worker_remembers():
+    own = texts()
+    made, cache = [], packing._cache(BYTES)
+    for limit in (0, 50, packing.CACHED):
+        cache.clear()
+        cache.limit = limit
+        made.append([raw for _ in range(3) for a in range(0, len(own), 100) for raw in packing.token_bytes(pa.array(own[a : a + 100], pa.string()), BYTES)])
+    assert made[0] == made[1] == made[2]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_complete_and_near_the_bound(seed):
     rnd = random.Random(seed)
