@@ -1,6 +1,7 @@
 """Quality, toxicity, licences and language: exact figures, and held-out accuracy on the given tables."""
 
 import collections
+import pickle
 import random
 import re
 import zlib
@@ -139,6 +140,25 @@ def test_toxicity_scores_equal_whole_vectors(table):
     assert rows[502]["score"] == rows[0]["score"]
 
 
+def test_toxicity_is_not_fitted_by_the_driver(table, monkeypatch):
+    rnd = random.Random(6)
+    docs = table([(i, " ".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=30)) + " oaf" * (i % 3 == 0)) for i in range(300)], "doc_id bigint, text string")
+
+    def fails(*_):
+        raise AssertionError("in the driver")
+
+    with monkeypatch.context() as m:
+        for step in ("build", "calibrate", "nearest"):
+            m.setattr(toxicity_knn.Index, step, fails)
+        index = toxicity_knn.train(docs, table([(i, int(i % 3 == 0)) for i in range(300)], "doc_id bigint, toxic int"))
+    assert len(index.ids) and index.made is None
+    size = len(pickle.dumps(index))
+    near, cosine = index.nearest(np.arange(3), index.vector(np.arange(3), np.array([1, 300, 2])), 5)
+    assert len(near) == 5 and len(pickle.dumps(index)) == size < sum(x.nbytes for x in index.made)
+    again = pickle.loads(pickle.dumps(index)).nearest(np.arange(3), index.vector(np.arange(3), np.array([1, 300, 2])), 5)
+    assert near.tolist() == again[0].tolist() and cosine.tolist() == again[1].tolist()
+
+
 def test_toxicity_odd_rows(table):
     docs = table([(1, None, "x"), (None, "a b", "y"), (2, "", "z"), (2, "", "z")], "doc_id bigint, text string, score string")
     index = toxicity_knn.train(docs, table([(1, 0, None)], "doc_id bigint, toxic int, quality int"))
