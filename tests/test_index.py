@@ -5,13 +5,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagelake.functions import segment
-from pagelake.operators import recall, search_index
+from pagelake.operators import postings, recall, search_index
 from pagelake.operators.block_join import block_join
-from pagelake.sources.tables import read_dictionary
+from pagelake.sources.tables import bucket, read_dictionary
 
 DOCS = "slide_id bigint, version_id int, tokens array<string>, n_tokens int"
 
@@ -106,6 +107,40 @@ def test_postings_stay_where_they_lie(spark, table, tmp_path, monkeypatch):
     assert "BroadcastHashJoin [version_id" in plan and "SortMergeJoin [version_id" not in plan
 
 
+def test_words_are_hashed_as_spark_hashes_them(table):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcé漢0") for _ in range(n)) for n in [*range(70), 200, 8, 32, 33]]
+    spark_buckets = table([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", bucket(F.col("w"), 16).alias("b")).orderBy("i").collect()
+    assert postings.buckets(pa.array(["x", *words]).slice(1), 16).tolist() == [r.b for r in spark_buckets]
+    assert len(postings.hashes(pa.array([], pa.string()))) == 0
+
+
+def test_a_build_deals_packed_words_and_packs_lists_in_arrow(spark, table, tmp_path, monkeypatch):
+    """No row for a posting in the JVM: batches send one payload to each share, small chunks and parts give what large ones give."""
+    rows = [(i, i % 3 or None, f"run {i % 2}", t, n) for i, _, t, n in documents(random.Random(5), 60)] + [(99, 1, "run 1", ["w1"], 1), (99, 1, "run 1", ["w1"], 1)]
+    docs = table(rows, "slide_id bigint, version_id int, run_id string, tokens array<string>, n_tokens int")
+    plans = []
+    monkeypatch.setattr(search_index, "_append", lambda df, path, parts, real=search_index._append: (plans.append(df._jdf.queryExecution().toString()), real(df, path, parts)))
+    found = []
+    for chunk, task in ((postings.CHUNK, search_index.TASK_TOKENS), (64, 128)):
+        monkeypatch.setattr(postings, "CHUNK", chunk)
+        monkeypatch.setattr(search_index, "TASK_TOKENS", task)
+        path = str(tmp_path / f"index-{chunk}")
+        search_index.append_segment(docs, path, ["slide_id"])
+        held = search_index._unpacked(spark.read.parquet(f"{path}/postings").drop("held"))
+        found.append(sorted(((r.bucket, r.token, r.slide_id, r.version_id or 0, r.run_id, r.n_tokens, r.tf) for r in held.collect())))
+        counts = spark.read.parquet(f"{path}/counts").groupBy("bucket", "token", "version_id", "run_id").agg(F.sum("df").alias("df")).collect()
+        by_hand = {}
+        for b, token, _, version, run, *_ in found[-1]:
+            by_hand[b, token, version, run] = by_hand.get((b, token, version, run), 0) + 1
+        assert {(r.bucket, r.token, r.version_id or 0, r.run_id): r.df for r in counts} == by_hand
+    assert found[0] == found[1] and len({b for b, *_ in found[0]}) > 4
+    assert sorted((t, s, tf) for _, t, s, _, _, _, tf in found[0]) == sorted(
+        (t, i, 2 if i == 99 else tokens.count(t)) for i, tokens in {r[0]: r[3] for r in rows}.items() for t in set(tokens)
+    )
+    assert "MapInArrow" in plans[0] and "Generate" not in plans[0] and "HashAggregate [_part" not in plans[0]
+
+
 # --- segmentation ---------------------------------------------------------------------------
 
 
