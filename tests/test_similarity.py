@@ -1,10 +1,13 @@
 """Similarity join, components and duplicate groups against brute force."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagelake.operators import dedup
 from pagelake.operators.components import components
 from pagelake.operators.dedup import similar_clusters, similar_slides
 from pagelake.operators.hamming import Blocking, choose_blocking, near_links, near_pairs
@@ -156,3 +159,34 @@ def test_rows_of_block_choices_are_not_broadcast(spark, table, tmp_path):
         left, right = (i for i in (plan.find("SortMergeJoin [choice"), plan.find("BroadcastHashJoin [choice")))
         assert left >= 0 and (right < 0 or left < right)
     assert {(r.sig_a, r.sig_b) for r in near_pairs(stored).collect()} >= {(min(s, s ^ 5), max(s, s ^ 5)) for s in sigs}
+
+
+def test_signatures_are_votes_over_md5_of_shingles(table, monkeypatch):
+    monkeypatch.setattr(dedup, "VOTE_ROWS", 700)
+    monkeypatch.setattr(dedup, "MD5_ROWS", 64)
+    monkeypatch.setattr(dedup, "HELD_BYTES", 2000)
+    rnd = random.Random(6)
+    texts = [" ".join("".join(rnd.choice("abé0") for _ in range(rnd.choice([1, 4, 9, 19, 60]))) for _ in range(n)) for n in (1, 2, 3, 4, 40, 900)]
+    rows = [(i, t) for i, t in enumerate([*texts, "", None, "漢字 x", "x" * 200])]
+
+    def by_hand(words):
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))]
+        heads = [int.from_bytes(hashlib.md5(s.encode()).digest()[:8], "big") for s in shingles]
+        return f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in heads) > len(heads)):016x}"
+
+    got = {r.slide_id: r.signature for r in dedup.signature64(table(rows, "slide_id bigint, native_text string")).collect()}
+    want = {i: by_hand(t.split()) for i, t in rows[:6]} | {8: by_hand(["漢", "字", "x"]), 9: by_hand(["x" * 200])}
+    assert got == want
+    found = dedup._md5_heads(np.frombuffer(b"-abc" * 40, np.uint8), np.array([1, 1, 0]), np.array([3, 0, 100]))
+    assert [bytes(f) for f in found] == [hashlib.md5(t).digest()[:8] for t in (b"abc", b"", b"-abc" * 25)]
+
+
+def test_fingerprints_are_read_once(spark, table, monkeypatch):
+    """Groups meet written fingerprints: no expression over the text is left in the plan that groups and joins them."""
+    written = []
+    monkeypatch.setattr(dedup, "stored", lambda df, name, real=dedup.stored: (written.append(name), real(df, name))[1])
+    rows = [(1, "a b c"), (2, "A  b c"), (3, "d"), (4, " ")]
+    pages = table(rows, "slide_id bigint, native_text string").withColumn("fingerprint", F.sha2(F.lower(F.regexp_replace("native_text", " ", "")), 256))
+    groups = dedup.exact_groups(pages)
+    assert written == ["fingerprints"] and "sha2" not in groups._jdf.queryExecution().toString()
+    assert [(r.group_id, r.group_size) for r in groups.collect()] == [(1, 2)]
