@@ -141,6 +141,25 @@ def test_a_build_deals_packed_words_and_packs_lists_in_arrow(spark, table, tmp_p
     assert "MapInArrow" in plans[0] and "Generate" not in plans[0] and "HashAggregate [_part" not in plans[0]
 
 
+def test_runs_are_read_only_where_some_are_dead(spark, table, tmp_path):
+    schema = "slide_id bigint, version_id int, run_id string, tokens array<string>, n_tokens int"
+    path, scope = str(tmp_path / "index"), table([(1,), (2,)], "version_id int")
+    queries = table([(1, "w1"), (2, "w1 w2")], "query_id bigint, query string")
+    search_index.append_segment(table([(1, 1, "a", ["w1", "w2"], 2), (2, 2, "a", ["w1"], 1)], schema), path, ["slide_id"])
+    pages = lambda index: sorted((r.query_id, r.slide_id) for r in search_index.index_recall(queries, index, scope, 9).collect())
+    index = search_index.read_index(spark, path, ["slide_id"])
+    plan = search_index.search(queries, index, scope, 9).scored._jdf.queryExecution().toString()
+    assert "run_id" not in plan and index.counts.columns == ["token", "version_id", "df", "bucket"]
+    assert pages(index) == [(1, 1), (1, 2), (2, 1)]
+    # postings of a segment that is not listed yet do not count
+    unsaid = F.transform("docs", lambda d: d.withField("run_id", F.lit("b")).withField("slide_id", d["slide_id"] + 50))
+    search_index._append(spark.read.parquet(f"{path}/postings").withColumns({"docs": unsaid, "block": F.col("block") + (7 << 31), "segment": F.lit(7).cast("bigint")}), f"{path}/postings", ["segment", "bucket"])
+    unlisted = search_index.read_index(spark, path, ["slide_id"])
+    assert "run_id" in unlisted.lists.schema["docs"].dataType.elementType.names and pages(unlisted) == [(1, 1), (1, 2), (2, 1)]
+    search_index.append_segment(table([(3, 1, "c", ["w1"], 1)], schema), path, ["slide_id"], 8)
+    assert pages(search_index.read_index(spark, path, ["slide_id"])) == [(1, 2), (1, 3)]
+
+
 # --- segmentation ---------------------------------------------------------------------------
 
 
